@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from quern.plans import prep
+
+QUERIES: dict = {**prep.QUERIES}
+SQL: dict = {**prep.SQL}
+FLAGSHIP = "p4_found"
