@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.changefeed import ChangeFeed, file_stream
 from quern.operators.outliers import Readings, flag_outliers
 from quern.operators.regrid import READING, regular_grid
+from quern.operators.rolling import RollingDays
+from quern.operators.upsert import MessageStore
 from quern.tables import table
 
 STREAM = ("symbol", "venue")
+#: Arrivals of so long make one run of the message store, and one batch of bars.
+RUN_MS, BATCH_MS = 86_400_000, 21 * 86_400_000
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,5 +55,114 @@ SELECT job_id, symbol, grid_ms, CASE WHEN fill AND t > t0 THEN 'filled' ELSE 'mi
 FROM a WHERE t IS NULL OR t <= grid_ms - step
 """
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p7_grid": p7_grid}
-SQL: dict[str, str] = {"p7_found": P7_SQL}
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """trade_id null where the feed gave none: such rows can't be told to be copies, and all are kept."""
+    rows = table(spark, d, "trades")
+    ident = F.nullif(F.lower(F.trim("trade_id")), F.lit(""))
+    rows = rows.select(*STREAM, F.coalesce(F.concat(F.lit("id "), ident), F.concat(F.lit("row "), F.col("delivery_id"))).alias("ident"), "delivery_id", "arrival_ms", "timestamp_ms", "price", "size", F.lower("side").alias("side"))
+    store = MessageStore(spark, [*STREAM, "ident"], ["arrival_ms", "delivery_id"], ["arrival_ms", "timestamp_ms", "price", "size", "side"])
+    store.upsert(rows, F.floor(F.col("arrival_ms") / RUN_MS))
+    got = store.compact()
+    return got.withColumn("trade_id", F.when(F.col("ident").startswith("id "), F.expr("substring(ident, 4)")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(spark, d).where((F.col("n_deliveries") > 1) & F.col("trade_id").isNotNull()).select("venue", "symbol", "trade_id")
+
+
+def p3_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every message once; its time is that of the feed, or else of its first arrival."""
+    return _messages(spark, d).select("venue", "symbol", "trade_id", F.coalesce("timestamp_ms", "arrival_ms").alias("timestamp_ms"), "price", "size", "side", "n_deliveries")
+
+
+P3_SQL = """
+WITH t AS (
+  SELECT venue, symbol, nullif(lower(trim(trade_id)), '') AS trade_id, delivery_id, arrival_ms, timestamp_ms, price, size, lower(side) AS side
+  FROM trades WHERE venue IS NOT NULL AND symbol IS NOT NULL
+)
+"""
+
+
+def _rolling(spark: SparkSession, d: str) -> RollingDays:
+    """The state after the bars' arrivals, in batches of some weeks."""
+    bars = table(spark, d, "bars")
+    ends = bars.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+    state = RollingDays(spark, STREAM, "timestamp_ms", ["arrival_ms", "bar_id"], ["volume", "close"], "volume")
+    first, last = (ends[0] or 0) // BATCH_MS, (ends[1] or 0) // BATCH_MS
+    for n in range(first, last + 1):
+        batch = bars.where((F.col("arrival_ms") >= n * BATCH_MS) & (F.col("arrival_ms") < (n + 1) * BATCH_MS))
+        state.apply(batch if n < last else batch.unionByName(bars.where(F.col("arrival_ms").isNull())))
+    return state
+
+
+def _date(day: str = "day"):
+    return F.date_format(F.date_from_unix_date(F.col(day)), "yyyy-MM-dd").alias("bar_date")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _rolling(spark, d).days().where(~F.col("active")).select(*STREAM, _date())
+
+
+def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of volume, and averages of volume by day and of close by bar, over 7 and 30 days."""
+    days = _rolling(spark, d).days()
+    first = F.min("day").over(Window.partitionBy(*STREAM))
+    out = days.withColumn("age", F.col("day") - first + 1)
+    cols = []
+    for p in (7, 30):
+        cols += [F.col(f"sum_volume_{p}").cast("double").alias(f"volume_{p}d"), F.round(F.col(f"sum_volume_{p}").cast("double") / F.least(F.col("age"), F.lit(p)), 6).alias(f"avg_volume_{p}d"), F.round(F.try_divide(F.col(f"sum_close_{p}").cast("double"), F.col(f"n_close_{p}").cast("double")), 6).alias(f"avg_close_{p}d")]
+    return out.select(*STREAM, _date(), *cols)
+
+
+P2_SQL = """
+WITH b AS (
+  SELECT symbol, venue, timestamp_ms // 86400000 AS day, volume, close FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol, venue, timestamp_ms ORDER BY arrival_ms DESC NULLS LAST, bar_id DESC) AS n FROM bars WHERE timestamp_ms IS NOT NULL)
+  WHERE n = 1
+), g AS (SELECT symbol, venue, day, sum(volume) AS v, sum(close) AS c, count(close) AS nc, coalesce(bool_or(volume > 0), false) AS active FROM b GROUP BY 1, 2, 3),
+s AS (SELECT symbol, venue, min(day) AS d0, max(day) AS d1 FROM g GROUP BY 1, 2),
+f AS (
+  SELECT s.symbol, s.venue, x.day, x.day - d0 + 1 AS age, coalesce(v, 0) AS v, coalesce(c, 0) AS c, coalesce(nc, 0) AS nc, coalesce(active, false) AS active
+  FROM s, unnest(range(d0, d1 + 1)) AS x(day) LEFT JOIN g ON g.symbol = s.symbol AND g.venue = s.venue AND g.day = x.day
+)
+"""
+_P2_PERIOD = "CAST(sum(v) OVER w{p} AS DOUBLE) AS volume_{p}d, round(CAST(sum(v) OVER w{p} AS DOUBLE) / least(age, {p}), 6) AS avg_volume_{p}d, round(CAST(sum(c) OVER w{p} AS DOUBLE) / nullif(CAST(sum(nc) OVER w{p} AS DOUBLE), 0), 6) AS avg_close_{p}d"
+
+
+def _book(spark: SparkSession, d: str) -> ChangeFeed:
+    feed = ChangeFeed(spark, ["symbol", "venue", "side", "price"], ["timestamp_ms", "seq"], ["change_id", "quantity"], (F.lower("action") == "remove") | (F.col("quantity") == 0))
+    feed.run(file_stream(spark, f"{d}/book_updates.parquet").withColumn("side", F.lower("side")))
+    return feed
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _book(spark, d).rows().select("symbol", "venue", "side", "change_id")
+
+
+def p6_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The levels that rest in each book at the end, with their quantity."""
+    return _book(spark, d).rows().select("symbol", "venue", "side", "price", "quantity", "change_id")
+
+
+P6_SQL = """
+WITH b AS (
+  SELECT symbol, venue, lower(side) AS side, price, quantity, change_id, coalesce(lower(action) = 'remove', false) OR coalesce(quantity = 0, false) AS gone,
+         row_number() OVER (PARTITION BY symbol, venue, lower(side), price ORDER BY timestamp_ms DESC NULLS LAST, seq DESC NULLS LAST, change_id DESC) AS n
+  FROM book_updates
+)
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p6_found": p6_found, "p6_levels": p6_levels, "p7_found": p7_found, "p7_grid": p7_grid}
+SQL = {
+    "p2_found": P2_SQL + "SELECT symbol, venue, strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS bar_date FROM f WHERE NOT active",
+    "p2_rolling": P2_SQL + "SELECT symbol, venue, strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS bar_date, " + ", ".join(_P2_PERIOD.format(p=p) for p in (7, 30)) + " FROM f WINDOW w7 AS (PARTITION BY symbol, venue ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY symbol, venue ORDER BY day ROWS 29 PRECEDING)",
+    "p3_found": P3_SQL + "SELECT venue, symbol, trade_id FROM t WHERE trade_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "p3_messages": P3_SQL + """
+SELECT venue, symbol, trade_id, coalesce(first(timestamp_ms ORDER BY arrival_ms, delivery_id) FILTER (timestamp_ms IS NOT NULL), min(arrival_ms)) AS timestamp_ms,
+       first(price ORDER BY arrival_ms, delivery_id) FILTER (price IS NOT NULL) AS price, first(size ORDER BY arrival_ms, delivery_id) FILTER (size IS NOT NULL) AS size,
+       first(side ORDER BY arrival_ms, delivery_id) FILTER (side IS NOT NULL) AS side, count(*) AS n_deliveries
+FROM t GROUP BY venue, symbol, trade_id, CASE WHEN trade_id IS NULL THEN delivery_id END""",
+    "p6_found": P6_SQL + "SELECT symbol, venue, side, change_id FROM b WHERE n = 1 AND NOT gone",
+    "p6_levels": P6_SQL + "SELECT symbol, venue, side, price, quantity, change_id FROM b WHERE n = 1 AND NOT gone",
+    "p7_found": P7_SQL,
+}
