@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.bpe import count_tokens, encode_corpus
+from quern.llm.mix import Mix, with_copies
 from quern.llm.nearest import match_nearest
 from quern.llm.runs import collapse_runs
 from quern.tables import table
@@ -79,7 +83,49 @@ b AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps}
+#: The tokenizer of problems 8 and 9; its folder holds files for public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The file in the folder of ``QUERN_TOKENIZERS``, or else of the installed package."""
+    folder = os.environ.get("QUERN_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), tokenizer_path())
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the corpus by source and language."""
+    docs = table(spark, d, "documents")
+    kind = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.lower("lang").alias("lang"))
+    return count_tokens(docs, tokenizer_path()).join(kind, "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _mix(spark: SparkSession, d: str) -> Mix:
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    docs = with_copies(table(spark, d, "documents"), "doc_id", "text", clean("source"))
+    path = tokenizer_path()
+    sized = count_tokens(docs, path, "id", "text", keep=["sources"]).withColumnsRenamed({"doc_id": "id", "n_tokens": "size"})
+    targets = table(spark, d, "mix_targets").select(clean("source").alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+    return Mix(spark, sized, targets)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).selection().select(F.col("id").alias("doc_id"), "source", "n_uses", "n_tokens")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_report": p9_report}
 SQL = {
     "p1_found": P1_SQL + "SELECT symbol, venue, start_ms, end_ms FROM g WHERE n_quotes > 1",
     "p1_runs": P1_SQL + "SELECT symbol, venue, start_ms, end_ms, n_quotes, end_ms - start_ms AS duration_ms FROM g",
