@@ -26,6 +26,8 @@ from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 REACH = 24
 #: Shards of one round that make one of the next.
 WIDER = 1000
+#: Records without a time are judged in groups of so many ids.
+ID_BLOCK = 1_000_000
 #: Values are held as whole multiples of this.
 UNIT = 10**8
 
@@ -147,10 +149,10 @@ def _judge(rows: pa.Table, rules: dict[int, Rules], levels: dict[int, tuple[bool
                 wrong |= _spikes(v, ok, key, level, _usual(v, ok, level), r)
             bad[mine & wrong] |= 1 << bit
     done |= mine
-    # Found and not needed as a neighbour: put aside, spread over many groups.
+    # Found and not needed as a neighbour: put aside, in a group for each shard.
     aside = ~keep & (bad > 0)
     keep |= aside
-    wide = np.where(aside, -1 - ident % 4096, shard // WIDER if not settled else shard)
+    wide = np.where(aside, -1 - shard, shard // WIDER) if not settled else np.full(n, shard)
     out = rows.set_column(8, "shard", pa.array(wide)).set_column(9, "done", pa.array(done)).set_column(10, "bad", pa.array(bad))
     return out.filter(pa.array(keep)).select([f.name for f in _SCHEMA]).cast(_SCHEMA)
 
@@ -207,7 +209,7 @@ def flag_outliers(spark, sources: Sequence[Readings], shard_rows: int = SHARD_RO
     known = F.col("t").isNotNull() & F.col("k0").isNotNull() & F.col("k1").isNotNull()
     # Times may be negative, shards must not be: they count from the earliest time possible.
     low = (-(2**62)) // plan.width
-    rows = rows.withColumn("shard", F.when(known, plan.of(F.col("t")) - F.lit(low)).otherwise(-1 - F.pmod(F.col("id"), F.lit(4096)))).withColumn("t", F.coalesce("t", F.lit(0).cast("bigint"))).withColumn("id", F.coalesce("id", F.lit(-1).cast("bigint")))
+    rows = rows.withColumn("shard", F.when(known, plan.of(F.col("t")) - F.lit(low)).otherwise(-1 - F.floor(F.abs(F.col("id")) / ID_BLOCK))).withColumn("t", F.coalesce("t", F.lit(0).cast("bigint"))).withColumn("id", F.coalesce("id", F.lit(-1).cast("bigint")))
     rows = rows.withColumn("shard", F.col("shard").cast("bigint")).withColumn("done", F.lit(False)).withColumn("bad", F.lit(0))
     rounds, left = [], plan.shards + 2
     while left > 1:
