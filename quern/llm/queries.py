@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm.bpe import count_tokens, encode_corpus
 from quern.llm.mix import Mix, with_copies
 from quern.llm.nearest import match_nearest
+from quern.llm.pii import PiiFinder
 from quern.llm.runs import collapse_runs
 from quern.tables import table
 
@@ -125,7 +126,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_report": p9_report}
+def _pii(spark: SparkSession, d: str) -> PiiFinder:
+    return PiiFinder(spark, table(spark, d, "documents"), table(spark, d, "known_names"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d).found()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d).redacted()
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL = {
     "p1_found": P1_SQL + "SELECT symbol, venue, start_ms, end_ms FROM g WHERE n_quotes > 1",
     "p1_runs": P1_SQL + "SELECT symbol, venue, start_ms, end_ms, n_quotes, end_ms - start_ms AS duration_ms FROM g",
