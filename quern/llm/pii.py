@@ -39,7 +39,7 @@ _SPANS = "doc bigint, mark bigint, kind int, start int, end int, piece string"
 def known_names(names: DataFrame) -> Known:
     """The gazetteer, lower-cased; a table of a few hundred rows."""
     rows = names.where(F.col("name").isNotNull()).select(F.lower(F.trim("name")).alias("name"), "name_kind").distinct().collect()
-    return Known(frozenset(r["name"] for r in rows if r["name_kind"] == "given"), frozenset(r["name"] for r in rows if r["name_kind"] == "family"))
+    return Known.of((r["name"] for r in rows if r["name_kind"] == "given"), (r["name"] for r in rows if r["name_kind"] == "family"))
 
 
 def _beside(t: str, a: int, b: int) -> tuple[str, str]:
@@ -89,7 +89,7 @@ def estimate(patterns: Mapping[str, int], rounds: int = 100) -> dict[str, float]
     """Likelihood that a span with each vote pattern is real, by expectation-maximisation.
 
     Two classes; given the class, labelers vote independently, and those that abstain
-    say nothing.  It starts from the
+    say nothing; a span that none is for is not real.  It starts from the
     majority of votes and ends with the labelers' own rates of each vote in each class.
     """
     if not patterns:
@@ -114,7 +114,7 @@ def estimate(patterns: Mapping[str, int], rounds: int = 100) -> dict[str, float]
         share = np.clip((n * p).sum() / n.sum(), 0.01, 0.99)
         log = np.log(rates[1, labelers, votes]).sum(axis=1) - np.log(rates[0, labelers, votes]).sum(axis=1) + math.log(share / (1 - share))
         p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return dict(zip(keys, p.tolist()))
+    return {k: x if "+" in k else 0.0 for k, x in zip(keys, p.tolist())}
 
 
 def _features(kind: int, piece: str, votes: str, one: str | None, two: str | None, left: str, right: str) -> list[int]:

@@ -9,9 +9,10 @@ and contexts (words before and after).  None of them decides; see ``pii``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+_L = r"[^\W\d_]"
 EMAIL, PHONE, ID, ADDRESS, NAME = range(5)
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Characters of context that labelers see on each side.
@@ -29,8 +30,16 @@ class Candidate(NamedTuple):
 
 
 class Known(NamedTuple):
+    """Lower-case names; endings: the last word of each family name."""
+
     given: frozenset[str]
     family: frozenset[str]
+    endings: frozenset[str]
+
+    @classmethod
+    def of(cls, given: Iterable[str], family: Iterable[str]) -> Known:
+        family = frozenset(family)
+        return cls(frozenset(given), family, frozenset(re.findall(rf"{_L}{{2,}}", f)[-1] for f in family if re.search(rf"{_L}{{2,}}", f)))
 
 
 def _vote(yes: bool, no: bool = False) -> str:
@@ -82,7 +91,7 @@ _PHONE = _rx(
     rf"(?<![\w.+/-])(?:(?P<intl>\(?\+\d{{1,3}}\)?(?:{_S}?\(?\d{{1,5}}\)?){{2,6}}(?<=\d)|\+\d{{9,14}})"
     rf"|(?P<zeros>00\d{{9,13}}|00{_S}?\d{{1,3}}(?:{_S}\d{{2,5}}){{2,5}})"
     rf"|(?P<us>(?:\(\d{{3}}\){_S}?|1?{_S}?\d{{3}}{_S})\d{{3}}{_S}\d{{4}})"
-    rf"|(?P<trunk>\(0\d{{1,4}}\){_S}?\d{{3,8}}(?:{_S}\d{{2,6}}){{0,4}}|0\d{{1,5}}(?:[  /-]\d{{2,8}}){{1,5}}|0[67]\d{{8,9}})"
+    rf"|(?P<trunk>\(0\d{{1,4}}\){_S}?\d{{3,8}}(?:{_S}\d{{2,6}}){{0,4}}|0\d{{1,5}}(?:[  /-]\d{{2,8}}){{1,5}}|0\d(?:[.  -]\d\d){{4}}|0[67]\d{{8,9}})"
     rf"|(?P<trio>\d{{3}}{_S}\d{{3}}{_S}\d{{3}}|\d{{3}}{_S}\d\d{_S}\d\d{_S}\d\d)){_EXT}(?![\w‑/]|[.,-]\d)"
 )
 _PHONE_YES = _rx(r"(?:tel|tél|phone\w*|telefon\w*|teléfono|téléphone|mobile|cell|handy|call(?: me)?(?: on)?|ring(?: me)?(?: on)?|rang|text me on|sms|dial|pager\w*(?: to)?|fax|line|number|nummer|numéro(?: est)?|número(?: es)?|number is|appel\w*(?:-moi)? au|llám\w+ al|rückruf\w*(?: bitte)?(?: unter)?|anschluss(?: ist)?|unter|erreichbar|try|reach \S+ \S+ at|répond au|en el|al|au|im on|on|at|and|just)[\s:.=\"']*$")
@@ -141,7 +150,7 @@ def _ids(t: str) -> Iterator[Candidate]:
 
 _WORD = r"[^\W\d_][^\W\d_'’.-]*(?:[-'’][^\W\d_]+)*"
 _STREET_EN = _rx(rf"(?<![\w.:,/#@-])(?P<n>\d{{1,5}}[A-Z]?) (?P<s>(?:(?:N|S|E|W|North|South|East|West)\.? )?(?:{_WORD} ){{1,3}}?(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|way|terrace|ter|close|square|sq|boulevard|blvd|place|crescent|row|walk|parade))\b(?! (?:street|road|lane|avenue|drive|court|way|terrace)\b)")
-_STREET_DE = _rx(r"(?<![\w-])(?P<s>(?:[^\W\d_]+er (?:ring|straße|strasse|str\.|weg|platz|allee|damm|ufer|gasse|markt|chaussee)|(?:(?:alte[rn]?|neue[rn]?|große[rn]?|kleine[rn]?|obere[rn]?|untere[rn]?|am|an der|zum|zur) )?[^\W\d_]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|markt|chaussee))) (?P<n>\d{1,4}(?: ?[a-h])?)(?!\w|[.,:]\d)")
+_STREET_DE = _rx(r"(?<![\w-])(?P<s>(?:[^\W\d_]+er (?:ring|straße|strasse|str\.|weg|platz|allee|damm|ufer|gasse|markt|chaussee)|(?:(?:alte[rn]?|neue[rn]?|große[rn]?|kleine[rn]?|obere[rn]?|untere[rn]?|am|an der|zum|zur) )?[^\W\d_]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|steg|pfad|hof|wall|graben|kamp|brücke|markt|chaussee))) (?P<n>\d{1,4}(?: ?[a-h])?)(?!\w|[.,:]\d)")
 _STREET_DE_AT = _rx(r"(?<![\w-])(?P<s>(?:[Aa]m|[Aa]n der|[Aa]uf der|[Aa]uf dem|[Ii]m|[Zz]um|[Zz]ur|[Uu]nter den|[Hh]inter der) (?:[A-ZÄÖÜ][^\W\d_]+ ){0,1}[A-ZÄÖÜ][^\W\d_]+) (?P<n>\d{1,3}(?: ?[a-h])?)(?!\w|[.,:]\d)", 0)
 _STREET_ES = _rx(rf"(?<![\w-])(?P<s>(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|camino|paseo|ronda|travesía|carretera|cuesta|glorieta) ?(?:(?:de las|de los|de la|del|de|la|el|los|las) )?(?:{_WORD} ){{0,2}}?{_WORD}),? ?(?P<n>(?:n\.? ?[º°]\.? ?|núm\.? ?)?\d{{1,4}})(?!\w|[.,:]\d)")
 _STREET_FR = _rx(r"(?<![\w.:,/#@-])(?P<n>\d{1,4}(?: ?(?i:bis|ter|quater))?),? (?P<s>(?i:rue|avenue|boulevard|bd|place|impasse|chemin|quai|allée|cours|passage|route|sentier|square) (?i:(?:de la|de l['’]|du|des|de|d['’]|la|le|les) ?)?[A-ZÀ-Þ][^\W\d_]*(?:[-'’ ][A-ZÀ-Þ][^\W\d_]*){0,2})(?!\w)", 0)
@@ -156,7 +165,7 @@ _NO_STREET = frozenset("the before after and of in at to is was were for on me t
 
 def _addresses(t: str) -> Iterator[Candidate]:
     low = t.lower()
-    for rx, hints in ((_STREET_EN, None), (_STREET_DE, ("stra", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "markt", "chaussee", "str.")), (_STREET_ES, ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "camino", "paseo", "ronda", "traves", "carretera", "cuesta", "glorieta")), (_STREET_FR, None), (_STREET_FR_LOW, None), (_STREET_DE_AT, None)):
+    for rx, hints in ((_STREET_EN, None), (_STREET_DE, ("stra", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "steg", "pfad", "hof", "wall", "graben", "kamp", "brücke", "markt", "chaussee", "str.")), (_STREET_ES, ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "camino", "paseo", "ronda", "traves", "carretera", "cuesta", "glorieta")), (_STREET_FR, None), (_STREET_FR_LOW, None), (_STREET_DE_AT, None)):
         if hints and not any(h in low for h in hints):
             continue
         for m in rx.finditer(t):
@@ -176,9 +185,8 @@ def _addresses(t: str) -> Iterator[Candidate]:
 
 # ---- names of people
 
-_L = r"[^\W\d_]"
-_CAP = rf"(?:[A-ZÀ-ÞŠŽŁÇ]{_L}*(?:['’][A-ZÀ-Þ]{_L}+)?(?:-[A-ZÀ-Þ]{_L}+)*)"
-_PART = r"(?:de la |De La |DE LA |de las |de los |del |de |von der |von |van der |van den |van |VAN DER |VON DER |VAN |VON |DEL |der |di |da |du |zu |St\. |st\. |ST\. |Saint )"
+_CAP = rf"(?:(?:[A-Z]['’])?[A-ZÀ-ÞŠŽŁ]{_L}+(?:-(?:[A-Z]['’])?[A-ZÀ-ÞŠŽŁ]{_L}+)*)"
+_PART = r"(?:de la |De La |DE LA |de las |de los |del |de |von der |(?<!wurde )von |van der |van den |van |VAN DER |VON DER |VAN |VON |DEL |der |di |da |du |zu |St\. |st\. |ST\. |Saint )"
 _FAMILY = rf"(?:{_PART}?{_CAP})"
 _FULL = _rx(rf"(?<![\w@.\-'’])(?P<g>{_CAP})(?: (?P<i>[A-Z])\.)? (?P<f>{_FAMILY})(?![\w@]|-\w|\.\w)", 0)
 _INITIAL = _rx(rf"(?<![\w@.\-'’])(?P<g>[A-ZÀ-Þ])\. (?:(?P<i>[A-Z])\. )?(?P<f>{_FAMILY})(?![\w@]|-\w|\.\w)", 0)
@@ -187,12 +195,14 @@ _ANY = rf"{_L}{{2,}}(?:['’-]{_L}+)*"
 _LOW_PART = r"(?:de la |von |van der |van |st\. |d['’]|o['’]|mc)"
 _LOW_FULL = _rx(rf"(?<![\w@.\-'’])(?P<g>{_ANY}|[a-z]\.)(?: (?P<i>[a-z])\.)? (?P<f>{_LOW_PART}?{_ANY})(?![\w@]|-\w|\.\w)")
 _LOW_TURNED = _rx(rf"(?<![\w@.\-'’])(?P<f>{_LOW_PART}?{_ANY}), (?P<g>{_ANY})(?: (?P<i>[a-z])\.)?(?![\w@]|-\w)")
+_LOW_MAIL = _rx(_LOW_FULL.pattern + r" ?(?:[(<]| = ?) ?$")
+_WORDS = _rx(rf"{_L}{{2,}}")
 _TITLE = r"(?<!\d )(?:mr|mrs|ms|dr|prof|herr|frau|señora?|sra?|don|doña|monsieur|madame|mme|m)\.? "
 _NAME_BEFORE = _rx(
     rf"(?:(?<!\w){_TITLE}|(?:account holder|holder|reviewed by|approval by|approved by|closed by|signed off:?|signed:?|escalated from|asked?|reach|laut|kundin|kunde|freigabe:|gezeichnet:?|titular|firmado:|según|cerró|titulaire|signé ?:|selon|soldée par|contact|owe|router but|\bas|regards,?|grüßen,?|cordialement,?|saludos,?|opened for|user|who|name|owner|session for|pulled by|attention:?|attn:?|thanks,?)[\s:=\"']*|--\s*\n|(?:regards|grüßen|cordialement|saludos|thanks),?\s*\n|(?:^|\n)(?:<[\w-]+> |INFO |AUDIT |[#/*•-]+ )?)$"
 )
-_NAME_FIRM = _rx(rf"(?:(?<!\w){_TITLE}|(?:account holder|holder=|reviewed by|approval by|closed by|signed off:|escalated from|\bask|i asked|can reach|laut|kundin|freigabe:|titular|firmado:|según|cerró|titulaire|signé ?:|selon|soldée par|\bcontact|owe|router but|(?:regards|grüßen|cordialement|saludos|saludo),?|opened for|user=|who\":\")[\s]*|--\s*\n)$")
-_NAME_AFTER = _rx(r"^(?:\"|;|,? ?[<(][\w.+-]+(?: ?@|[ ]?[\[(]at)|,? (?:noted|says|restarted|doubts|asked|about the grid|who |and the night|on the second|for job|after the call|at noon|at \+?[(\d]|hat |kam |bittet|a relancé|pide |demande|espera|attend|wartet|ha |zweifelt|to \S+ \S+ at noon)|, (?:passport|ssn|social|national|ni no|driver|tax|dni|nie|cni|passeport|pasaporte|reisepass|ausweis|steuer|sv-)|,? ?\d{1,4}[A-Z]? \w|, (?:calle|c/|avenida|plaza|camino|paseo|ronda|[^\W\d_]+ ?(?:straße|weg|gasse|platz|allee))|, alter postweg|\s*$|\n)")
+_NAME_FIRM = _rx(rf"(?:(?<!\w){_TITLE}|(?:wurde von|thx|ping|pretty sure|(?:halved|flattened|signed) by|validé par|escalated from [^\n]{{4,40}} to|account holder|holder=|reviewed by|approval by|closed by|signed off:|escalated from|\bask|i asked|can reach|laut|kundin|freigabe:|titular|firmado:|según|cerró|titulaire|signé ?:|selon|soldée par|\bcontact|owe|router but|(?:regards|grüßen|cordialement|saludos|saludo),?|opened for|user=|who\":\")[\s]*|--\s*\n)$")
+_NAME_AFTER = _rx(r"^(?:\"|;| = |,? ?[<(][\w.+-]+(?: ?@|[ ]?[\[(]at)|,? (?:noted|says|restarted|doubts|asked|about the grid|who |and the night|on the second|for job|after the call|at noon|at \+?[(\d]|is out|broke the|did that|moved to|geschlossen|hat |kam |bittet|a relancé|pide |demande|espera|attend|wartet|ha |zweifelt|to \S+ \S+ at noon)|, (?:passport|ssn|social|national|ni no|driver|tax|dni|nie|cni|passeport|pasaporte|reisepass|ausweis|steuer|sv-)|,? ?\d{1,4}[A-Z]? \w|, (?:calle|c/|avenida|plaza|camino|paseo|ronda|[^\W\d_]+ ?(?:straße|weg|gasse|platz|allee))|, alter postweg|\s*$|\n)")
 _MAIL_NEAR = _rx(r"([\w.+%'-]{3,}) ?(?:@|[\[(]at[\])])")
 #: Words that start sentences or labels and no name.  Fixed values.
 _NOT_GIVEN = frozenset(
@@ -216,34 +226,43 @@ def _plain(s: str) -> str:
 def _names(t: str, known: Known, taken: list[tuple[int, int]]) -> Iterator[Candidate]:
     """taken: spans that are addresses, if anything."""
     seen: set[tuple[int, int]] = set()
-    found: list[tuple[re.Match, bool]] = [(m, False) for rx in (_FULL, _INITIAL, _TURNED) for m in rx.finditer(t)]
-    low = {w for w in re.findall(rf"{_L}{{2,}}", t.lower())}
-    if low & known.given or low & known.family:
-        found += [(m, True) for rx in (_LOW_FULL, _LOW_TURNED) for m in _overlapping(rx, t)]
-    mails = None
+    found: list[tuple[re.Match, bool]] = [(m, False) for rx in (_FULL, _INITIAL, _TURNED) for m in _overlapping(rx, t)]
+    mails = [(x.start(), _plain(x[1])) for x in _MAIL_NEAR.finditer(t)]
+    # Names in one case throughout are looked for only beside known names and addresses.
+    for w in _WORDS.finditer(t):
+        word = w[0].lower()
+        if word in known.given and (m := _LOW_FULL.match(t, w.start())):
+            found.append((m, True))
+        elif word in known.endings:
+            found += [(m, True) for rx in (_LOW_FULL, _LOW_TURNED) for m in _overlapping(rx, t, max(0, w.start() - 32), w.end() + 20) if m.start("f") <= w.start() < m.end("f")]
+    for at, _ in mails:
+        if m := _LOW_MAIL.search(t, max(0, at - 60), at):
+            found.append((m, True))
     for m, loose in found:
+        start, end = min(m.start("g"), m.start("f")), max(m.end("f"), m.end("i") if m.re in (_TURNED, _LOW_TURNED) else 0, m.end("g"))
+        if m.re is _TURNED and (m["i"] or m["dot"]):
+            end = m.end()
+        whole = t[start:end]
         g, f = _fold(m["g"]).rstrip("."), _fold(m["f"])
-        if (m.start(), m.end()) in seen or g in _NOT_GIVEN or f in _NOT_GIVEN or _ID_NEAR.match(g):
+        if (start, end) in seen or len(g) > 1 and g in _NOT_GIVEN or f in _NOT_GIVEN or _ID_NEAR.match(g):
             continue
-        if any(m.start() < b and a < m.end() for a, b in taken):
+        if any(start < b and a < end for a, b in taken):
             continue
         parts_g, parts_f = g.split("-"), f.split("-")
         kg = any(p in known.given for p in parts_g)
         kf = f in known.family or any(p in known.family for p in parts_f) or f.split(" ")[-1] in known.family
-        before, after = t[max(0, m.start() - CONTEXT) : m.start()], t[m.end() : m.end() + CONTEXT]
+        before, after = t[max(0, start - CONTEXT) : start], t[end : end + CONTEXT]
         firm, then = bool(_NAME_FIRM.search(before)), bool(_NAME_AFTER.match(after))
-        if loose and m[0] not in (m[0].lower(), m[0].upper()):
+        if loose and whole not in (whole.lower(), whole.upper()):
             continue
-        if any(a <= m.start() and m.end() <= b for a, b in seen):
+        if any(a <= start and end <= b for a, b in seen):
             continue  # part of a longer one
-        if loose and not (kf and (kg or len(g) == 1 or firm or then) or kg and firm):
+        tail = _plain(f)
+        mail = any(abs(at - end) < 160 and len(tail) > 2 and (tail in x or (len(g) > 2 and _plain(g) in x)) for at, x in mails)
+        if loose and not (kf and (kg or len(g) == 1 or firm or then) or kg and (firm or then) or mail):
             continue
         if not (firm or then or kg or kf and m.re not in (_TURNED, _LOW_TURNED)):
             continue
-        if mails is None:
-            mails = [(x.start(), _plain(x[1])) for x in _MAIL_NEAR.finditer(t)]
-        tail = _plain(f)
-        mail = any(abs(at - m.end()) < 160 and len(tail) > 2 and (tail in x or (len(g) > 2 and _plain(g) in x)) for at, x in mails)
         before_any = firm or bool(_NAME_BEFORE.search(before))
         votes = [
             _vote(kg or len(g) == 1 and kf),
@@ -252,17 +271,17 @@ def _names(t: str, known: Known, taken: list[tuple[int, int]]) -> Iterator[Candi
             _vote(then and before_any),
             _vote(mail),
         ]
-        seen.add((m.start(), m.end()))
-        yield Candidate(NAME, m.start(), m.end(), "".join(votes), g, f)
+        seen.add((start, end))
+        yield Candidate(NAME, start, end, "".join(votes), g, f)
 
 
-def _overlapping(rx: re.Pattern, t: str) -> Iterator[re.Match]:
+def _overlapping(rx: re.Pattern, t: str, start: int = 0, end: int = 2**31) -> Iterator[re.Match]:
     """All matches, also those that begin within another."""
-    m = rx.search(t)
+    m = rx.search(t, start, end)
     while m:
         yield m
-        step = t.find(" ", m.start())
-        m = rx.search(t, step + 1 if step >= 0 else m.end())
+        step = t.find(" ", m.start(), m.end())
+        m = rx.search(t, step + 1 if step >= 0 else m.end(), end)
 
 
 def candidates(t: str, known: Known) -> Iterator[Candidate]:
