@@ -93,7 +93,7 @@ def _job_shards(jobs: DataFrame, plan: ShardPlan) -> DataFrame:
     first, end = F.col("start") + F.col("step"), F.col("end")
     jobs = jobs.where(F.col("step").isNotNull() & (F.col("step") > 0) & (first <= end))
     jobs = jobs.withColumn("shard", F.explode(F.sequence(plan.of(first), plan.of(end))))
-    lo, hi = F.col("shard") * plan.width, (F.col("shard") + 1) * plan.width - 1
+    lo, hi = plan.first(F.col("shard")), plan.last(F.col("shard"))
     k0 = F.greatest(F.lit(1).cast("bigint"), F.ceil((lo - F.col("start")) / F.col("step"))).cast("bigint")
     k1 = F.floor((F.least(hi, end) - F.col("start")) / F.col("step")).cast("bigint")
     return jobs.withColumn("a", k0).withColumn("b", k1).where(F.col("a") <= F.col("b"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import prep
+from quern.plans import prep, q_grid
 
-QUERIES: dict = {**prep.QUERIES}
-SQL: dict = {**prep.SQL}
-FLAGSHIP = "p4_found"
+_MODULES = (prep, q_grid)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
+FLAGSHIP = "hypothesis_metrics"

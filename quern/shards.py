@@ -25,7 +25,17 @@ class ShardPlan:
     shards: int
 
     def of(self, ts: Column) -> Column:
-        return F.floor(ts / F.lit(self.width)).cast("bigint")
+        """The shard of a time: whole multiples of the width below it, or 0 where one shard has all."""
+        if self.shards == 1:
+            return F.lit(0).cast("bigint")
+        return ((ts - F.pmod(ts, F.lit(self.width))) / F.lit(self.width)).cast("bigint")
+
+    def first(self, shard: Column) -> Column:
+        """The earliest time of a shard."""
+        return F.lit(-(2**62)) if self.shards == 1 else shard * self.width
+
+    def last(self, shard: Column) -> Column:
+        return F.lit(2**62) if self.shards == 1 else (shard + 1) * self.width - 1
 
 
 def plan_shards(df: DataFrame, keys: list[str], ts: str, rows: int = SHARD_ROWS, least: int = 1) -> ShardPlan:
