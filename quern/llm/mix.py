@@ -118,8 +118,9 @@ class Mix:
         order = F.xxhash64(F.lit(seed).cast("bigint"), F.col("id"))
         own = F.array_sort(F.array_distinct(F.filter("sources", lambda x: x.isNotNull())))
         kept = records.where(F.col("id").isNotNull() & (F.size(own) > 0) & (F.col("size") > 0))
-        kept.select("id", "size", own.alias("sources"), F.array_join(F.array_intersect(own, known), "\n").alias("pattern"), order.alias("order")).write.parquet(at)
-        self.sized = spark.read.parquet(at)
+        kept = kept.select("id", "size", own.alias("sources"), F.array_join(F.array_intersect(own, known), "\n").alias("pattern"), order.alias("order"))
+        kept.write.parquet(at)
+        self.sized = spark.read.schema(kept.schema).parquet(at)
         stats = self.sized.where("pattern != ''").groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).collect()
         self.patterns = {tuple(r["pattern"].split("\n")): int(r["tokens"]) for r in stats}
         self.buckets = max(1, -(-max([r["n"] for r in stats], default=0) // BUCKET_ROWS))

@@ -78,7 +78,7 @@ def _emails(t: str) -> Iterator[Candidate]:
             _vote(name and len(local) > 2, not name),
             _vote(bool(_MAIL_YES.search(before)), bool(_MAIL_NO.search(before))),
             _vote(len(labels) > 1 and all(re.search(r"[^\W\d_]", x) for x in labels), all(x.isdigit() for x in labels)),
-            _vote(not spaced or m[0] != "@", spaced and m[0] == "@" and (not name or end.isdigit())),
+            _vote(not spaced or m[0] != "@", end.isdigit() or spaced and m[0] == "@" and not name),
         ]
         yield Candidate(EMAIL, left.start(1), right.end(1), "".join(votes))
 
