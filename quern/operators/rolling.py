@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quern.workdir import exists, fresh_dir
 
@@ -38,13 +39,24 @@ class RollingDays:
     def __init__(self, spark: SparkSession, keys: Sequence[str], ts: str, version: Sequence[str], values: Sequence[str], active: str, periods: Sequence[int] = (7, 30), path: str | None = None):
         self.spark, self.keys, self.ts, self.order, self.values, self.active, self.periods = spark, list(keys), ts, list(version), list(values), active, sorted(periods)
         self.path, self.version = path or fresh_dir(spark, "rolling"), 0
+        self.schemas: dict[str, StructType] = {}
         self.amounts = [f"{p}_{v}" for v in self.values for p in ("sum", "n")]
         self.totals = [f"{a}_{p}" for p in self.periods for a in self.amounts]
 
     def _read(self, name: str) -> DataFrame | None:
         at = [f"{self.path}/{name}/version={v}" for v in range(1, self.version + 1)]
         at = [p for p in at if exists(self.spark, p)]
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*at) if at else None
+        if not at:
+            return None
+        # Given the schema, a folder without files (from an empty batch) is an empty table.
+        reader = self.spark.read.option("basePath", f"{self.path}/{name}")
+        return (reader.schema(self.schemas[name]) if name in self.schemas else reader).parquet(*at)
+
+    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
+        path = f"{self.path}/{name}/version={version}"
+        self.schemas[name] = StructType([*df.schema.fields, StructField("version", IntegerType())])
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def days(self) -> DataFrame | None:
         """The newest version of each entity's days."""
@@ -57,7 +69,7 @@ class RollingDays:
 
     def apply(self, arrivals: DataFrame) -> None:
         """One batch of events: new ones, late ones and corrections."""
-        spark, k, kd = self.spark, self.keys, [*self.keys, "day"]
+        k, kd = self.keys, [*self.keys, "day"]
         rank = F.struct(*[F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**62))).alias(c) for c in self.order], *[F.col(v).cast(_AMOUNT).alias(v) for v in self.values])
         rows = arrivals
         for c in [*k, self.ts]:
@@ -72,8 +84,7 @@ class RollingDays:
             before = self._read("events").withColumnRenamed("version", "events_version")
             again = before.join(old.select(*kd, "events_version").join(touched, kd, "left_semi"), [*kd, "events_version"], "left_semi").drop("events_version")
             rows = rows.unionByName(again).groupBy(*kd, "t").agg(F.max("event").alias("event"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/events/version={this}")
-        rows = spark.read.parquet(f"{self.path}/events/version={this}")
+        rows = self._write(rows, "events", this)
         daily = rows.groupBy(*kd).agg(*[x for v in self.values for x in (F.coalesce(F.sum(f"event.{v}"), F.lit(0)).cast(_AMOUNT).alias(f"sum_{v}"), F.count(f"event.{v}").cast(_AMOUNT).alias(f"n_{v}"))], F.max(F.coalesce(F.col(f"event.{self.active}") > 0, F.lit(False))).alias("active"), F.count("*").alias("events"))
         self._roll(daily.withColumn("events_version", F.lit(this)), old, this)
         self.version = this
@@ -114,4 +125,4 @@ class RollingDays:
             return F.sum((seed + F.col(a) - F.coalesce(F.col(f"{a}_gone_{p}"), F.lit(0))).cast(_AMOUNT)).over(run).cast(_AMOUNT).alias(f"{a}_{p}")
 
         out = today.select(*kd, *self.amounts, "active", "events", "events_version", *[total(a, p) for p in self.periods for a in self.amounts])
-        out.write.mode("overwrite").parquet(f"{self.path}/days/version={this}")
+        self._write(out, "days", this)

@@ -9,6 +9,7 @@ so that equal identifiers meet and collapse to one message.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ class MessageStore:
     def __init__(self, spark: SparkSession, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], buckets: int = 16, path: str | None = None):
         self.spark, self.keys, self.order, self.fields, self.buckets = spark, list(keys), list(order), list(fields), buckets
         self.path, self.generation = path or fresh_dir(spark, "messages"), 0
+        self.schema = None
 
     def _first(self, c: str) -> Column:
         """The order and value of the first delivery that has the field."""
@@ -51,6 +53,7 @@ class MessageStore:
         rows = rows.withColumn("run", F.coalesce(batch.cast("string"), F.lit("none")))
         once = rows.groupBy("run", *self.keys).agg(*[self._first(c) for c in self.fields], F.count("*").alias("deliveries"))
         once = once.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        self.schema = once.schema
         once = once.repartition("run", "bucket").sortWithinPartitions("run", "bucket", *self.keys)
         once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "bucket").parquet(f"{self.path}/runs")
 
@@ -60,7 +63,7 @@ class MessageStore:
         Written as the next generation of the storage, in which each bucket is one run;
         runs added later are merged with it by the next call.
         """
-        runs = self.spark.read.parquet(*self._generations())
+        runs = reduce(DataFrame.unionByName, [self._read(p) for p in self._generations()])
         # One task takes a bucket's runs; they are sorted already, so sorting merges them.
         merged = runs.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *self.keys)
         one = merged.groupBy("bucket", *self.keys).agg(*[F.min(c).alias(c) for c in self.fields], F.sum("deliveries").alias("deliveries"))
@@ -71,10 +74,14 @@ class MessageStore:
                 remove_dir(self.spark, old)
         return self.messages()
 
+    def _read(self, path: str) -> DataFrame:
+        """A folder may hold no file at all, after an empty batch."""
+        return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(path)
+
     def _generations(self) -> list[str]:
         return [p for p in (f"{self.path}/merged-{self.generation}", f"{self.path}/runs") if exists(self.spark, p)]
 
     def messages(self) -> DataFrame:
         """The compacted storage: keys, fields and the number of deliveries."""
-        got = self.spark.read.parquet(f"{self.path}/merged-{self.generation}")
+        got = self._read(f"{self.path}/merged-{self.generation}")
         return got.select(*self.keys, *[F.col(c)["value"].alias(c) for c in self.fields], F.col("deliveries").alias("n_deliveries"))
