@@ -72,7 +72,12 @@ def frame_archive(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     frame = "struct<a: bigint, f: struct<type: string, ts: bigint, data: struct<s: string, u: bigint, b: array<array<string>>, a: array<array<string>>>>>"
     rows = lines.select(F.from_json(column, frame).alias("x")).where("x.f.data IS NOT NULL")
-    levels = F.concat(*[F.transform(F.coalesce(F.col(f"x.f.data.{c}"), F.array().cast("array<array<string>>")), lambda v, s=s: F.struct(F.lit(s).alias("side"), v[0].cast(PRICE).alias("price"), v[1].cast(PRICE).alias("quantity"))) for c, s in (("b", "bid"), ("a", "ask"))])
+
+    def side(name: str, s: str) -> Column:
+        pairs = F.coalesce(F.col(f"x.f.data.{name}"), F.array().cast("array<array<string>>"))
+        return F.transform(pairs, lambda v: F.struct(F.lit(s).alias("side"), v[0].cast(PRICE).alias("price"), v[1].cast(PRICE).alias("quantity")))
+
+    levels = F.concat(side("b", "bid"), side("a", "ask"))
     return rows.select(F.col("x.f.data.s").alias("symbol"), (F.col("x.f.ts") * 1000).alias("us"), F.col("x.f.type").alias("kind"), F.col("x.f.data.u").alias("update_id"), F.explode(levels).alias("l")).select("symbol", "us", "kind", "update_id", "l.*")
 
 
