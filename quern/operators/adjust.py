@@ -51,3 +51,12 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], version: S
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in version], F.col("_new").desc())
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+
+
+def parse_factors(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines ``yyyyMMdd,price factor,split factor[,reference price]``; infinite or unreadable factors and dates are dropped."""
+    p = F.split(column, ",")
+    number = lambda i: F.expr(f"try_cast(split({column}, ',')[{i}] AS double)")
+    out = lines.where(F.size(p) >= 3).select(F.expr(f"try_to_timestamp(split({column}, ',')[0], 'yyyyMMdd')").cast("date").alias("date"), number(1).alias("price_factor"), number(2).alias("split_factor"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
+    return out.where(F.col("date").isNotNull() & finite("price_factor") & finite("split_factor"))

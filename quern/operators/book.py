@@ -32,11 +32,24 @@ def running_depth(changes: DataFrame, keys: Sequence[str] = ("symbol",), plan: S
     return running_sums(rows, keys, "us", ["seq"], {"bid_depth": bid, "ask_depth": ask}, plan)
 
 
-def sequence_gaps(rows: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
-    """keys, n_gaps, n_missing: breaks in the numbers of each key, and how many numbers are missing."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    step = rows.where(F.col(seq).isNotNull()).select(*keys, seq).distinct().withColumn("step", F.col(seq) - F.lag(seq).over(w))
-    return step.groupBy(*keys).agg(F.count_if(F.col("step") > 1).alias("n_gaps"), F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0)).alias("n_missing"))
+#: Sequence numbers of one block, within which gaps are looked for by one task.
+SEQ_BLOCK = 1_000_000
+
+
+def sequence_gaps(rows: DataFrame, keys: Sequence[str], seq: str = "seq", block: int = SEQ_BLOCK) -> DataFrame:
+    """keys, n_gaps, n_missing: breaks in the numbers of each key, and how many numbers are missing.
+
+    Gaps within blocks of numbers, then those between the last of a block and the first
+    of the next, of which there is one a block.  Rows without a number don't count; a key
+    that has none has no row.
+    """
+    ids = rows.where(F.col(seq).isNotNull()).select(*keys, F.col(seq).alias("seq")).distinct().withColumn("block", F.floor(F.col("seq") / block))
+    w = Window.partitionBy(*keys, "block").orderBy("seq")
+    ids = ids.withColumn("step", F.col("seq") - F.lag("seq").over(w))
+    missing = lambda c: F.coalesce(F.sum(F.when(c > 1, c - 1)), F.lit(0))
+    inside = ids.groupBy(*keys, "block").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_if(F.col("step") > 1).alias("gaps"), missing(F.col("step")).alias("missing"))
+    between = inside.withColumn("step", F.col("lo") - F.lag("hi").over(Window.partitionBy(*keys).orderBy("block")))
+    return between.groupBy(*keys).agg((F.sum("gaps") + F.count_if(F.col("step") > 1)).alias("n_gaps"), (F.sum("missing") + missing(F.col("step"))).alias("n_missing"))
 
 
 def level_changes(levels: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -70,7 +70,21 @@ def grid_points(symbols: DataFrame, job: JobSpec) -> DataFrame:
     return symbols.select("symbol", F.explode(F.sequence(F.lit(first), F.lit(max(first, job.end)), F.lit(job.step))).alias("bucket")).where(F.col("bucket") <= job.end)
 
 
-def observations(events: DataFrame, job: JobSpec) -> DataFrame:
+def snapshot(observed: DataFrame) -> DataFrame:
+    """The state of each symbol after its last observation: what a later run needs to go on."""
+    state = F.struct("bucket", *CARRIED, "volume", "trades_so_far", "cumulative_flow")
+    return observed.groupBy("symbol").agg(F.max_by(state, "bucket").alias("s")).select("symbol", "s.*")
+
+
+def _seeded(got: DataFrame, seed: DataFrame) -> DataFrame:
+    """Bucket rows with one more for each symbol, at its snapshot, that carries the state in."""
+    rows = seed.select("symbol", "bucket", *[F.col(c).alias(f"{c}_at") for c in CARRIED], F.col("volume").cast(_SUM).alias("state_volume"), F.col("trades_so_far").alias("trade_count"), F.col("cumulative_flow").cast(_SUM).alias("signed_quantity"), F.lit(True).alias("seed"))
+    ends = seed.select("symbol", F.col("bucket").alias("seen"))
+    later = got.join(ends, "symbol", "left").where(F.col("seen").isNull() | (F.col("bucket") > F.col("seen"))).drop("seen")
+    return later.withColumn("seed", F.lit(False)).unionByName(rows, allowMissingColumns=True)
+
+
+def observations(events: DataFrame, job: JobSpec, seed: DataFrame | None = None) -> DataFrame:
     """One row for each symbol and grid point (with fill_forward), or each bucket with events.
 
     Adds the carried state (``last``, ``bid_price``, ... null before the first event),
@@ -85,11 +99,15 @@ def observations(events: DataFrame, job: JobSpec) -> DataFrame:
         if job.symbols:
             named = events.sparkSession.createDataFrame([(s,) for s in job.symbols], "symbol string")
         got = grid_points(named, job).join(got, keys, "full")
+    if seed is not None:
+        got = _seeded(got, seed)
     w = Window.partitionBy("symbol").orderBy("bucket", *([] if job.step else ["seq", "stream"])).rowsBetween(Window.unboundedPreceding, 0)
     counts = ("trade_count", "quote_count", "event_count")
     sums = ("trade_volume", "notional", "aggressive_buy_volume", "aggressive_sell_volume", "signed_quantity", "state_volume")
     got = got.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {c: F.coalesce(c, F.lit(0)).cast(_SUM) for c in sums})
     out = got.withColumns({c: F.last(f"{c}_at", True).over(w) for c in CARRIED if c != "last_us"} | {"last_us": F.max("last_us_at").over(w), "volume": F.sum("state_volume").over(w).cast(_SUM), "trades_so_far": F.sum("trade_count").over(w), "cumulative_flow": F.sum("signed_quantity").over(w).cast(_SUM)})
+    if seed is not None:
+        out = out.where(~F.col("seed")).drop("seed")
     out = out.withColumn("data_quality", F.when(F.col("event_count") > 0, FRESH).when(F.col("last_us").isNotNull(), FILLED).otherwise(MISSING))
     out = out.withColumn("data_age_ms", F.coalesce((F.col("bucket") - F.col("last_us")) / 1000.0, F.lit(-1.0)))
     if job.max_observations:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.asof import asof
+from quern.shards import plan_shards
 
 
 def future_return(now: str, then: str) -> Column:
@@ -26,7 +27,8 @@ def label_after(rows: DataFrame, price: str, horizon: int, ts: str = "bucket", k
     if cap:
         w = Window.partitionBy(*keys).orderBy(ts)
         probes = probes.withColumn("due", F.least("due", F.lead(ts, cap).over(w)))
-    out = asof(probes, facts, keys, "due", "at", ["observed_at", "future"], forward=True).where(F.col("observed_at").isNotNull()).drop("due")
+    plan = plan_shards(facts, list(keys), "at")
+    out = asof(probes, facts, keys, "due", "at", ["observed_at", "future"], forward=True, plan=plan).where(F.col("observed_at").isNotNull()).drop("due")
     return out.withColumn("ret", future_return(price, "future"))
 
 

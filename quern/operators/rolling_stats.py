@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ def streaks(rows: DataFrame, flag: Column, keys: Sequence[str], order: Sequence[
 
 def upper_median(value: str) -> Column:
     """The middle value, of two the greater."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def performance(ret: str, rate: float = 0.0) -> list[Column]:
@@ -132,3 +132,27 @@ def expectancy(trades: DataFrame, keys: Sequence[str], order: Sequence[str], cap
     out = rows.groupBy(*keys).agg(F.coalesce(F.avg(F.when(win, F.col("rate"))), F.lit(0.0)).alias("mean_win"), F.coalesce(F.avg(F.when(loss, F.col("rate"))), F.lit(0.0)).alias("mean_loss"), F.avg(win.cast("double")).alias("win_rate"), F.avg(loss.cast("double")).alias("loss_rate"))
     ratio = F.coalesce(F.try_divide(F.col("mean_win"), F.nullif(F.abs("mean_loss"), F.lit(0.0))), F.lit(0.0))
     return out.withColumn("expectancy", F.col("win_rate") * ratio - F.col("loss_rate"))
+
+
+def drawdown_percent(value: Column, high: Column) -> Column:
+    """How far below the high, in percent with two places (halves to even); 0 without a high."""
+    return F.coalesce(F.bround((1 - F.try_divide(value.cast("double"), F.nullif(high.cast("double"), F.lit(0.0)))) * 100, 2), F.lit(0.0))
+
+
+def parameter_grid(spark, steps: Mapping[str, tuple[float, float, float]]) -> DataFrame:
+    """All combinations of parameters, each from (first, last, step)."""
+    out = None
+    for name, (first, last, step) in steps.items():
+        one = spark.range(int((last - first) / step + 1e-9) + 1).select((F.lit(first) + F.col("id") * step).alias(name))
+        out = one if out is None else out.join(one)
+    return out
+
+
+def best_result(results: DataFrame, target: str, constraints: Mapping[str, tuple[str, float]], largest: bool = True, column: str = "result") -> DataFrame:
+    """The row whose JSON result has the best target and meets all constraints (path: (operator, bound))."""
+    value = lambda path: F.get_json_object(column, path).cast("double")
+    rows = results.withColumn("_t", value(target)).where(F.col("_t").isNotNull())
+    for path, (op, bound) in constraints.items():
+        x = value(path)
+        rows = rows.where({"<": x < bound, "<=": x <= bound, ">": x > bound, ">=": x >= bound, "==": x == bound, "!=": x != bound}[op])
+    return rows.orderBy(F.col("_t").desc() if largest else F.col("_t")).limit(1).drop("_t")

@@ -33,3 +33,24 @@ def running_sums(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[st
 def ranked(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], name: str = "n", plan: ShardPlan | None = None) -> DataFrame:
     """df with the place of each row in its stream, from 1."""
     return running_sums(df, keys, ts, order, {name: F.lit(1).cast("bigint")}, plan)
+
+
+def islands(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], value: str, plan: ShardPlan | None = None) -> DataFrame:
+    """Runs of neighbouring rows with the same value: keys, value, first, last (of ``ts``), length.
+
+    Within shards first; then the first and last piece of each shard are put together
+    where their values go on.  Nulls are equal to each other.
+    """
+    keys = list(keys)
+    plan = plan or plan_shards(df, keys, ts)
+    rows = df.select(*keys, F.col(ts).alias("_t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).alias("_v")).withColumn("_shard", plan.of(F.col("_t")))
+    w = Window.partitionBy(*keys, "_shard").orderBy("_t", *[f"_o{i}" for i in range(len(order))])
+    rows = rows.withColumns({"_head": F.row_number().over(w) == 1, "_tail": F.lead("_t").over(w).isNull(), "_go": F.lag("_v").over(w).eqNullSafe(F.col("_v"))})
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_head") | ~F.col("_go"), 1).otherwise(0)).over(w))
+    piece = rows.groupBy(*keys, "_shard", "_run").agg(F.max("_v").alias("_v"), F.min("_t").alias("first"), F.max("_t").alias("last"), F.count("*").alias("n"), F.max("_head").alias("_head"), F.max("_tail").alias("_tail"))
+    piece = piece.withColumn("_part", F.when(F.col("_head") | F.col("_tail"), F.lit(None)).otherwise(F.col("_shard")))
+    e = Window.partitionBy(*keys, "_part").orderBy("_shard", "_run")
+    piece = piece.withColumn("_joins", F.col("_head") & (F.row_number().over(e) > 1) & F.lag("_v").over(e).eqNullSafe(F.col("_v")))
+    piece = piece.withColumn("_whole", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(e))
+    out = piece.groupBy(*keys, "_part", "_whole").agg(F.max("_v").alias(value), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("length"))
+    return out.select(*keys, value, "first", "last", "length")

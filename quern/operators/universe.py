@@ -87,3 +87,21 @@ def members_diff(members: DataFrame, date: str, member: str) -> DataFrame:
 
 def members_only(rows: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(members.select(*on), list(on), "left_semi")
+
+
+def on_dates(members: DataFrame, dates: DataFrame, start: str, end: str) -> DataFrame:
+    """Members as of each date of a schedule: rows whose span [start, end) holds it, null ends open."""
+    return members.join(dates, (F.col("date") >= F.col(start)) & (F.col("date") < F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))))
+
+
+def calendar(dates: DataFrame, rule: str, offset: int = 0) -> DataFrame:
+    """Of trading days (date), those that a rule names: every_day, week_start, week_end, month_start, month_end, year_start, year_end.
+
+    ``offset``: so many trading days after the start, or before the end.
+    """
+    if rule == "every_day":
+        return dates
+    unit, side = rule.split("_")
+    order = F.col("date") if side == "start" else F.col("date").desc()
+    w = Window.partitionBy(F.date_trunc(unit, "date")).orderBy(order)
+    return dates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == offset + 1).drop("_n")

@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from quern.workdir import exists, fresh_dir, remove_dir
 
 
+#: Messages that one bucket of the storage should hold.
+BUCKET_ROWS = 20_000_000
+
+
+def buckets_for(rows: int, least: int = 16) -> int:
+    """How many buckets a store of so many messages should have."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 class MessageStore:
     """Messages by identifier, below ``path``.
 

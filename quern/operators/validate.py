@@ -71,3 +71,30 @@ def check_freshness(rows: DataFrame) -> DataFrame:
 def check_coverage(rows: DataFrame, start: int, end: int, step: int) -> DataFrame:
     g = rows.where("data_quality = 2").groupBy("symbol").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.count("*").alias("fresh"))
     return g.withColumn("starts_late", F.col("first") > start + step).withColumn("ends_early", F.col("last") < end - step)
+
+
+#: Findings of one check that a report keeps; the rest are counted in theirs.
+REPORTED = 20
+
+
+def report(all_findings: DataFrame) -> DataFrame:
+    """The findings of each check that concern most rows, at most ``REPORTED`` of them: a top-k report."""
+    w = Window.partitionBy("check_id").orderBy(F.col("n").desc(), "symbol", "message")
+    return all_findings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= REPORTED)
+
+
+def enforce(all_findings: DataFrame, mode: str) -> DataFrame:
+    """off: no findings; warn: the report; fail: raises if any is an error."""
+    if mode == "off":
+        return all_findings.limit(0)
+    if mode == "fail":
+        worst = all_findings.where("severity = 'error'").groupBy("check_id").agg(F.sum("n").alias("n")).collect()
+        if worst:
+            raise ValueError("checks failed: " + ", ".join(f"{r['check_id']} ({r['n']})" for r in sorted(worst)))
+    return report(all_findings)
+
+
+def check_unresolved(rows: DataFrame, label: str, most: float = 0.25) -> DataFrame:
+    """symbol, share of rows without a label, and whether it is above ``most``."""
+    share = F.avg(F.col(label).isNull().cast("double"))
+    return rows.groupBy("symbol").agg(share.alias("unresolved_share")).withColumn("warn", F.col("unresolved_share") > most)

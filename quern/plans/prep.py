@@ -9,7 +9,7 @@ from quern.operators.changefeed import ChangeFeed, file_stream
 from quern.operators.outliers import Readings, flag_outliers
 from quern.operators.regrid import READING, regular_grid
 from quern.operators.rolling import RollingDays
-from quern.operators.upsert import MessageStore
+from quern.operators.upsert import MessageStore, buckets_for
 from quern.tables import table
 
 STREAM = ("symbol", "venue")
@@ -60,7 +60,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "trades")
     ident = F.nullif(F.lower(F.trim("trade_id")), F.lit(""))
     rows = rows.select(*STREAM, F.coalesce(F.concat(F.lit("id "), ident), F.concat(F.lit("row "), F.col("delivery_id"))).alias("ident"), "delivery_id", "arrival_ms", "timestamp_ms", "price", "size", F.lower("side").alias("side"))
-    store = MessageStore(spark, [*STREAM, "ident"], ["arrival_ms", "delivery_id"], ["arrival_ms", "timestamp_ms", "price", "size", "side"])
+    store = MessageStore(spark, [*STREAM, "ident"], ["arrival_ms", "delivery_id"], ["arrival_ms", "timestamp_ms", "price", "size", "side"], buckets_for(rows.count()))
     store.upsert(rows, F.floor(F.col("arrival_ms") / RUN_MS))
     got = store.compact()
     return got.withColumn("trade_id", F.when(F.col("ident").startswith("id "), F.expr("substring(ident, 4)")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import bars as b
 from quern.operators import matching as m
 from quern.operators import rolling_stats as r
+from quern.operators.running import islands
 from quern.plans.q_grid import HOUR, TRADES, QUOTES, quotes, trades
 from quern.tables import table
 
@@ -208,9 +209,9 @@ def prob_sharpe(spark, d):
     return r.probabilistic_sharpe(_returns(spark, d), "ret", ["k"])
 
 
-@query("group_adjacent", f"WITH {TRADES}, c AS (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY symbol ORDER BY us, seq) THEN 0 ELSE 1 END AS x FROM t), g AS (SELECT *, sum(x) OVER (PARTITION BY symbol ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS isl FROM c) SELECT symbol, CAST(isl AS BIGINT) AS island, min(side) AS side, count(*) AS length FROM g GROUP BY 1, 2")
+@query("group_adjacent", f"WITH {TRADES}, c AS (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY symbol ORDER BY us, seq) THEN 0 ELSE 1 END AS x FROM t), g AS (SELECT *, sum(x) OVER (PARTITION BY symbol ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS isl FROM c) SELECT symbol, min(side) AS side, min(us) AS first, max(us) AS last, count(*) AS length FROM g GROUP BY symbol, isl")
 def group_adjacent(spark, d):
-    return r.streaks(trades(spark, d), F.col("side"), ["symbol"], ["us", "seq"]).select("symbol", "island", F.col("flag").alias("side"), "length")
+    return islands(trades(spark, d), ["symbol"], "us", ["seq"], "side")
 
 
 # ---- trades

@@ -117,3 +117,13 @@ def synthetic_events(spark: SparkSession, n: int, symbols: int = 4, start_us: in
     rows = spark.range(n)
     out = conform(rows, "trade", 0, symbol=F.concat(F.lit("S"), i % symbols), venue=F.lit("synthetic"), us=F.lit(start_us) + i * 1000, seq=i, price=F.when(trade, mid), quantity=F.when(trade, 1 + h(2) % 9), side=F.when(trade, F.when(h(3) % 2 == 0, "buy").otherwise("sell")), bid_price=F.when(~trade, mid - half), bid_size=F.when(~trade, 1 + h(4) % 5), ask_price=F.when(~trade, mid + half), ask_size=F.when(~trade, 1 + h(5) % 5))
     return out.withColumn("kind", F.when(F.col("price").isNotNull(), "trade").otherwise("quote"))
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """What a data folder holds: for each asset class, market, resolution, ticker and tick type its dates, files and bytes.
+
+    Only names and sizes are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    rows = with_path_fields(files, F.col("path")).where(F.col("date") != "")
+    return rows.groupBy("asset", "market", "resolution", "ticker", "tick").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_files"), F.sum("length").alias("bytes"))

@@ -63,6 +63,17 @@ def live_state(events: DataFrame, origin: int, step: int) -> DataFrame:
     return events.groupBy("symbol").applyInPandasWithState(step_on, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def live_labels(observed: DataFrame, horizon_us: int, late_us: int = 0) -> DataFrame:
+    """Observations of a stream (symbol, ts, price) on a regular grid, each joined with the one a horizon later.
+
+    What waits is bounded: the watermark drops observations older than the horizon.
+    """
+    now = observed.withWatermark("ts", f"{late_us} microseconds").select("symbol", "ts", "price")
+    then = observed.withWatermark("ts", f"{late_us} microseconds").select(F.col("symbol").alias("s"), F.col("ts").alias("observed_at"), F.col("price").alias("future"))
+    both = now.join(then, F.expr(f"symbol = s AND observed_at = ts + INTERVAL '{horizon_us / 1e6}' SECOND"))
+    return both.select("symbol", "ts", "observed_at", "price", "future", (F.try_divide("future", "price") - 1).alias("ret"))
+
+
 def run_now(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Process all a stream has now into Parquet below ``path``; a later call goes on from there."""
     if mode == "append":

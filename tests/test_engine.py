@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
-from quern.operators import asof, bars, book, events, features, grid, labels, matching, portfolio, universe, validate
+from quern.operators import adjust, asof, bars, book, events, features, grid, labels, matching, portfolio, rolling_stats, universe, validate
 from quern.operators.fold import fold
-from quern.operators.running import ranked, running_sums
+from quern.operators.running import islands, ranked, running_sums
 from quern.plans.job import Condition, JobSpec, micros, parse_span
 from quern.shards import ShardPlan, plan_shards
 from quern.sources import feeds, sinks
@@ -122,6 +122,22 @@ def test_chunks_equal_the_whole(spark):
     assert rows_of(head.unionByName(tail), "symbol", "bucket", "event_count", "close_at") == whole
 
 
+def test_resuming_equals_one_run(spark):
+    rng = random.Random(11)
+    ev = events.unified([trades(spark, [(rng.choice("AB"), rng.randrange(10 * MIN), i, rng.randrange(1, 99), rng.randrange(1, 5), rng.choice(["buy", "sell"])) for i in range(60)] + [("C", 8 * MIN, 90, 5, 1, "buy")]), quotes(spark, [("A", 2 * MIN, 100, 9, 1, 10, 1)])])
+    cols = ["symbol", "bucket", "last", "volume", "trades_so_far", "cumulative_flow", "bid_price", "data_quality", "data_age_ms", "trade_count"]
+    for fill in (True, False):
+        job = replace(JOB, fill_forward=fill)
+        whole = rows_of(grid.observations(events.select_events(ev, job), job), *cols)
+        first = replace(job, end=4 * MIN)
+        head = grid.observations(events.select_events(ev, first), first)
+        rest = replace(job, start=4 * MIN + 1, anchor=0)
+        tail = grid.observations(events.select_events(ev, rest), rest, seed=grid.snapshot(head))
+        got = rows_of(head, *cols) + rows_of(tail, *cols)
+        missing = [r for r in whole if r[0] == "C" and r[1] <= 4 * MIN]  # a symbol that only the later run knows
+        assert sorted(got + missing, key=repr) == whole
+
+
 def test_quote_depth(spark):
     ev = quotes(spark, [("A", 1, 1, 100, 3, 101, 1)])
     obs = grid.observations(ev, replace(JOB, end=0))
@@ -200,6 +216,12 @@ def test_running_sums_in_shards(spark):
             for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1):
                 total += r[3]
                 assert got[r[2]] == (total, n)
+    got = [rows_of(islands(df.withColumn("y", F.col("x") > 2), ["k"], "t", ["i"], "y", plan)) for plan in (None, ShardPlan(3, 50))]
+    assert got[0] == got[1] and sum(r[4] for r in got[0]) == 300
+    for k in "AB":
+        own = [r for r in got[0] if r[0] == k]
+        flags = [r[3] > 2 for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))]
+        assert len(own) == 1 + sum(a != b for a, b in zip(flags, flags[1:]))
     plan = plan_shards(df, ["k"], "t", 20)
     assert plan.shards > 3 and plan_shards(df.limit(0), ["k"], "t").shards == 1
 
@@ -271,6 +293,34 @@ def test_findings_count_each_problem(spark):
     assert rows_of(validate.findings(df, "c", {"negative": F.col("x") >= 0}), "symbol", "n", "first", "last") == [("A", 2, 2, 3)]
 
 
+@pytest.mark.parametrize("block", [3, 10**6])
+def test_sequence_gaps_across_blocks(spark, block):
+    df = spark.createDataFrame([("A", x) for x in (1, 2, 5, 5, 6, 12, None)] + [("B", 4), ("C", None)], "k string, seq bigint")
+    assert rows_of(book.sequence_gaps(df, ["k"], block=block)) == [("A", 2, 7), ("B", 0, 0)]
+
+
+def test_reports_and_modes(spark):
+    df = spark.createDataFrame([("S%02d" % i, i, -1.0) for i in range(30)], "symbol string, bucket bigint, x double")
+    f = validate.findings(df, "c", {"negative": F.col("x") >= 0})
+    assert validate.enforce(f, "off").count() == 0 and validate.enforce(f, "warn").count() == 20
+    with pytest.raises(ValueError, match=r"c \(30\)"):
+        validate.enforce(f, "fail")
+    assert validate.check_unresolved(df.withColumn("y", F.lit(None).cast("double")), "y").where("warn").count() == 30
+
+
+def test_calendars_factors_and_optimizer(spark):
+    days = spark.createDataFrame([(d,) for d in ("2024-01-02", "2024-01-03", "2024-01-08", "2024-02-01", "2024-02-29")], "d string").select(F.col("d").cast("date").alias("date"))
+    pick = lambda rule, n=0: [str(r[0]) for r in rows_of(universe.calendar(days, rule, n))]
+    assert sorted(pick("month_start")) == ["2024-01-02", "2024-02-01"] and sorted(pick("month_end", 1)) == ["2024-01-03", "2024-02-01"] and pick("year_end") == ["2024-02-29"]
+    lines = spark.createDataFrame([("20240102,0.5,0.25,10",), ("20240103,inf,1",), ("bad,1,1",), ("x",)], "value string")
+    assert [r[1:] for r in rows_of(adjust.parse_factors(lines))] == [(0.5, 0.25)]
+    grid_ = rolling_stats.parameter_grid(spark, {"a": (1, 2, 0.5), "b": (0, 1, 1)})
+    assert grid_.count() == 6
+    res = spark.createDataFrame([(1, '{"s":{"x":2,"d":0.5}}'), (2, '{"s":{"x":3,"d":0.9}}'), (3, "{}")], "i int, result string")
+    assert rolling_stats.best_result(res, "$.s.x", {"$.s.d": ("<", 0.8)}).collect()[0]["i"] == 1
+    assert spark.range(1).select(rolling_stats.drawdown_percent(F.lit(75), F.lit(100))).collect()[0][0] == 25
+
+
 # ---- accounts
 
 
@@ -419,6 +469,22 @@ def test_live_bars_drop_nothing_in_order(spark, tmp_path):
     assert got[:4] == [(0, 60), (120_000_000, 60), (180_000_000, 60), (60_000_000, 60)]
 
 
+def test_discovery(spark, tmp_path):
+    for date in ("20240102", "20240105"):
+        f = tmp_path / "data" / feeds.data_path("equity", "usa", "minute", "SPY", date, "trade")
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"12345")
+    assert rows_of(feeds.discover(spark, f"{tmp_path}/data"), "market", "ticker", "tick", "first_date", "last_date", "n_files", "bytes") == [("usa", "spy", "trade", "20240102", "20240105", 2, 10)]
+
+
+def test_live_labels_join_a_horizon_later(spark, tmp_path):
+    df = spark.range(20).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 60 + 600).alias("ts"), (F.col("id") + 1.0).alias("price"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live.run_now(live.live_labels(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 5 * MIN), f"{tmp_path}/run")
+    got = spark.read.parquet(f"{tmp_path}/run/out")
+    assert got.count() == 15 and got.where("future != price + 5").count() == 0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(1234.567, -1.239, "2024-01-05")], "x double, y double, d string").withColumn("d", F.col("d").cast("date"))
     got = df.select(sc.significant(F.col("x"), 2), sc.round_to(F.col("x"), 0.5), sc.truncate(F.col("y"), 2), sc.smart_round(F.col("x")), sc.next_business_day(F.col("d")).cast("string"), sc.previous_business_day(F.col("d")).cast("string"), sc.end_of_quarter(F.col("d")).cast("string"), sc.column_name(F.lit("A b-C"))).collect()[0]
