@@ -95,21 +95,19 @@ class RollingDays:
         if old is None:
             span = changed.groupBy(*k).agg(F.min("day").alias("first"), F.max("day").alias("last"))
             affected = span.select(*k, F.explode(F.sequence("first", "last")).alias("day"))
-            amounts = affected.join(changed, kd, "left")
+            amounts = affected.join(changed, kd, "left").withColumn("affected", F.lit(True))
         else:
             both = old.select(*kd, F.lit(False).alias("new")).unionByName(changed.select(*kd, F.lit(True).alias("new")))
             span = both.groupBy(*k).agg(F.min("day").alias("first"), F.max("day").alias("last"), F.min(F.when(~F.col("new"), F.col("day"))).alias("was_first"), F.max(F.when(~F.col("new"), F.col("day"))).alias("was_last"))
             hit = changed.select(*kd).join(span, k).select(*k, F.explode(F.sequence(F.col("day"), F.least(F.col("day") + far - 1, F.col("last")))).alias("day"))
             added = span.select(*k, F.explode(F.sequence("first", "last")).alias("day"), "was_first", "was_last").where(F.col("was_first").isNull() | (F.col("day") < F.col("was_first")) | (F.col("day") > F.col("was_last"))).select(*kd)
-            affected = hit.unionByName(added).distinct()
+            affected = hit.unionByName(added).distinct().withColumn("affected", F.lit(True))
             kept = old.select(*kd, *facts).join(changed.select(*kd), kd, "left_anti")
-            amounts = kept.unionByName(changed.select(*kd, *facts))
-            amounts = affected.join(amounts, kd, "full")  # days outside of affected are what expires
-        amounts = amounts.select(*kd, *[F.coalesce(F.col(a), F.lit(0)).cast(_AMOUNT).alias(a) for a in self.amounts], F.coalesce("active", F.lit(False)).alias("active"), F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("events_version", F.lit(this)).alias("events_version"))
-        today = affected.join(amounts, kd)
-        for p in self.periods:
-            gone = amounts.select(*k, (F.col("day") + p).alias("day"), *[F.col(a).alias(f"{a}_gone_{p}") for a in self.amounts])
-            today = today.join(gone, kd, "left")
+            # Days that aren't affected stay in, as those that expire.
+            amounts = affected.join(kept.unionByName(changed.select(*kd, *facts)), kd, "full")
+        amounts = amounts.select(*kd, *[F.coalesce(F.col(a), F.lit(0)).cast(_AMOUNT).alias(a) for a in self.amounts], F.coalesce("active", F.lit(False)).alias("active"), F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("events_version", F.lit(this)).alias("events_version"), "affected")
+        expiring = {p: Window.partitionBy(*k).orderBy("day").rangeBetween(-p, -p) for p in self.periods}
+        today = amounts.withColumns({f"{a}_gone_{p}": F.sum(a).over(w) for p, w in expiring.items() for a in self.amounts}).where("affected")
         if old is not None:
             yesterday = old.select(*k, (F.col("day") + 1).alias("day"), *[F.col(t).alias(f"{t}_before") for t in self.totals])
             today = today.join(yesterday, kd, "left")
