@@ -45,10 +45,22 @@ class MessageStore:
         self.path, self.generation = path or fresh_dir(spark, "messages"), 0
         self.schema = None
 
-    def _first(self, c: str) -> Column:
-        """The order and value of the first delivery that has the field."""
-        at = [F.coalesce(F.col(o).cast("bigint"), F.lit(2**62)).alias(o) for o in self.order]
-        return F.min(F.when(F.col(c).isNotNull(), F.struct(*at, F.col(c).alias("value")))).alias(c)
+    def _at(self) -> list[Column]:
+        return [F.coalesce(F.col(o).cast("bigint"), F.lit(2**62)).alias(o) for o in self.order]
+
+    def _combined(self) -> list[Column]:
+        """The first delivery that has all fields, and of those that lack some the first with each field.
+
+        Nearly all deliveries have all fields, so a row is hardly wider than a delivery.
+        """
+        whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in self.fields])
+        first = F.min(F.when(whole, F.struct(F.struct(*self._at()).alias("at"), F.struct(*self.fields).alias("value")))).alias("whole")
+        return [first, *[F.min(F.when(~whole & F.col(c).isNotNull(), F.struct(F.struct(*self._at()).alias("at"), F.col(c).alias("value")))).alias(f"only_{c}") for c in self.fields]]
+
+    def _field(self, c: str) -> Column:
+        """Of a field the value of the earlier of the two."""
+        of_whole = F.when(F.col("whole").isNotNull(), F.struct(F.col("whole.at").alias("at"), F.col(f"whole.value.{c}").alias("value")))
+        return F.array_min(F.array(of_whole, F.col(f"only_{c}")))["value"].alias(c)
 
     def upsert(self, deliveries: DataFrame, batch: Column) -> None:
         """Add deliveries as one sorted run for each value of ``batch``; replaces runs of the same name.
@@ -60,7 +72,7 @@ class MessageStore:
         for c in self.keys:
             rows = rows.where(F.col(c).isNotNull())
         rows = rows.withColumn("run", F.coalesce(batch.cast("string"), F.lit("none")))
-        once = rows.groupBy("run", *self.keys).agg(*[self._first(c) for c in self.fields], F.count("*").alias("deliveries"))
+        once = rows.groupBy("run", *self.keys).agg(*self._combined(), F.count("*").alias("deliveries"))
         once = once.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
         self.schema = once.schema
         once = once.repartition("run", "bucket").sortWithinPartitions("run", "bucket", *self.keys)
@@ -75,7 +87,7 @@ class MessageStore:
         runs = reduce(DataFrame.unionByName, [self._read(p) for p in self._generations()])
         # One task takes a bucket's runs; they are sorted already, so sorting merges them.
         merged = runs.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *self.keys)
-        one = merged.groupBy("bucket", *self.keys).agg(*[F.min(c).alias(c) for c in self.fields], F.sum("deliveries").alias("deliveries"))
+        one = merged.groupBy("bucket", *self.keys).agg(*[F.min(c).alias(c) for c in ("whole", *[f"only_{c}" for c in self.fields])], F.sum("deliveries").alias("deliveries"))
         self.generation += 1
         one.sortWithinPartitions("bucket", *self.keys).withColumn("run", F.lit(f"generation {self.generation}")).write.mode("overwrite").partitionBy("run", "bucket").parquet(f"{self.path}/merged-{self.generation}")
         for old in (f"{self.path}/runs", f"{self.path}/merged-{self.generation - 1}"):
@@ -93,4 +105,4 @@ class MessageStore:
     def messages(self) -> DataFrame:
         """The compacted storage: keys, fields and the number of deliveries."""
         got = self._read(f"{self.path}/merged-{self.generation}")
-        return got.select(*self.keys, *[F.col(c)["value"].alias(c) for c in self.fields], F.col("deliveries").alias("n_deliveries"))
+        return got.select(*self.keys, *[self._field(c) for c in self.fields], F.col("deliveries").alias("n_deliveries"))
