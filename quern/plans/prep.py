@@ -39,8 +39,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every grid point with the last bid_price in force and the interpolated one."""
-    return _grid(spark, d).select("job_id", "symbol", "grid_ms", "status", F.round("value", 8).alias("bid_price"), F.round("smooth", 8).alias("interpolated"), "long_gap")
+    """Every grid point with its status and the bid_price in force."""
+    return _grid(spark, d).select("job_id", "symbol", "grid_ms", "status", F.col("value").alias("bid_price"))
+
+
+def p7_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """Every grid point with the interpolated bid_price, and whether it lies in a long gap."""
+    return _grid(spark, d).select("job_id", "symbol", "grid_ms", F.round("smooth", 8).alias("interpolated"), "long_gap")
 
 
 P7_SQL = """
@@ -49,10 +54,11 @@ WITH j AS (
   FROM research_jobs, unnest(symbols) AS s(symbol) WHERE observation_interval_seconds > 0
 ), g AS (
   SELECT job_id, symbol, venue, t0, step, fill, t0 + k * step AS grid_ms FROM j, unnest(range(1, (t1 - t0) // step + 1)) AS x(k)
-), q AS (SELECT symbol, venue, timestamp_ms AS t FROM quotes WHERE bid_price > 0),
-a AS (SELECT g.*, q.t FROM g ASOF LEFT JOIN q ON g.symbol = q.symbol AND g.venue = q.venue AND g.grid_ms >= q.t)
-SELECT job_id, symbol, grid_ms, CASE WHEN fill AND t > t0 THEN 'filled' ELSE 'missing' END AS status
-FROM a WHERE t IS NULL OR t <= grid_ms - step
+), q AS (SELECT symbol, venue, timestamp_ms AS t, bid_price FROM quotes WHERE bid_price > 0),
+a AS (SELECT g.*, q.t, CAST(q.bid_price AS DOUBLE) AS bid FROM g ASOF LEFT JOIN q ON g.symbol = q.symbol AND g.venue = q.venue AND g.grid_ms >= q.t)
+, s AS (
+  SELECT job_id, symbol, grid_ms, bid, CASE WHEN t > greatest(grid_ms - step, t0) THEN 'reading' WHEN fill AND t > t0 THEN 'filled' ELSE 'missing' END AS status FROM a
+)
 """
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +158,7 @@ WITH b AS (
 )
 """
 
-QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p6_found": p6_found, "p6_levels": p6_levels, "p7_found": p7_found, "p7_grid": p7_grid}
+QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p6_found": p6_found, "p6_levels": p6_levels, "p7_found": p7_found, "p7_grid": p7_grid, "p7_smooth": p7_smooth}
 SQL = {
     "p2_found": P2_SQL + "SELECT symbol, venue, strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS bar_date FROM f WHERE NOT active",
     "p2_rolling": P2_SQL + "SELECT symbol, venue, strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS bar_date, " + ", ".join(_P2_PERIOD.format(p=p) for p in (7, 30)) + " FROM f WINDOW w7 AS (PARTITION BY symbol, venue ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY symbol, venue ORDER BY day ROWS 29 PRECEDING)",
@@ -164,5 +170,6 @@ SELECT venue, symbol, trade_id, coalesce(first(timestamp_ms ORDER BY arrival_ms,
 FROM t GROUP BY venue, symbol, trade_id, CASE WHEN trade_id IS NULL THEN delivery_id END""",
     "p6_found": P6_SQL + "SELECT symbol, venue, side, change_id FROM b WHERE n = 1 AND NOT gone",
     "p6_levels": P6_SQL + "SELECT symbol, venue, side, price, quantity, change_id FROM b WHERE n = 1 AND NOT gone",
-    "p7_found": P7_SQL,
+    "p7_found": P7_SQL + "SELECT job_id, symbol, grid_ms, status FROM s WHERE status <> 'reading'",
+    "p7_grid": P7_SQL + "SELECT job_id, symbol, grid_ms, status, CASE WHEN status <> 'missing' THEN bid END AS bid_price FROM s",
 }

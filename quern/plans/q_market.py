@@ -334,13 +334,19 @@ def stop_limit_fill(spark, d):
     return _filled(spark, d, "stop_limit").withColumn("fill_price", F.round("fill_price", 6))
 
 
-@query("other_fills")
-def other_fills(spark, d):
-    """Orders filled on touch, at the open and at the close, and stops that trail."""
-    rows = _orders(spark, d)
-    a = od.fill_orders(rows.where(F.col("type").isin("touched", "on_open", "on_close")), _hourly(spark, d), 3 * DAY)
-    t = od.trailing_stops(rows.withColumn("stop", F.col("stop")), _hourly(spark, d), 3 * DAY)
-    return a.withColumn("how", F.lit("order")).unionByName(t.withColumnRenamed("stop", "fill_price").withColumn("how", F.lit("trailing")))
+@query("touched_fill", _LIMIT + ", u AS (SELECT *, CASE WHEN buy THEN lim + 2 ELSE lim - 2 END AS touch FROM m WHERE kind = 4), g AS (SELECT *, bool_or(CASE WHEN buy THEN l <= touch ELSE h >= touch END) OVER (PARTITION BY order_id ORDER BY bus ROWS UNBOUNDED PRECEDING) AS latched FROM u) SELECT order_id, min(bus) AS fill_us, round(arg_min(lim, bus), 6) AS fill_price FROM g WHERE latched AND CASE WHEN buy THEN c <= lim ELSE c >= lim END GROUP BY 1")
+def touched_fill(spark, d):
+    return _filled(spark, d, "touched").withColumn("fill_price", F.round("fill_price", 6))
+
+
+@query("open_close_fills", _LIMIT + " SELECT order_id, min(bus) AS fill_us, round(CASE WHEN any_value(kind) = 5 THEN arg_min(o, bus) ELSE arg_min(c, bus) END, 6) AS fill_price FROM m WHERE kind IN (5, 6) GROUP BY 1")
+def open_close_fills(spark, d):
+    return _filled(spark, d, "on_open").unionByName(_filled(spark, d, "on_close")).withColumn("fill_price", F.round("fill_price", 6))
+
+
+@query("trailing_stops", _LIMIT + ", g AS (SELECT *, CASE WHEN buy THEN least(stop, min(c) OVER w + 4) ELSE greatest(stop, max(c) OVER w - 4) END AS now FROM m WINDOW w AS (PARTITION BY order_id ORDER BY bus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT order_id, min(bus) AS fill_us, round(arg_min(now, bus), 6) AS stop FROM g WHERE CASE WHEN buy THEN h >= now ELSE l <= now END GROUP BY 1")
+def trailing_stops(spark, d):
+    return od.trailing_stops(_orders(spark, d), _hourly(spark, d), 3 * DAY).withColumn("stop", F.round("stop", 6))
 
 
 @query("slippage_volume_share", f"WITH {TRADES} SELECT seq, round(pow(least(quantity / 200.0, 0.025), 2) * 0.1 * CAST(price AS DOUBLE), 10) AS slippage, round(greatest(CAST(price AS DOUBLE) * quantity * 7.5 / 10000 + quantity * 0.005, 0.35), 8) AS fee FROM t")
@@ -462,7 +468,7 @@ def stream_live_bars(spark, d):
     return doubles(spark.read.parquet(f"{at}/out"), "close", "volume").select("symbol", "bar", "close", "volume", "n")
 
 
-@query("stream_live_state")
+@query("stream_live_state", f"WITH {TRADES}, b AS (SELECT symbol, {bucket_sql(step=DAY)} AS bucket, count(*) AS n, sum(quantity) AS q, arg_max(price, (us, seq)) AS p FROM t GROUP BY 1, 2), r AS (SELECT symbol, bucket, CAST(p AS DOUBLE) AS last, CAST(sum(q) OVER w AS DOUBLE) AS volume, CAST(sum(n) OVER w AS BIGINT) AS trades, 0 AS late, max(bucket) OVER (PARTITION BY symbol) AS newest FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS UNBOUNDED PRECEDING)) SELECT symbol, bucket, last, volume, trades, late FROM r WHERE bucket < newest")
 def stream_live_state(spark, d):
     at = fresh_dir(spark, "stream")
     live.run_now(live.live_state(_event_stream(spark, d), START, DAY), at)
