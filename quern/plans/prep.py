@@ -23,6 +23,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return flag_outliers(spark, [quotes, trades])
 
 
+_P4_STREAM = "PARTITION BY rec_table, field_name, symbol, venue"
+P4_SQL = f"""
+WITH r AS (
+  SELECT 'quotes' AS rec_table, quote_id AS rec_id, symbol, venue, timestamp_ms AS ts, 'bid_price' AS field_name, bid_price AS v, true AS moves, NULL AS mark FROM quotes
+  UNION ALL SELECT 'quotes', quote_id, symbol, venue, timestamp_ms, 'ask_price', ask_price, true, NULL FROM quotes
+  UNION ALL SELECT 'trades', delivery_id, symbol, venue, timestamp_ms, 'price', price, true, lower(trim(trade_id)) FROM trades
+  UNION ALL SELECT 'trades', delivery_id, symbol, venue, timestamp_ms, 'size', size, false, lower(trim(trade_id)) FROM trades
+), t AS (SELECT * FROM r WHERE ts IS NOT NULL AND symbol IS NOT NULL AND venue IS NOT NULL),
+f1 AS (SELECT *, CASE WHEN v = lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id) THEN 0 ELSE 1 END AS fresh FROM t),
+f2 AS (SELECT *, sum(fresh) OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS run FROM f1),
+f3 AS (SELECT *, count(*) OVER (PARTITION BY rec_table, field_name, symbol, venue, run) AS n FROM f2),
+p AS (SELECT *, coalesce(mark, '#' || rec_id) AS k, row_number() OVER (PARTITION BY rec_table, field_name, symbol, venue, coalesce(mark, '#' || rec_id), v ORDER BY ts, rec_id) AS copy FROM t WHERE v > 0),
+d AS (SELECT *, abs(v - lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id)) AS step FROM p),
+u AS (SELECT rec_table, field_name, symbol, venue, median(CAST(step AS DOUBLE)) FILTER (step > 0) AS usual_step, median(CAST(v AS DOUBLE)) AS usual_value, count(*) AS n FROM d GROUP BY ALL),
+m AS (SELECT *, CAST(v AS DOUBLE) AS x, median(CAST(v AS DOUBLE)) OVER ({_P4_STREAM} ORDER BY ts, rec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mid FROM p WHERE copy = 1),
+h AS (
+  SELECT m.*, CASE WHEN moves THEN 18 * usual_step ELSE 63 * usual_value END AS reach, CASE WHEN moves THEN abs(x - mid) > 18 * usual_step ELSE x > 64 * usual_value END AS far
+  FROM m JOIN u USING (rec_table, field_name, symbol, venue) WHERE u.n >= 3
+), g AS (
+  SELECT *, CASE WHEN lag(x) OVER w IS NULL OR abs(x - lag(x) OVER w) > reach OR far <> lag(far) OVER w THEN 1 ELSE 0 END AS fresh FROM h WINDOW w AS ({_P4_STREAM} ORDER BY ts, rec_id)
+), l AS (SELECT *, sum(fresh) OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS level FROM g),
+b AS (SELECT *, count(*) OVER (PARTITION BY rec_table, field_name, symbol, venue, level) AS n FROM l)
+SELECT rec_table, rec_id, field_name FROM r WHERE v <= 0
+UNION SELECT rec_table, rec_id, field_name FROM f3 WHERE v IS NOT NULL AND n >= 20
+UNION SELECT p.rec_table, p.rec_id, p.field_name FROM p JOIN b USING (rec_table, field_name, symbol, venue, k, v) WHERE b.far AND b.n <= 2
+"""
+
 #: No interpolation across gaps longer than this.
 LONG_GAP_MS = 300_000
 
@@ -168,6 +195,7 @@ SELECT venue, symbol, trade_id, coalesce(first(timestamp_ms ORDER BY arrival_ms,
        first(price ORDER BY arrival_ms, delivery_id) FILTER (price IS NOT NULL) AS price, first(size ORDER BY arrival_ms, delivery_id) FILTER (size IS NOT NULL) AS size,
        first(side ORDER BY arrival_ms, delivery_id) FILTER (side IS NOT NULL) AS side, count(*) AS n_deliveries
 FROM t GROUP BY venue, symbol, trade_id, CASE WHEN trade_id IS NULL THEN delivery_id END""",
+    "p4_found": P4_SQL,
     "p6_found": P6_SQL + "SELECT symbol, venue, side, change_id FROM b WHERE n = 1 AND NOT gone",
     "p6_levels": P6_SQL + "SELECT symbol, venue, side, price, quantity, change_id FROM b WHERE n = 1 AND NOT gone",
     "p7_found": P7_SQL + "SELECT job_id, symbol, grid_ms, status FROM s WHERE status <> 'reading'",

@@ -27,9 +27,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path, used by nobody yet, below the shared folder."""
-    return f"{shared_root(spark)}/quern/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/quern/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all folders that this process asked for; results that read them must be done with."""
+    while _made:
+        remove_dir(spark, _made.pop())
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
