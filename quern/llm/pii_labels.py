@@ -90,7 +90,7 @@ _EXT = r"(?:,? ?(?:ext|x|poste|durchwahl|extensión|dw)\.? ?\d{1,5})?"
 _PHONE = _rx(
     rf"(?<![\w.+/-])(?:(?P<intl>\(?\+\d{{1,3}}\)?(?:{_S}?\(?\d{{1,5}}\)?){{2,6}}(?<=\d)|\+\d{{9,14}})"
     rf"|(?P<zeros>00\d{{9,13}}|00{_S}?\d{{1,3}}(?:{_S}\d{{2,5}}){{2,5}})"
-    rf"|(?P<us>(?:\(\d{{3}}\){_S}?|1?{_S}?\d{{3}}{_S})\d{{3}}{_S}\d{{4}})"
+    rf"|(?P<us>(?:1{_S})?(?:\(\d{{3}}\){_S}?|\d{{3}}{_S})\d{{3}}{_S}\d{{4}})"
     rf"|(?P<trunk>\(0\d{{1,4}}\){_S}?\d{{3,8}}(?:{_S}\d{{2,6}}){{0,4}}|0\d{{1,5}}(?:[  /-]\d{{2,8}}){{1,5}}|0\d(?:[.  -]\d\d){{4}}|0[67]\d{{8,9}})"
     rf"|(?P<trio>\d{{3}}{_S}\d{{3}}{_S}\d{{3}}|\d{{3}}{_S}\d\d{_S}\d\d{_S}\d\d)){_EXT}(?![\w‑/]|[.,-]\d)"
 )
@@ -240,7 +240,9 @@ def _names(t: str, known: Known, taken: list[tuple[int, int]]) -> Iterator[Candi
             found.append((m, True))
     for m, loose in found:
         start, end = min(m.start("g"), m.start("f")), max(m.end("f"), m.end("i") if m.re in (_TURNED, _LOW_TURNED) else 0, m.end("g"))
-        if m.re is _TURNED and (m["i"] or m["dot"]):
+        if m.re is _TURNED and len(m["g"]) > 1 and m["dot"]:
+            end = m.end("g")  # the full stop ends a sentence
+        elif m.re is _TURNED and (m["i"] or m["dot"]):
             end = m.end()
         whole = t[start:end]
         g, f = _fold(m["g"]).rstrip("."), _fold(m["f"])

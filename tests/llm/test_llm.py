@@ -253,3 +253,5 @@ def test_candidates_stand_alone():
     got = {(KINDS[c.kind], t[c.start : c.end]) for c in candidates(t, known)}
     assert {("name", "Talia Ostrettino"), ("email", "talia@klar.example"), ("address", "1954 Saint Orin Lane")} <= got
     assert list(candidates("", known)) == []
+    for text, piece in (("Ask Ostrettino, Talia. Then", "Ostrettino, Talia"), ("Ask Ostrettino, T. about the grid", "Ostrettino, T."), ("Ask Ostrettino, Talia K. about the grid", "Ostrettino, Talia K."), ("rang 718 555‑0129 twice", "718 555‑0129"), ("dial 1 718 555 0129 status=busy", "1 718 555 0129")):
+        assert piece in {text[c.start : c.end] for c in candidates(text, known)}
