@@ -53,6 +53,20 @@ def trailing_stops(orders: DataFrame, bars: DataFrame, max_us: int) -> DataFrame
     return hit.groupBy("order_id").agg(F.min("bar_us").alias("fill_us"), F.min_by("now", "bar_us").alias("stop"))
 
 
+def fill_combos(legs: DataFrame, bars: DataFrame, max_us: int) -> DataFrame:
+    """combo_id, fill_us, net: legs bought together at the first bar end where all have a bar and the net price is within the limit.
+
+    ``legs``: combo_id, symbol, us, ratio (negative: sold), limit, n_legs; a null limit
+    takes the first common bar.
+    """
+    o = legs.withColumn("block", F.explode(F.array(F.floor(F.col("us") / max_us), F.floor(F.col("us") / max_us) + 1)))
+    b = bars.select(F.col("symbol").alias("s"), F.col("us").alias("bar_us"), "close", F.floor(F.col("us") / max_us).alias("k"))
+    both = o.join(b, (F.col("symbol") == F.col("s")) & (F.col("block") == F.col("k"))).where((F.col("bar_us") > F.col("us")) & (F.col("bar_us") <= F.col("us") + max_us))
+    net = both.groupBy("combo_id", "bar_us").agg(F.sum(F.col("ratio") * F.col("close")).alias("net"), F.count("*").alias("n"), F.max("n_legs").alias("n_legs"), F.max("limit").alias("limit"))
+    ok = net.where((F.col("n") == F.col("n_legs")) & (F.col("limit").isNull() | (F.col("net") <= F.col("limit"))))
+    return ok.groupBy("combo_id").agg(F.min("bar_us").alias("fill_us"), F.min_by("net", "bar_us").alias("net"))
+
+
 def volume_share_slippage(quantity: Column, volume: Column, price: Column, cap: float = 0.025, impact: float = 0.1) -> Column:
     """The square of the share of the bar's volume (at most cap) times impact times price; the cap without volume."""
     share = F.coalesce(F.least(F.abs(quantity) / F.nullif(volume, F.lit(0.0)), F.lit(cap)), F.lit(cap))

@@ -148,14 +148,15 @@ def regular_grid(
     last, and in a gap longer than ``max_gap``, where long_gap is true.
 
     Defined results: readings with a null key, time or value do not count; of several at
-    one time the highest id counts; jobs with a null or not positive step, or with null
-    times, have no points; a null fill means true; a job named twice for a source has
+    one time the highest id counts; jobs with a null key, a null or not positive step, or
+    null times have no points; a null fill means true; a job named twice for a source has
     its points twice; sources without readings have only missing points; empty tables
     give no rows; other columns are never read.
     """
     cut = readings.select(F.col(keys[0]).cast("string").alias("k0"), F.col(keys[1]).cast("string").alias("k1"), F.col(ts).cast("bigint").alias("t"), F.coalesce(F.col(id).cast("bigint"), F.lit(-1)).alias("id"), F.col(value).cast("double").alias("y")).dropna()
     ask = jobs.select(F.col("job").cast("string").alias("job"), F.col(keys[0]).cast("string").alias("k0"), F.col(keys[1]).cast("string").alias("k1"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("step").cast("bigint").alias("step"), F.coalesce(F.col("fill"), F.lit(True)).alias("fill"))
-    ask = ask.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    for c in ("k0", "k1", "start", "end"):
+        ask = ask.where(F.col(c).isNotNull())
     plan = plan_shards(cut, ["k0", "k1"], "t", shard_rows, least=60_000)
     cut = cut.withColumn("shard", plan.of(F.col("t")))
     ask = _job_shards(ask, plan)

@@ -105,3 +105,25 @@ def calendar(dates: DataFrame, rule: str, offset: int = 0) -> DataFrame:
     order = F.col("date") if side == "start" else F.col("date").desc()
     w = Window.partitionBy(F.date_trunc(unit, "date")).orderBy(order)
     return dates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == offset + 1).drop("_n")
+
+
+def is_standard_expiry(expiry: str) -> Column:
+    """Monthly contracts expire on the third Friday; all others are weeklies."""
+    return (F.dayofweek(expiry) == 6) & F.dayofmonth(expiry).between(15, 21)
+
+
+def strategy_legs(contracts: DataFrame, keys: Sequence[str], spot: str, today: str, min_days: int, legs: Sequence[tuple[str, float]], id: str = "id") -> DataFrame:
+    """keys, leg, right, expiry, strike, id: for each leg (right, distance from spot) the contract of the nearest strike.
+
+    All legs are of the first expiry at least ``min_days`` off; of equally near strikes
+    the lowest id; a key that lacks a leg has none.
+    """
+    late = contracts.where(F.col("expiry") >= F.date_add(F.to_date(F.lit(today)), min_days))
+    first = late.groupBy(*keys).agg(F.min("expiry").alias("expiry"))
+    rows = late.join(first, [*keys, "expiry"])
+    wanted = F.array(*[F.struct(F.lit(i).alias("leg"), F.lit(r).alias("wanted"), F.lit(float(x)).alias("off")) for i, (r, x) in enumerate(legs)])
+    rows = rows.withColumn("l", F.explode(wanted)).where(F.col("right") == F.col("l.wanted"))
+    rows = rows.withColumn("leg", F.col("l.leg")).withColumn("target", F.col(spot).cast("double") + F.col("l.off"))
+    got = nearest_strike(rows, [*keys, "leg"], F.col("target"), id=id)
+    whole = F.count("*").over(Window.partitionBy(*keys)) == len(legs)
+    return got.withColumn("whole", whole).where("whole").select(*keys, "leg", "right", "expiry", "strike", id)

@@ -101,6 +101,18 @@ def calendar_spread(spark, d):
     return un.calendar_spread(contracts(spark, d), ["underlying"], 5, 20, TODAY)
 
 
+@query("standard_contracts", f"WITH {_CONTRACTS} SELECT id, expiry, dayofweek(expiry) = 5 AND day(expiry) BETWEEN 15 AND 21 AS standard FROM c")
+def standard_contracts(spark, d):
+    return contracts(spark, d).select("id", "expiry", un.is_standard_expiry("expiry").alias("standard"))
+
+
+@query("strangle_legs", f"""WITH {_CONTRACTS}, e AS (SELECT underlying, min(expiry) AS expiry FROM c WHERE expiry >= DATE '2024-01-11' GROUP BY 1), x AS (SELECT c.* FROM c JOIN e ON c.underlying = e.underlying AND c.expiry = e.expiry),
+k AS (SELECT *, 0 AS leg, row_number() OVER (PARTITION BY underlying ORDER BY abs(strike - 903), id) AS r FROM x WHERE "right" = 'put' UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY underlying ORDER BY abs(strike - 910), id) FROM x WHERE "right" = 'call'),
+w AS (SELECT *, count(*) OVER (PARTITION BY underlying) AS n FROM k WHERE r = 1) SELECT underlying, leg, "right", expiry, strike, id FROM w WHERE n = 2""")
+def strangle_legs(spark, d):
+    return un.strategy_legs(contracts(spark, d).withColumn("at", F.lit(905.0)), ["underlying"], "at", TODAY, 10, [("put", -2), ("call", 5)])
+
+
 _SNAP = f"WITH {TRADES}, g AS (SELECT us // {7 * DAY} AS week, symbol, CAST(sum(price * quantity) AS DOUBLE) AS dollars FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY dollars DESC, symbol) AS rank FROM g)"
 
 
@@ -349,6 +361,16 @@ def trailing_stops(spark, d):
     return od.trailing_stops(_orders(spark, d), _hourly(spark, d), 3 * DAY).withColumn("stop", F.round("stop", 6))
 
 
+@query("combo_fills", f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS combo_id, us, symbol AS s1, 'U' || CAST(CAST(substr(symbol, 2) AS BIGINT) // 2 AS VARCHAR) AS s2 FROM t WHERE seq % 25 = 0),
+m AS (SELECT combo_id, a.us AS bus, a.c - 0.5 * b.c AS net FROM o JOIN h a ON a.symbol = s1 AND a.us > o.us AND a.us <= o.us + {7 * DAY} JOIN h b ON b.symbol = s2 AND b.us = a.us WHERE s1 <> s2)
+SELECT combo_id, min(bus) AS fill_us, round(arg_min(net, bus), 6) AS net FROM m WHERE net <= 10 GROUP BY 1""")
+def combo_fills(spark, d):
+    """Each 25th trade's user against half a unit of the user with half the number."""
+    rows = trades(spark, d).where("seq % 25 = 0").withColumn("other", F.concat(F.lit("U"), F.floor(F.substring("symbol", 2, 9).cast("bigint") / 2))).where("symbol != other")
+    legs = rows.select(F.col("seq").alias("combo_id"), "us", F.explode(F.array(F.struct(F.col("symbol"), F.lit(1.0).alias("ratio")), F.struct(F.col("other").alias("symbol"), F.lit(-0.5).alias("ratio")))).alias("l")).select("combo_id", "us", "l.*", F.lit(10.0).alias("limit"), F.lit(2).alias("n_legs"))
+    return od.fill_combos(legs, _hourly(spark, d), 7 * DAY).withColumn("net", F.round("net", 6))
+
+
 @query("slippage_volume_share", f"WITH {TRADES} SELECT seq, round(pow(least(quantity / 200.0, 0.025), 2) * 0.1 * CAST(price AS DOUBLE), 10) AS slippage, round(greatest(CAST(price AS DOUBLE) * quantity * 7.5 / 10000 + quantity * 0.005, 0.35), 8) AS fee FROM t")
 def slippage_volume_share(spark, d):
     rows = doubles(trades(spark, d), "price", "quantity")

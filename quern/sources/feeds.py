@@ -127,3 +127,25 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     rows = with_path_fields(files, F.col("path")).where(F.col("date") != "")
     return rows.groupBy("asset", "market", "resolution", "ticker", "tick").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+
+
+def bar_file(names: Sequence[str], seconds: int) -> str | None:
+    """The bars file of a resolution, else the first there is, by name."""
+    bars = sorted(n for n in names if re.fullmatch(r"bars_\d+\.csv", n))
+    exact = f"bars_{seconds}.csv"
+    return exact if exact in bars else bars[0] if bars else None
+
+
+def open_source(spark: SparkSession, source: dict, kinds: Sequence[str] = ("trades", "quotes")) -> DataFrame:
+    """Events of a source descriptor: mode ``feed`` (a staged folder), ``archive`` (frames), ``table`` (Parquet of events), ``synthetic``."""
+    mode = source.get("mode", "feed")
+    if mode == "feed":
+        return staged_events(spark, source["path"], source["symbol"], source.get("venue", ""), kinds)
+    if mode == "archive":
+        rows = frame_archive(spark.read.text(source["path"]))
+        return conform(rows, "book", 0, symbol="symbol", venue=F.lit(source.get("venue", "")), us="us", seq="update_id", side="side", price="price", quantity="quantity", action=F.when(F.col("quantity") == 0, "remove").otherwise("modify"))
+    if mode == "table":
+        return spark.read.parquet(source["path"])
+    if mode == "synthetic":
+        return synthetic_events(spark, int(source.get("events", 1000)))
+    raise ValueError(f"no source of mode {mode!r}")

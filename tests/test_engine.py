@@ -469,6 +469,15 @@ def test_live_bars_drop_nothing_in_order(spark, tmp_path):
     assert got[:4] == [(0, 60), (120_000_000, 60), (180_000_000, 60), (60_000_000, 60)]
 
 
+def test_sources_by_descriptor(spark, tmp_path):
+    assert feeds.bar_file(["bars_60.csv", "bars_300.csv", "x"], 300) == "bars_300.csv" and feeds.bar_file(["bars_60.csv", "bars_300.csv"], 5) == "bars_300.csv" and feeds.bar_file([], 1) is None
+    (tmp_path / "frames.jsonl").write_text(json.dumps({"a": 1, "f": {"type": "delta", "ts": 7, "data": {"s": "B", "u": 3, "b": [["10", "0"]], "a": []}}}) + "\n")
+    assert rows_of(feeds.open_source(spark, {"mode": "archive", "path": f"{tmp_path}/frames.jsonl"}), "symbol", "us", "action") == [("B", 7000, "remove")]
+    assert feeds.open_source(spark, {"mode": "synthetic", "events": 10}).count() == 10
+    with pytest.raises(ValueError):
+        feeds.open_source(spark, {"mode": "oracle"})
+
+
 def test_discovery(spark, tmp_path):
     for date in ("20240102", "20240105"):
         f = tmp_path / "data" / feeds.data_path("equity", "usa", "minute", "SPY", date, "trade")
