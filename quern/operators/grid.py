@@ -1,8 +1,7 @@
 """Observations on a grid: right-closed buckets, gap filling, state carried forward.
 
 All per-bucket values come from one hash aggregation (combined before its shuffle);
-only then do windows run over a symbol's buckets, of which there are as many as grid
-points, however many events a symbol has.
+only then do windows run over a symbol's buckets, in time shards.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.events import order_key
 from quern.plans.job import JobSpec
+from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 
 MISSING, FILLED, FRESH = 0, 1, 2
 _SUM = "decimal(38,8)"
@@ -67,7 +67,10 @@ def bucketed(events: DataFrame, job: JobSpec) -> DataFrame:
 def grid_points(symbols: DataFrame, job: JobSpec) -> DataFrame:
     """symbol, bucket: every grid point from the snapped start up to the end."""
     first = job.origin + -(-max(0, job.start - job.origin) // job.step) * job.step
-    return symbols.select("symbol", F.explode(F.sequence(F.lit(first), F.lit(max(first, job.end)), F.lit(job.step))).alias("bucket")).where(F.col("bucket") <= job.end)
+    # In two steps, so that no row holds an array of all points.
+    block = job.step * 10_000
+    blocks = symbols.select("symbol", F.explode(F.sequence(F.lit(first), F.lit(max(first, job.end)), F.lit(block))).alias("b"))
+    return blocks.select("symbol", F.explode(F.sequence(F.col("b"), F.col("b") + (block - job.step), F.lit(job.step))).alias("bucket")).where(F.col("bucket") <= job.end)
 
 
 def snapshot(observed: DataFrame) -> DataFrame:
@@ -84,13 +87,38 @@ def _seeded(got: DataFrame, seed: DataFrame) -> DataFrame:
     return later.withColumn("seed", F.lit(False)).unionByName(rows, allowMissingColumns=True)
 
 
-def observations(events: DataFrame, job: JobSpec, seed: DataFrame | None = None) -> DataFrame:
+#: Running columns of an observation, and the sums they run over.
+RUNNING = {"volume": "state_volume", "trades_so_far": "trade_count", "cumulative_flow": "signed_quantity"}
+
+
+def _carried(got: DataFrame, plan: ShardPlan, order: list[str]) -> DataFrame:
+    """Bucket rows with state carried forward and running sums, within time shards and then across them.
+
+    What a shard takes over comes from one row for each shard, so no task sorts a whole
+    symbol, be it one of a fine grid or of every event.
+    """
+    lasts = [c for c in CARRIED if c != "last_us"]
+    got = got.withColumn("_shard", plan.of(F.col("bucket")))
+    w = Window.partitionBy("symbol", "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = got.withColumns({c: F.last(f"{c}_at", True).over(w) for c in lasts} | {"last_us": F.max("last_us_at").over(w)} | {c: F.sum(x).over(w) for c, x in RUNNING.items()})
+    if plan.shards > 1:
+        key = F.struct(*[F.coalesce(c, F.lit(-1)).alias(c) for c in order])
+        ends = got.groupBy("symbol", "_shard").agg(*[F.max_by(f"{c}_at", F.when(F.col(f"{c}_at").isNotNull(), key)).alias(f"_{c}") for c in lasts], F.max("last_us_at").alias("_last_us"), *[F.sum(x).alias(f"_{c}") for c, x in RUNNING.items()])
+        before = Window.partitionBy("symbol").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("symbol", "_shard", *[F.last(f"_{c}", True).over(before).alias(f"_{c}") for c in lasts], F.max("_last_us").over(before).alias("_last_us"), *[F.sum(f"_{c}").over(before).alias(f"_{c}") for c in RUNNING])
+        out = out.join(ends, ["symbol", "_shard"])
+        out = out.withColumns({c: F.coalesce(c, f"_{c}") for c in lasts} | {"last_us": F.greatest("last_us", "_last_us")} | {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in RUNNING}).drop(*[f"_{c}" for c in (*CARRIED, *RUNNING)])
+    return out.drop("_shard").withColumns({c: F.col(c).cast(_SUM) for c in ("volume", "cumulative_flow")})
+
+
+def observations(events: DataFrame, job: JobSpec, seed: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each symbol and grid point (with fill_forward), or each bucket with events.
 
     Adds the carried state (``last``, ``bid_price``, ... null before the first event),
     ``volume`` and ``trades_so_far`` (running), ``data_quality`` and ``data_age_ms`` (-1:
     none).  A bucket beyond the end appears if events fall into it.  Symbols of the job
-    without events have only missing rows.
+    without events have only missing rows.  ``seed``: a ``snapshot`` of an earlier run, of
+    which this one continues with the buckets after it.
     """
     got = bucketed(events, job)
     keys = ["symbol", "bucket"]
@@ -101,11 +129,15 @@ def observations(events: DataFrame, job: JobSpec, seed: DataFrame | None = None)
         got = grid_points(named, job).join(got, keys, "full")
     if seed is not None:
         got = _seeded(got, seed)
-    w = Window.partitionBy("symbol").orderBy("bucket", *([] if job.step else ["seq", "stream"])).rowsBetween(Window.unboundedPreceding, 0)
     counts = ("trade_count", "quote_count", "event_count")
     sums = ("trade_volume", "notional", "aggressive_buy_volume", "aggressive_sell_volume", "signed_quantity", "state_volume")
     got = got.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {c: F.coalesce(c, F.lit(0)).cast(_SUM) for c in sums})
-    out = got.withColumns({c: F.last(f"{c}_at", True).over(w) for c in CARRIED if c != "last_us"} | {"last_us": F.max("last_us_at").over(w), "volume": F.sum("state_volume").over(w).cast(_SUM), "trades_so_far": F.sum("trade_count").over(w), "cumulative_flow": F.sum("signed_quantity").over(w).cast(_SUM)})
+    if job.step is None:
+        plan = plan_shards(events, ["symbol"], "us", shard_rows)
+    else:
+        shards = max(1, -(-((job.end - job.origin) // job.step + 1) // shard_rows))
+        plan = ShardPlan(job.step * shard_rows, shards)
+    out = _carried(got, plan, ["bucket"] if job.step else ["bucket", "seq", "stream"])
     if seed is not None:
         out = out.where(~F.col("seed")).drop("seed")
     out = out.withColumn("data_quality", F.when(F.col("event_count") > 0, FRESH).when(F.col("last_us").isNotNull(), FILLED).otherwise(MISSING))

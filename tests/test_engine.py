@@ -122,6 +122,15 @@ def test_chunks_equal_the_whole(spark):
     assert rows_of(head.unionByName(tail), "symbol", "bucket", "event_count", "close_at") == whole
 
 
+@pytest.mark.parametrize("job", [JOB, replace(JOB, step=None), replace(JOB, fill_forward=False)])
+def test_observations_in_shards(spark, job):
+    rng = random.Random(12)
+    ev = events.unified([trades(spark, [(rng.choice("AAB"), rng.randrange(10 * MIN), rng.choice([i, None]) if i % 3 else i, rng.randrange(1, 99), 1, rng.choice(["buy", "sell"])) for i in range(80)]), quotes(spark, [(rng.choice("AB"), rng.randrange(10 * MIN), 100 + i, rng.choice([0, 9]), 1, rng.choice([0, 10]), 1) for i in range(20)])])
+    ev = ev.dropDuplicates(["symbol", "us"])
+    one, many = (rows_of(grid.observations(ev, job, shard_rows=n), "symbol", "bucket", *grid.CARRIED, *grid.RUNNING, "data_quality", "data_age_ms") for n in (10**6, 3))
+    assert one == many and len(one) > 15
+
+
 def test_resuming_equals_one_run(spark):
     rng = random.Random(11)
     ev = events.unified([trades(spark, [(rng.choice("AB"), rng.randrange(10 * MIN), i, rng.randrange(1, 99), rng.randrange(1, 5), rng.choice(["buy", "sell"])) for i in range(60)] + [("C", 8 * MIN, 90, 5, 1, "buy")]), quotes(spark, [("A", 2 * MIN, 100, 9, 1, 10, 1)])])
