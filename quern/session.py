@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +23,17 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, unless they find it where they start or in PYTHONPATH."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    known = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    if getattr(sc, "_quern_shipped", False) or any(p.resolve() == package.parent for p in known):
+        return
+    path = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._quern_shipped = True

@@ -1,5 +1,6 @@
 """What the driver calls, and where things are written."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -53,3 +54,16 @@ def test_shards_cover_time_without_gaps(spark):
     assert rows.where(~F.col("t").between(plan.first(F.col("s")), plan.last(F.col("s")))).count() == 0
     one = ShardPlan(7, 1)
     assert spark.range(-50, 50).select(one.of(F.col("id")).alias("s")).distinct().count() == 1
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_workers_get_the_package_wherever_the_driver_starts(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+import __spark_entry__ as e
+from quern.session import local_session
+print("rows", e.queries()["wicked_renko"](local_session(2, 2), {str(DATA)!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "rows " in run.stdout, run.stderr[-2000:]
