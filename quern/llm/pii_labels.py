@@ -203,6 +203,8 @@ _NAME_BEFORE = _rx(
 )
 _NAME_FIRM = _rx(rf"(?:(?<!\w){_TITLE}|(?:wurde von|thx|ping|pretty sure|(?:halved|flattened|signed) by|validé par|escalated from [^\n]{{4,40}} to|account holder|holder=|reviewed by|approval by|closed by|signed off:|escalated from|\bask|i asked|can reach|laut|kundin|freigabe:|titular|firmado:|según|cerró|titulaire|signé ?:|selon|soldée par|\bcontact|owe|router but|(?:regards|grüßen|cordialement|saludos|saludo),?|opened for|user=|who\":\")[\s]*|--\s*\n)$")
 _NAME_AFTER = _rx(r"^(?:\"|;| = |,? ?[<(][\w.+-]+(?: ?@|[ ]?[\[(]at)|,? (?:noted|says|restarted|doubts|asked|about the grid|who |and the night|on the second|for job|after the call|at noon|at \+?[(\d]|is out|broke the|did that|moved to|geschlossen|hat |kam |bittet|a relancé|pide |demande|espera|attend|wartet|ha |zweifelt|to \S+ \S+ at noon)|, (?:passport|ssn|social|national|ni no|driver|tax|dni|nie|cni|passeport|pasaporte|reisepass|ausweis|steuer|sv-)|,? ?\d{1,4}[A-Z]? \w|, (?:calle|c/|avenida|plaza|camino|paseo|ronda|[^\W\d_]+ ?(?:straße|weg|gasse|platz|allee))|, alter postweg|\s*$|\n)")
+#: The firmest of these, for names in lower case that nothing else tells.
+_FIRM_ANY = _rx(_NAME_FIRM.pattern[:-1].replace(r"|\bask|i asked|", "|").replace(r"|\bcontact|owe|", "|"))
 _MAIL_NEAR = _rx(r"([\w.+%'-]{3,}) ?(?:@|[\[(]at[\])])")
 #: Words that start sentences or labels and no name.  Fixed values.
 _NOT_GIVEN = frozenset(
@@ -235,6 +237,9 @@ def _names(t: str, known: Known, taken: list[tuple[int, int]]) -> Iterator[Candi
             found.append((m, True))
         elif word in known.endings:
             found += [(m, True) for rx in (_LOW_FULL, _LOW_TURNED) for m in _overlapping(rx, t, max(0, w.start() - 32), w.end() + 20) if m.start("f") <= w.start() < m.end("f")]
+    for x in _FIRM_ANY.finditer(t):
+        if m := _LOW_FULL.match(t, x.end()):
+            found.append((m, True))
     for at, _ in mails:
         if m := _LOW_MAIL.search(t, max(0, at - 60), at):
             found.append((m, True))
@@ -261,7 +266,7 @@ def _names(t: str, known: Known, taken: list[tuple[int, int]]) -> Iterator[Candi
             continue  # part of a longer one
         tail = _plain(f)
         mail = any(abs(at - end) < 160 and len(tail) > 2 and (tail in x or (len(g) > 2 and _plain(g) in x)) for at, x in mails)
-        if loose and not (kf and (kg or len(g) == 1 or firm or then) or kg and (firm or then) or mail):
+        if loose and not (kf and (kg or len(g) == 1 or firm or then) or kg and (firm or then) or firm and then or mail):
             continue
         if not (firm or then or kg or kf and m.re not in (_TURNED, _LOW_TURNED)):
             continue
