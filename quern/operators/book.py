@@ -74,7 +74,7 @@ def snapshot_changes(snapshots: DataFrame, keys: Sequence[str] = ("symbol",)) ->
 class _Book:
     """Levels of both sides.  Quotes seed the top; changes set or remove levels; state is emitted at bucket ends."""
 
-    def __init__(self, step: int, origin: int, depth: int):
+    def __init__(self, step: int, origin: int, depth: int | None):
         self.step, self.origin, self.depth = step, origin, depth
         self.sides: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
         self.bucket = None
@@ -90,9 +90,9 @@ class _Book:
             levels[price] = size
 
     def _row(self) -> tuple:
-        best = {s: sorted(v, reverse=s == "bid")[: self.depth] for s, v in self.sides.items()}
-        pack = lambda s: [{"price": p, "quantity": self.sides[s][p]} for p in best[s]]
-        return (self.bucket, *[best[s][0] if best[s] else None for s in ("bid", "ask")], *[sum(self.sides[s].values(), Decimal(0)) for s in ("bid", "ask")], pack("bid"), pack("ask"))
+        bids, asks = self.sides["bid"], self.sides["ask"]
+        levels = [[] if self.depth == 0 else [{"price": p, "quantity": v[p]} for p in sorted(v, reverse=v is bids)[: self.depth]] for v in (bids, asks)]
+        return (self.bucket, max(bids, default=None), min(asks, default=None), *[sum(v.values(), Decimal(0)) for v in (bids, asks)], len(bids), len(asks), *levels)
 
     def push(self, row):
         us, kind, side, price, quantity, action, bid, bid_size, ask, ask_size = row
@@ -116,9 +116,13 @@ class _Book:
         return [self._row()] if self.bucket is not None else []
 
 
-def book_states(events: DataFrame, step: int, origin: int = 0, depth: int = 25) -> DataFrame:
-    """symbol, bucket, best_bid, best_ask, bid_depth, ask_depth, bids, asks: the book at the end of each bucket with events."""
+def book_states(events: DataFrame, step: int, origin: int = 0, depth: int | None = None) -> DataFrame:
+    """symbol, bucket, best_bid, best_ask, bid_depth, ask_depth, n_bids, n_asks, bids, asks: the book at the end of each bucket with events.
+
+    bids and asks have all levels, best first, or the best ``depth`` of each side where
+    that is given (0: none); all other columns are of the whole book in any case.
+    """
     level = "array<struct<price: decimal(18,8), quantity: decimal(18,8)>>"
     inputs = ["us", "kind", "side", "price", "quantity", "action", "bid_price", "bid_size", "ask_price", "ask_size"]
-    out = f"bucket bigint, best_bid decimal(18,8), best_ask decimal(18,8), bid_depth decimal(38,8), ask_depth decimal(38,8), bids {level}, asks {level}"
+    out = f"bucket bigint, best_bid decimal(18,8), best_ask decimal(18,8), bid_depth decimal(38,8), ask_depth decimal(38,8), n_bids int, n_asks int, bids {level}, asks {level}"
     return fold(events, ["symbol"], ["us", "seq", "stream"], inputs, lambda: _Book(step, origin, depth), out)

@@ -249,8 +249,8 @@ def book_fold(spark, d):
     """Books of the staged feed at the end of each minute, from repeated and late changes put in order."""
     rows = table(spark, d, "book_updates").dropDuplicates(["change_id"]).withColumn("symbol", F.concat_ws("@", "symbol", "venue"))
     ev = feeds.feed_events(rows, "book_updates", F.col("symbol"), F.col("venue")).withColumn("seq", F.lit(0).cast("bigint"))
-    states = bk.book_states(ev, 60_000_000)
-    return doubles(states, "best_bid", "best_ask", "bid_depth", "ask_depth").select("symbol", "bucket", "best_bid", "best_ask", "bid_depth", "ask_depth", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"))
+    states = bk.book_states(ev, 60_000_000, depth=0)
+    return doubles(states, "best_bid", "best_ask", "bid_depth", "ask_depth").select("symbol", "bucket", "best_bid", "best_ask", "bid_depth", "ask_depth", "n_bids", "n_asks")
 
 
 @query("seq_gap_count", "WITH s AS (SELECT symbol, venue, seq, seq - lag(seq) OVER (PARTITION BY symbol, venue ORDER BY seq) AS step FROM (SELECT DISTINCT symbol, venue, seq FROM book_updates WHERE seq IS NOT NULL)) SELECT symbol, venue, count(*) FILTER (step > 1) AS n_gaps, CAST(coalesce(sum(step - 1) FILTER (step > 1), 0) AS BIGINT) AS n_missing FROM s GROUP BY 1, 2")

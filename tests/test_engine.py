@@ -275,6 +275,16 @@ def test_book_with_quotes_and_changes(spark):
     assert (got[2]["best_bid"], got[2]["bid_depth"], got[2]["best_ask"]) == (None, 0, None)
 
 
+def test_books_have_all_levels(spark):
+    rows = [("A", i, i, s, p, 1.0, "add") for i in range(1, 41) for s, p in (("bid", 100.0 - i), ("ask", 100.0 + i))]
+    df = spark.createDataFrame(rows, "symbol string, us bigint, seq bigint, side string, price double, quantity double, action string")
+    ev = events.conform(df, "book", 0, symbol="symbol", us="us", seq="seq", side="side", price="price", quantity="quantity", action="action")
+    for depth, n in ((None, 40), (3, 3), (0, 0)):
+        (r,) = book.book_states(ev, MIN, **({} if depth is None else {"depth": depth})).collect()
+        assert (r["n_bids"], r["n_asks"], r["best_bid"], r["best_ask"], r["bid_depth"]) == (40, 40, 99, 101, 40)
+        assert [x["price"] for x in r["bids"]] == [100 - i for i in range(1, n + 1)] and [x["price"] for x in r["asks"]] == [100 + i for i in range(1, n + 1)]
+
+
 def test_snapshots_become_changes(spark):
     s = spark.createDataFrame([("A", 1, [(10.0, 1.0), (9.0, 2.0)], [(11.0, 1.0)]), ("A", 2, [(10.0, 3.0)], [(11.0, 1.0)])], "symbol string, us bigint, bids array<struct<price: double, quantity: double>>, asks array<struct<price: double, quantity: double>>")
     assert rows_of(book.snapshot_changes(s), "us", "side", "price", "action") == [(1, "ask", 11.0, "add"), (1, "bid", 10.0, "add"), (1, "bid", 9.0, "add"), (2, "bid", 10.0, "modify"), (2, "bid", 9.0, "remove")]
