@@ -116,13 +116,14 @@ class _Book:
         return [self._row()] if self.bucket is not None else []
 
 
-def book_states(events: DataFrame, step: int, origin: int = 0, depth: int | None = None) -> DataFrame:
+def book_states(events: DataFrame, step: int, origin: int = 0, depth: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """symbol, bucket, best_bid, best_ask, bid_depth, ask_depth, n_bids, n_asks, bids, asks: the book at the end of each bucket with events.
 
     bids and asks have all levels, best first, or the best ``depth`` of each side where
     that is given (0: none); all other columns are of the whole book in any case.
+    Events are taken by us, seq (missing first) and stream, then by ``ties``, columns of theirs.
     """
     level = "array<struct<price: decimal(18,8), quantity: decimal(18,8)>>"
     inputs = ["us", "kind", "side", "price", "quantity", "action", "bid_price", "bid_size", "ask_price", "ask_size"]
     out = f"bucket bigint, best_bid decimal(18,8), best_ask decimal(18,8), bid_depth decimal(38,8), ask_depth decimal(38,8), n_bids int, n_asks int, bids {level}, asks {level}"
-    return fold(events, ["symbol"], ["us", "seq", "stream"], inputs, lambda: _Book(step, origin, depth), out)
+    return fold(events, ["symbol"], ["us", "seq", "stream", *ties], inputs, lambda: _Book(step, origin, depth), out)

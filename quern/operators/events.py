@@ -18,11 +18,11 @@ COLUMNS = {
 }
 
 
-def conform(df: DataFrame, kind: str, stream: int = 0, **columns: Column | str) -> DataFrame:
-    """Events of one kind under the unified schema; columns that aren't given are null."""
+def conform(df: DataFrame, kind: str, stream: int = 0, keep: Sequence[str] = (), **columns: Column | str) -> DataFrame:
+    """Events of one kind under the unified schema; columns that aren't given are null.  Columns to ``keep`` follow as they are."""
     given = {k: (F.col(v) if isinstance(v, str) else v) for k, v in columns.items()}
     given |= {"kind": F.lit(kind), "stream": F.lit(stream)}
-    return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
+    return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], *keep)
 
 
 def order_key() -> Column:

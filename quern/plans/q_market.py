@@ -246,10 +246,10 @@ def depth_running_delta(spark, d):
 
 @query("book_fold")
 def book_fold(spark, d):
-    """Books of the staged feed at the end of each minute, from repeated and late changes put in order."""
+    """Books of the staged feed at the end of each minute, from repeated and late changes put in order of time, seq, change."""
     rows = table(spark, d, "book_updates").dropDuplicates(["change_id"]).withColumn("symbol", F.concat_ws("@", "symbol", "venue"))
-    ev = feeds.feed_events(rows, "book_updates", F.col("symbol"), F.col("venue")).withColumn("seq", F.lit(0).cast("bigint"))
-    states = bk.book_states(ev, 60_000_000, depth=0)
+    ev = feeds.feed_events(rows, "book_updates", F.col("symbol"), F.col("venue"), seq=F.coalesce("seq", F.lit(-1)), keep=["change_id"])
+    states = bk.book_states(ev, 60_000_000, depth=0, ties=["change_id"])
     return doubles(states, "best_bid", "best_ask", "bid_depth", "ask_depth").select("symbol", "bucket", "best_bid", "best_ask", "bid_depth", "ask_depth", "n_bids", "n_asks")
 
 

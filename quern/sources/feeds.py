@@ -35,9 +35,9 @@ def staged_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out.select("timestamp_ms", *[F.trim(c).alias(c) if c in texts else _number(c).alias(c) for c in names[1:]])
 
 
-def feed_events(rows: DataFrame, kind: str, symbol: Column, venue: Column, stream: int = 0) -> DataFrame:
-    """Rows of a staged file, or of a table of its columns, as events; seq is the time, as such feeds have it."""
-    us, base = F.col("timestamp_ms") * 1000, {"symbol": symbol, "venue": venue, "seq": "timestamp_ms"}
+def feed_events(rows: DataFrame, kind: str, symbol: Column, venue: Column, stream: int = 0, seq: Column | str = "timestamp_ms", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a staged file, or of a table of its columns, as events; seq is the time, as such feeds have it, unless another is given."""
+    us, base = F.col("timestamp_ms") * 1000, {"symbol": symbol, "venue": venue, "seq": seq, "keep": keep}
     if kind == "trades":
         side = F.lower("side")
         return conform(rows, "trade", stream, us=us, price="price", quantity="size", side=F.when(side.isin("buy", "sell"), side).otherwise("unknown"), **base)

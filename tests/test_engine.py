@@ -285,6 +285,21 @@ def test_books_have_all_levels(spark):
         assert [x["price"] for x in r["bids"]] == [100 - i for i in range(1, n + 1)] and [x["price"] for x in r["asks"]] == [100 + i for i in range(1, n + 1)]
 
 
+def test_changes_of_a_level_in_one_millisecond_go_by_seq(spark, tmp_path):
+    from quern.plans import catalog
+
+    rows = []
+    for i in range(40):  # in the even books the remove comes last, in the odd ones the add; they arrive in either order
+        pair = [("add", 5.0), ("remove", None)] if i % 2 == 0 else [("remove", None), ("add", 5.0)]
+        changes = [(2 * i + k, f"S{i:02}", 7 + k if i < 30 else None, a, q) for k, (a, q) in enumerate(pair)]
+        rows += changes if i % 4 < 2 else changes[::-1]
+    df = spark.createDataFrame(rows, "change_id bigint, symbol string, seq bigint, action string, quantity double")
+    full = df.select("*", F.lit("v").alias("venue"), F.lit(60_000).cast("bigint").alias("timestamp_ms"), F.lit("Bid").alias("side"), F.lit(10).cast("decimal(18,8)").alias("price")).withColumn("quantity", F.col("quantity").cast("decimal(18,8)"))
+    full.coalesce(1).write.parquet(f"{tmp_path}/book_updates.parquet")
+    got = {r["symbol"]: r["n_bids"] for r in catalog.QUERIES["book_fold"](spark, str(tmp_path)).collect()}
+    assert got == {f"S{i:02}@v": i % 2 for i in range(40)}
+
+
 def test_snapshots_become_changes(spark):
     s = spark.createDataFrame([("A", 1, [(10.0, 1.0), (9.0, 2.0)], [(11.0, 1.0)]), ("A", 2, [(10.0, 3.0)], [(11.0, 1.0)])], "symbol string, us bigint, bids array<struct<price: double, quantity: double>>, asks array<struct<price: double, quantity: double>>")
     assert rows_of(book.snapshot_changes(s), "us", "side", "price", "action") == [(1, "ask", 11.0, "add"), (1, "bid", 10.0, "add"), (1, "bid", 9.0, "add"), (2, "bid", 10.0, "modify"), (2, "bid", 9.0, "remove")]
