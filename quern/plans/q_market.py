@@ -309,13 +309,13 @@ def _hourly(spark, d):
 
 
 def _orders(spark, d):
-    """Every 10th trade places an order; limits and stops lie about its price."""
+    """Every trade places an order; limits and stops lie about its price."""
     p = F.col("price").cast("double")
     kinds = ("limit", "stop", "market", "stop_limit", "touched", "on_open", "on_close")
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.floor(F.col("seq") / 10) % 7 + 1).cast("int"))
     buy = F.floor(F.col("seq") / 70) % 2 == 0
     sign = F.when(buy, 1.0).otherwise(-1.0)
-    return trades(spark, d).where("seq % 10 = 0").select(F.col("seq").alias("order_id"), "symbol", "us", F.when(buy, "buy").otherwise("sell").alias("side"), kind.alias("type"), (p - sign * 5).alias("limit"), (p + sign * 5).alias("stop"), (p - sign * 3).alias("touch"), F.lit(4.0).alias("trail"))
+    return trades(spark, d).select(F.col("seq").alias("order_id"), "symbol", "us", F.when(buy, "buy").otherwise("sell").alias("side"), kind.alias("type"), (p - sign * 5).alias("limit"), (p + sign * 5).alias("stop"), (p - sign * 3).alias("touch"), F.lit(4.0).alias("trail"))
 
 
 _LIMIT = f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS order_id, symbol, us, seq // 70 % 2 = 0 AS buy, CAST(price AS DOUBLE) - CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS lim, CAST(price AS DOUBLE) + CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS stop, seq // 10 % 7 AS kind FROM t WHERE seq % 10 = 0),
@@ -365,8 +365,8 @@ def trailing_stops(spark, d):
 m AS (SELECT combo_id, a.us AS bus, a.c - 0.5 * b.c AS net FROM o JOIN h a ON a.symbol = s1 AND a.us > o.us AND a.us <= o.us + {7 * DAY} JOIN h b ON b.symbol = s2 AND b.us = a.us WHERE s1 <> s2)
 SELECT combo_id, min(bus) AS fill_us, round(arg_min(net, bus), 6) AS net FROM m WHERE net <= 10 GROUP BY 1""")
 def combo_fills(spark, d):
-    """Each 25th trade's user against half a unit of the user with half the number."""
-    rows = trades(spark, d).where("seq % 25 = 0").withColumn("other", F.concat(F.lit("U"), F.floor(F.substring("symbol", 2, 9).cast("bigint") / 2))).where("symbol != other")
+    """Each trade's user against half a unit of the user with half the number."""
+    rows = trades(spark, d).withColumn("other", F.concat(F.lit("U"), F.floor(F.substring("symbol", 2, 9).cast("bigint") / 2))).where("symbol != other")
     legs = rows.select(F.col("seq").alias("combo_id"), "us", F.explode(F.array(F.struct(F.col("symbol"), F.lit(1.0).alias("ratio")), F.struct(F.col("other").alias("symbol"), F.lit(-0.5).alias("ratio")))).alias("l")).select("combo_id", "us", "l.*", F.lit(10.0).alias("limit"), F.lit(2).alias("n_legs"))
     return od.fill_combos(legs, _hourly(spark, d), 7 * DAY).withColumn("net", F.round("net", 6))
 

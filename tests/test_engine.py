@@ -316,6 +316,17 @@ def test_matching(spark):
     assert pairs == [(1, 3, 5), (2, 3, 1), (2, 4, 4)]
 
 
+def test_every_trade_places_an_order_and_a_combo(spark, tmp_path):
+    from quern.plans import catalog
+
+    df = spark.range(1, 141).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.floor(F.col("id") / 2) * 1_800_000_000).alias("ts"), (F.col("id") % 2 + 1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(10.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    ids = lambda n, c: {r[c] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()}
+    assert ids("market_fill", "order_id") == {*range(20, 30), *range(90, 100)}
+    assert ids("open_close_fills", "order_id") == {*range(50, 70), *range(120, 140)}
+    assert ids("combo_fills", "combo_id") == set(range(1, 140, 2))  # the second user's, against the first
+
+
 def test_strike_windows(spark):
     c = spark.createDataFrame([("u", i, float(s)) for i, s in enumerate((90, 95, 100, 105, 110))], "k string, id int, strike double")
     at = lambda spot: [r[0] for r in rows_of(universe.strike_window(c.withColumn("spot", F.lit(spot)), ["k"], "spot", -1, 1), "strike")]
