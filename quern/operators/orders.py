@@ -2,69 +2,144 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.fold import fold
+
+
+#: Orders of one symbol that wait in one task at most; those of a busier symbol are split, as no order hangs on another.
+PART_ORDERS = 50_000
+_NUMBERS = ("limit", "stop", "touch", "trail")
+_PRICES = ("open", "high", "low", "close")
+_NEVER = 2**62
+
+
+class _Waiting:
+    """Orders of a symbol that wait for their bar.  Each bar is held against all of them at once; those it fills go, the others stay."""
+
+    def __init__(self, price: Callable[[dict[str, np.ndarray], tuple[float, ...]], np.ndarray]):
+        self.price, self.new = price, []
+        self.ids, self.cols = np.empty(0, object), {}
+
+    def _take(self) -> None:
+        """The orders since the last bar join those that wait."""
+        ids, side, kind, expires, *numbers = zip(*self.new)
+        n = len(ids)
+        cols = {"buy": np.array([s == "buy" for s in side]), "type": np.array([k or "" for k in kind], "U12"), "expires": np.array([_NEVER if e is None else e for e in expires], np.int64)}
+        cols |= {c: np.array([np.nan if x is None else x for x in v], float) for c, v in zip(_NUMBERS, numbers)}
+        cols |= {"latched": np.zeros(n, bool), "best": np.full(n, np.nan)}
+        held = np.empty(n, object)
+        held[:] = ids
+        self.ids, self.new = np.concatenate([self.ids, held]), []
+        self.cols = {c: np.concatenate([self.cols[c], v]) for c, v in cols.items()} if self.cols else cols
+
+    def push(self, row):
+        us, is_order, *order = row[:-4]
+        if is_order:
+            self.new.append(order)
+            return []
+        if self.new:
+            self._take()
+        if not len(self.ids):
+            return []
+        if (old := self.cols["expires"] < us).any():
+            self._keep(~old)
+        price = self.price(self.cols, tuple(np.nan if x is None else x for x in row[-4:]))
+        if not (hit := ~np.isnan(price)).any():
+            return []
+        out = [(i, us, p) for i, p in zip(self.ids[hit].tolist(), price[hit].tolist())]
+        self._keep(~hit)
+        return out
+
+    def _keep(self, which: np.ndarray) -> None:
+        self.ids, self.cols = self.ids[which], {c: v[which] for c, v in self.cols.items()}
+
+    def end(self):
+        return []
+
+
+def _wait(orders: DataFrame, bars: DataFrame, price: Callable, value: str) -> DataFrame:
+    """order_id, fill_us and a value: orders at the first bar after them for which ``price`` gives a number."""
+    parts = orders.where("us IS NOT NULL").groupBy("symbol").agg(F.ceil(F.count("*") / PART_ORDERS).alias("parts"))
+    given = {"side": "string", "type": "string", "expires": "bigint"} | dict.fromkeys(_NUMBERS, "double")
+    kind = orders.schema["order_id"].dataType.simpleString()
+    none = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names.items()]
+    o = orders.where("us IS NOT NULL").join(parts, "symbol").select("symbol", F.pmod(F.xxhash64("order_id"), F.col("parts")).alias("part"), "us", F.lit(1).alias("is_order"), "order_id", *[(F.col(c) if c in orders.columns else F.lit(None)).cast(t).alias(c) for c, t in given.items()], *none(dict.fromkeys(_PRICES, "double")))
+    b = bars.where("us IS NOT NULL").join(parts, "symbol").select("symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "us", F.lit(0).alias("is_order"), *none({"order_id": kind} | given), *[(F.col(c) if c in bars.columns else F.lit(None)).cast("double").alias(c) for c in _PRICES])
+    inputs = ["us", "is_order", "order_id", *given, *_PRICES]
+    rows = fold(o.unionByName(b), ["symbol", "part"], ["us", "is_order"], inputs, lambda: _Waiting(price), f"order_id {kind}, fill_us bigint, `{value}` double")
+    return rows.select("order_id", "fill_us", value)
+
+
+def _fill_price(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
+    """What each order is filled at by a bar; NaN: not by this one."""
+    start, high, low, close = bar
+    buy, kind, limit, stop = o["buy"], o["type"], o["limit"], o["stop"]
+    broke = np.where(buy, high > stop, low < stop)
+    o["latched"] |= np.where(kind == "touched", np.where(buy, low <= o["touch"], high >= o["touch"]), broke)
+    capped = np.where(buy, np.fmin(high, limit), np.fmax(low, limit))
+    at = {
+        "market": close,
+        "on_open": start,
+        "on_close": close,
+        "limit": np.where(np.where(buy, low < limit, high > limit), capped, np.nan),
+        "stop": np.where(broke, np.where(buy, np.fmax(stop, close), np.fmin(stop, close)), np.nan),
+        "stop_limit": np.where(o["latched"] & np.where(buy, close < limit, close > limit), capped, np.nan),
+        "touched": np.where(o["latched"] & np.where(buy, close <= limit, close >= limit), limit, np.nan),
+    }
+    return np.select([kind == k for k in at], list(at.values()), np.nan)
+
+
+def fill_orders(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """order_id, fill_us, fill_price: each order filled by the first bar after it that reaches its price, however late.
+
+    ``orders``: order_id (unique), symbol, us, side, type, limit, stop, touch and, if they
+    end, expires (us of the last bar that may fill it; null or no such column: none);
+    ``bars``: symbol, us (end), open, high, low, close.  Types: market, limit, stop,
+    stop_limit (the stop is latched), touched, on_open, on_close.
+    """
+    return _wait(orders, bars, _fill_price, "fill_price")
+
+
+def _trailed(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
+    """Where each stop stands when a bar touches it; NaN: it doesn't.  Closes move the stop for later bars."""
+    _, high, low, close = bar
+    buy, best = o["buy"], o["best"]
+    stop = np.where(buy, np.fmin(o["stop"], best + o["trail"]), np.fmax(o["stop"], best - o["trail"]))
+    o["best"] = np.where(buy, np.fmin(best, close), np.fmax(best, close))
+    return np.where(np.where(buy, high >= stop, low <= stop), stop, np.nan)
 
-def fill_orders(orders: DataFrame, bars: DataFrame, max_us: int) -> DataFrame:
-    """order_id, fill_us, fill_price: each order filled by the first bar after it that reaches its price.
 
-    ``orders``: order_id, symbol, us, side, type, limit, stop, touch; ``bars``: symbol, us
-    (end), open, high, low, close.  Orders are good for ``max_us``; bars are matched by
-    blocks of that length, so no order meets more than two blocks.  Types: market,
-    limit, stop, stop_limit (the stop is latched), touched, on_open, on_close.
+def trailing_stops(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """order_id, fill_us, stop: a stop that follows the best close so far at the distance ``trail``; it fills on touch, however late.
+
+    ``orders`` may have expires, as in ``fill_orders``.
     """
-    o = orders.withColumn("block", F.explode(F.array(F.floor(F.col("us") / max_us), F.floor(F.col("us") / max_us) + 1)))
-    b = bars.select(F.col("symbol").alias("s"), F.col("us").alias("bar_us"), "open", "high", "low", "close", F.floor(F.col("us") / max_us).alias("k"))
-    both = o.join(b, (F.col("symbol") == F.col("s")) & (F.col("block") == F.col("k"))).where((F.col("bar_us") > F.col("us")) & (F.col("bar_us") <= F.col("us") + max_us))
-    buy = F.col("side") == "buy"
-    w = Window.partitionBy("order_id").orderBy("bar_us").rowsBetween(Window.unboundedPreceding, 0)
-    broke = F.when(buy, F.col("high") > F.col("stop")).otherwise(F.col("low") < F.col("stop"))
-    touch = F.when(buy, F.col("low") <= F.col("touch")).otherwise(F.col("high") >= F.col("touch"))
-    both = both.withColumn("latched", F.coalesce(F.max(F.when(F.col("type") == "touched", touch).otherwise(broke)).over(w), F.lit(False)))
-    at_limit = F.when(buy, F.when(F.col("low") < F.col("limit"), F.least("high", "limit"))).otherwise(F.when(F.col("high") > F.col("limit"), F.greatest("low", "limit")))
-    stop_limit = F.when(buy, F.when(F.col("close") < F.col("limit"), F.least("high", "limit"))).otherwise(F.when(F.col("close") > F.col("limit"), F.greatest("low", "limit")))
-    at_touch = F.when(buy, F.when(F.col("close") <= F.col("limit"), F.col("limit"))).otherwise(F.when(F.col("close") >= F.col("limit"), F.col("limit")))
-    price = (
-        F.when(F.col("type") == "market", F.col("close"))
-        .when(F.col("type") == "on_open", F.col("open"))
-        .when(F.col("type") == "on_close", F.col("close"))
-        .when(F.col("type") == "limit", at_limit)
-        .when((F.col("type") == "stop") & broke, F.when(buy, F.greatest("stop", "close")).otherwise(F.least("stop", "close")))
-        .when((F.col("type") == "stop_limit") & F.col("latched"), stop_limit)
-        .when((F.col("type") == "touched") & F.col("latched"), at_touch)
-    )
-    hit = both.withColumn("fill_price", price).where(F.col("fill_price").isNotNull())
-    return hit.groupBy("order_id").agg(F.min("bar_us").alias("fill_us"), F.min_by("fill_price", "bar_us").alias("fill_price"))
-
-
-def trailing_stops(orders: DataFrame, bars: DataFrame, max_us: int) -> DataFrame:
-    """order_id, fill_us, stop: a stop that follows the best close so far at the distance ``trail``; it fills on touch."""
-    o = orders.withColumn("block", F.explode(F.array(F.floor(F.col("us") / max_us), F.floor(F.col("us") / max_us) + 1)))
-    b = bars.select(F.col("symbol").alias("s"), F.col("us").alias("bar_us"), "high", "low", "close", F.floor(F.col("us") / max_us).alias("k"))
-    both = o.join(b, (F.col("symbol") == F.col("s")) & (F.col("block") == F.col("k"))).where((F.col("bar_us") > F.col("us")) & (F.col("bar_us") <= F.col("us") + max_us))
-    buy = F.col("side") == "buy"
-    w = Window.partitionBy("order_id").orderBy("bar_us").rowsBetween(Window.unboundedPreceding, -1)
-    stop = F.when(buy, F.least("stop", F.min("close").over(w) + F.col("trail"))).otherwise(F.greatest("stop", F.max("close").over(w) - F.col("trail")))
-    both = both.withColumn("now", stop)
-    hit = both.where(F.when(buy, F.col("high") >= F.col("now")).otherwise(F.col("low") <= F.col("now")))
-    return hit.groupBy("order_id").agg(F.min("bar_us").alias("fill_us"), F.min_by("now", "bar_us").alias("stop"))
-
-
-def fill_combos(legs: DataFrame, bars: DataFrame, max_us: int) -> DataFrame:
-    """combo_id, fill_us, net: legs bought together at the first bar end where all have a bar and the net price is within the limit.
-
-    ``legs``: combo_id, symbol, us, ratio (negative: sold), limit, n_legs; a null limit
-    takes the first common bar.
+    return _wait(orders, bars, _trailed, "stop")
+
+
+def _net(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
+    return np.where(np.isnan(o["limit"]) | (bar[3] <= o["limit"]), bar[3], np.nan)
+
+
+def fill_combos(legs: DataFrame, bars: DataFrame) -> DataFrame:
+    """combo_id, fill_us, net: legs bought together at the first bar end where all have a bar and the net price is within the limit, however late.
+
+    ``legs``: combo_id, symbol, us, ratio (negative: sold), limit, n_legs and, if they end,
+    expires; a null limit takes the first common bar.  Combinations of the same legs share
+    one series of net prices, against which they wait as orders do.
     """
-    o = legs.withColumn("block", F.explode(F.array(F.floor(F.col("us") / max_us), F.floor(F.col("us") / max_us) + 1)))
-    b = bars.select(F.col("symbol").alias("s"), F.col("us").alias("bar_us"), "close", F.floor(F.col("us") / max_us).alias("k"))
-    both = o.join(b, (F.col("symbol") == F.col("s")) & (F.col("block") == F.col("k"))).where((F.col("bar_us") > F.col("us")) & (F.col("bar_us") <= F.col("us") + max_us))
-    net = both.groupBy("combo_id", "bar_us").agg(F.sum(F.col("ratio") * F.col("close")).alias("net"), F.count("*").alias("n"), F.max("n_legs").alias("n_legs"), F.max("limit").alias("limit"))
-    ok = net.where((F.col("n") == F.col("n_legs")) & (F.col("limit").isNull() | (F.col("net") <= F.col("limit"))))
-    return ok.groupBy("combo_id").agg(F.min("bar_us").alias("fill_us"), F.min_by("net", "bar_us").alias("net"))
+    ends = [F.min("expires").alias("expires")] if "expires" in legs.columns else []
+    combos = legs.groupBy("combo_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "ratio"))).alias("legs"), F.max("us").alias("us"), F.max("limit").alias("limit"), F.max("n_legs").alias("n_legs"), *ends)
+    combos = combos.where(F.size("legs") == F.col("n_legs")).withColumn("key", F.to_json("legs"))
+    each = combos.select("key", "legs").dropDuplicates(["key"]).select("key", F.size("legs").alias("n_legs"), F.explode("legs").alias("l")).select("key", "n_legs", "l.*")
+    net = each.join(bars.select("symbol", "us", "close"), "symbol").groupBy("key", "us").agg(F.sum(F.col("ratio") * F.col("close")).alias("close"), F.count("*").alias("n"), F.max("n_legs").alias("n_legs")).where("n = n_legs")
+    filled = _wait(combos.withColumnsRenamed({"combo_id": "order_id", "key": "symbol"}), net.select(F.col("key").alias("symbol"), "us", "close"), _net, "net")
+    return filled.withColumnRenamed("order_id", "combo_id")
 
 
 def volume_share_slippage(quantity: Column, volume: Column, price: Column, cap: float = 0.025, impact: float = 0.1) -> Column:

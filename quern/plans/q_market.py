@@ -323,7 +323,7 @@ m AS (SELECT o.*, h.us AS bus, h.o, h.h, h.l, h.c FROM o JOIN h ON o.symbol = h.
 
 
 def _filled(spark, d, kind):
-    return od.fill_orders(_orders(spark, d).where(F.col("type") == kind), _hourly(spark, d), 3 * DAY)
+    return od.fill_orders(_orders(spark, d).where(F.col("type") == kind), _hourly(spark, d))
 
 
 @query("limit_fill_first_touch", _LIMIT + ", f AS (SELECT *, CASE WHEN buy THEN CASE WHEN l < lim THEN least(h, lim) END ELSE CASE WHEN h > lim THEN greatest(l, lim) END END AS px FROM m WHERE kind = 0) SELECT order_id, min(bus) AS fill_us, round(arg_min(px, bus), 6) AS fill_price FROM f WHERE px IS NOT NULL GROUP BY 1")
@@ -358,7 +358,7 @@ def open_close_fills(spark, d):
 
 @query("trailing_stops", _LIMIT + ", g AS (SELECT *, CASE WHEN buy THEN least(stop, min(c) OVER w + 4) ELSE greatest(stop, max(c) OVER w - 4) END AS now FROM m WINDOW w AS (PARTITION BY order_id ORDER BY bus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT order_id, min(bus) AS fill_us, round(arg_min(now, bus), 6) AS stop FROM g WHERE CASE WHEN buy THEN h >= now ELSE l <= now END GROUP BY 1")
 def trailing_stops(spark, d):
-    return od.trailing_stops(_orders(spark, d), _hourly(spark, d), 3 * DAY).withColumn("stop", F.round("stop", 6))
+    return od.trailing_stops(_orders(spark, d), _hourly(spark, d)).withColumn("stop", F.round("stop", 6))
 
 
 @query("combo_fills", f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS combo_id, us, symbol AS s1, 'U' || CAST(CAST(substr(symbol, 2) AS BIGINT) // 2 AS VARCHAR) AS s2 FROM t WHERE seq % 25 = 0),
@@ -368,7 +368,7 @@ def combo_fills(spark, d):
     """Each trade's user against half a unit of the user with half the number."""
     rows = trades(spark, d).withColumn("other", F.concat(F.lit("U"), F.floor(F.substring("symbol", 2, 9).cast("bigint") / 2))).where("symbol != other")
     legs = rows.select(F.col("seq").alias("combo_id"), "us", F.explode(F.array(F.struct(F.col("symbol"), F.lit(1.0).alias("ratio")), F.struct(F.col("other").alias("symbol"), F.lit(-0.5).alias("ratio")))).alias("l")).select("combo_id", "us", "l.*", F.lit(10.0).alias("limit"), F.lit(2).alias("n_legs"))
-    return od.fill_combos(legs, _hourly(spark, d), 7 * DAY).withColumn("net", F.round("net", 6))
+    return od.fill_combos(legs, _hourly(spark, d)).withColumn("net", F.round("net", 6))
 
 
 @query("slippage_volume_share", f"WITH {TRADES} SELECT seq, round(pow(least(quantity / 200.0, 0.025), 2) * 0.1 * CAST(price AS DOUBLE), 10) AS slippage, round(greatest(CAST(price AS DOUBLE) * quantity * 7.5 / 10000 + quantity * 0.005, 0.35), 8) AS fee FROM t")

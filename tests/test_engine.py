@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
 from quern.operators import adjust, asof, bars, book, events, features, grid, labels, matching, portfolio, rolling_stats, universe, validate
+from quern.operators import orders as od
 from quern.operators.fold import fold
 from quern.operators.running import islands, ranked, running_sums
 from quern.plans.job import Condition, JobSpec, micros, parse_span
@@ -327,6 +328,19 @@ def test_every_trade_places_an_order_and_a_combo(spark, tmp_path):
     assert ids("combo_fills", "combo_id") == set(range(1, 140, 2))  # the second user's, against the first
 
 
+def test_orders_wait_until_they_fill(spark):
+    day, hours = 24 * 60 * MIN, range(1, 40 * 24)
+    at = lambda h: (10.0, 11.0, 9.0, 10.0) if h < 30 * 24 else (20.0, 21.0, 19.0, 20.0) if h < 35 * 24 else (5.0, 6.0, 4.0, 5.0)
+    b = spark.createDataFrame([(s, h * 60 * MIN, *at(h)) for s in "AB" for h in hours], "symbol string, us bigint, open double, high double, low double, close double")
+    o = [(1, "buy", "limit", 8.0, None, None, None), (2, "sell", "limit", 12.0, None, None, None), (3, "buy", "stop", None, 12.0, None, None), (4, "buy", "stop_limit", 8.0, 12.0, None, None), (5, "buy", "touched", 7.0, None, 8.0, None), (6, "buy", "market", None, None, None, None), (7, "sell", "limit", 12.0, None, None, 20 * day), (8, "buy", "limit", 1.0, None, None, None)]
+    orders = spark.createDataFrame([(i, "A", 5, *x) for i, *x in o], "order_id int, symbol string, us bigint, side string, type string, limit double, stop double, touch double, expires bigint")
+    assert rows_of(od.fill_orders(orders, b)) == [(1, 35 * day, 6.0), (2, 30 * day, 19.0), (3, 30 * day, 20.0), (4, 35 * day, 6.0), (5, 35 * day, 7.0), (6, 60 * MIN, 10.0)]
+    t = spark.createDataFrame([(1, "A", 5, "sell", 1.0, 4.0), (2, "A", 5, "buy", 30.0, 4.0), (3, "A", 5, "buy", 30.0, 40.0)], "order_id int, symbol string, us bigint, side string, stop double, trail double")
+    assert rows_of(od.trailing_stops(t, b)) == [(1, 35 * day, 16.0), (2, 30 * day, 14.0)]
+    legs = spark.createDataFrame([(c, s, 5, r, limit, 2) for c, limit in ((1, 3.0), (2, None), (3, -9.0)) for s, r in (("A", 1.0), ("B", -0.5))], "combo_id int, symbol string, us bigint, ratio double, limit double, n_legs int")
+    assert rows_of(od.fill_combos(legs, b)) == [(1, 35 * day, 2.5), (2, 60 * MIN, 5.0)]
+
+
 def test_strike_windows(spark):
     c = spark.createDataFrame([("u", i, float(s)) for i, s in enumerate((90, 95, 100, 105, 110))], "k string, id int, strike double")
     at = lambda spot: [r[0] for r in rows_of(universe.strike_window(c.withColumn("spot", F.lit(spot)), ["k"], "spot", -1, 1), "strike")]
