@@ -341,6 +341,16 @@ def test_orders_wait_until_they_fill(spark):
     assert rows_of(od.fill_combos(legs, b)) == [(1, 35 * day, 2.5), (2, 60 * MIN, 5.0)]
 
 
+def test_every_trade_gets_its_quote(spark, tmp_path):
+    from quern.plans import catalog
+
+    rows = [(1, "view", 10.0), (2, "purchase", 11.0), (3, "error", 12.0), (4, "click", 20.0), (5, "login", 13.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, value double").select("*", F.timestamp_seconds(1_704_067_200 + F.col("event_id")).alias("ts"), F.lit(1).cast("bigint").alias("user_id"), F.lit('{"k": 3}').alias("props"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["seq"]: round(r["bid_price"], 2) for r in catalog.QUERIES["asof_quote_at_trade"](spark, str(tmp_path)).collect()}
+    assert got == {1: 9.95, 2: 9.95, 3: 9.95, 4: 19.95, 5: 19.95}
+
+
 def test_strike_windows(spark):
     c = spark.createDataFrame([("u", i, float(s)) for i, s in enumerate((90, 95, 100, 105, 110))], "k string, id int, strike double")
     at = lambda spot: [r[0] for r in rows_of(universe.strike_window(c.withColumn("spot", F.lit(spot)), ["k"], "spot", -1, 1), "strike")]
