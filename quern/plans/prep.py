@@ -34,12 +34,13 @@ WITH r AS (
 f1 AS (SELECT *, CASE WHEN v = lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id) THEN 0 ELSE 1 END AS fresh FROM t),
 f2 AS (SELECT *, sum(fresh) OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS run FROM f1),
 f3 AS (SELECT *, count(*) OVER (PARTITION BY rec_table, field_name, symbol, venue, run) AS n FROM f2),
-p AS (SELECT *, coalesce(mark, '#' || rec_id) AS k, row_number() OVER (PARTITION BY rec_table, field_name, symbol, venue, coalesce(mark, '#' || rec_id), v ORDER BY ts, rec_id) AS copy FROM t WHERE v > 0),
-d AS (SELECT *, abs(v - lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id)) AS step FROM p),
-u AS (SELECT rec_table, field_name, symbol, venue, median(CAST(step AS DOUBLE)) FILTER (step > 0) AS usual_step, median(CAST(v AS DOUBLE)) AS usual_value, count(*) AS n FROM d GROUP BY ALL),
-m AS (SELECT *, CAST(v AS DOUBLE) AS x, median(CAST(v AS DOUBLE)) OVER ({_P4_STREAM} ORDER BY ts, rec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mid FROM p WHERE copy = 1),
+o AS (SELECT *, coalesce(mark, '#' || rec_id) AS k, row_number() OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS place FROM t),
+p0 AS (SELECT *, CASE WHEN place - lag(place) OVER c <= 24 THEN 0 ELSE 1 END AS fresh FROM o WHERE v > 0 WINDOW c AS (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place)),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place) AS nth FROM p0),
+m AS (SELECT *, CAST(v AS DOUBLE) AS x, median(CAST(v AS DOUBLE)) OVER w AS mid, abs(v - lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id)) AS step FROM p WHERE fresh = 1 WINDOW w AS ({_P4_STREAM} ORDER BY ts, rec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+u AS (SELECT rec_table, field_name, symbol, venue, greatest(12 * 1.4826 * median(abs(x - mid)), 18 * coalesce(median(CAST(step AS DOUBLE)) FILTER (step > 0), 0)) AS usual_reach, median(x) AS usual_value, count(*) AS n FROM m GROUP BY ALL),
 h AS (
-  SELECT m.*, CASE WHEN moves THEN 18 * usual_step ELSE 63 * usual_value END AS reach, CASE WHEN moves THEN abs(x - mid) > 18 * usual_step ELSE x > 64 * usual_value END AS far
+  SELECT m.*, CASE WHEN moves THEN usual_reach ELSE 63 * usual_value END AS reach, CASE WHEN moves THEN usual_reach > 0 AND abs(x - mid) > usual_reach ELSE x > 64 * usual_value END AS far
   FROM m JOIN u USING (rec_table, field_name, symbol, venue) WHERE u.n >= 3
 ), g AS (
   SELECT *, CASE WHEN lag(x) OVER w IS NULL OR abs(x - lag(x) OVER w) > reach OR far <> lag(far) OVER w THEN 1 ELSE 0 END AS fresh FROM h WINDOW w AS ({_P4_STREAM} ORDER BY ts, rec_id)
@@ -47,7 +48,7 @@ h AS (
 b AS (SELECT *, count(*) OVER (PARTITION BY rec_table, field_name, symbol, venue, level) AS n FROM l)
 SELECT rec_table, rec_id, field_name FROM r WHERE v <= 0
 UNION SELECT rec_table, rec_id, field_name FROM f3 WHERE v IS NOT NULL AND n >= 20
-UNION SELECT p.rec_table, p.rec_id, p.field_name FROM p JOIN b USING (rec_table, field_name, symbol, venue, k, v) WHERE b.far AND b.n <= 2
+UNION SELECT p.rec_table, p.rec_id, p.field_name FROM p JOIN b USING (rec_table, field_name, symbol, venue, k, v, nth) WHERE b.far AND b.n <= 2
 """
 
 #: No interpolation across gaps longer than this.

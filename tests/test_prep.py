@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.changefeed import ChangeFeed, newest_changes
 from quern.operators.outliers import Readings, Rules, flag_outliers
+from quern.operators.quantile import weighted_median
 from quern.operators.regrid import monotone_cubic, regular_grid
 from quern.operators.rolling import RollingDays
 from quern.operators.upsert import MessageStore
@@ -84,6 +85,45 @@ def test_shards_change_nothing(spark):
     assert found(spark, src, shard_rows=120) == whole
 
 
+def test_a_change_of_regime_is_judged_alike_in_shards_of_any_width(spark):
+    """A source that moves a hundred times as far after a fifth of its records, with leaps that only one of the regimes would call usual."""
+    rng = random.Random(9)
+    p, rows = 1000.0, []
+    for i in range(3000):
+        p += rng.choice([-1, 1]) * (0.01 if i < 600 else 1.0)
+        rows.append(["S", "V", i * 1000, i + 1, D(str(round(p, 2))), D("5.5") + i % 7])
+    for i in (200, 400):
+        rows[i][4] += D("0.9")
+    for i in (1000, 2000, 2999 - 30):
+        rows[i][4] += D("60")
+    for i in (500, 1500, 2500):
+        rows[i][5] = D("999")
+    src = readings(spark, [tuple(r) for r in rows], levels=(True, False))
+    one = found(spark, src, shard_rows=10**9)
+    assert one == {(i + 1, "a") for i in (1000, 2000, 2969)} | {(i + 1, "b") for i in (500, 1500, 2500)}
+    assert found(spark, src, shard_rows=500) == one and found(spark, src, shard_rows=150) == one
+
+
+def test_repeats_across_shards_have_the_verdict_of_their_first(spark):
+    rows = [[*r, f"m{r[3]}"] for r in wave(600)]
+    for i in (120, 240, 360, 480):
+        rows[i][4] *= 3
+        rows[i + 1 : i + 1] = [[*rows[i][:2], rows[i][2] + n, 10_000 + 10 * i + n, *rows[i][4:]] for n in range(1, 5)]
+    df = spark.createDataFrame([tuple(r) for r in rows], "sym string, ven string, t bigint, id bigint, a decimal(18,8), b decimal(18,8), mark string")
+    src = Readings("r", df, ("sym", "ven"), "t", "id", ("a", "b"), repeat=F.col("mark"))
+    one = found(spark, src, shard_rows=10**9)
+    assert len(one) == 20 and {c for _, c in one} == {"a"}
+    assert found(spark, src, shard_rows=120) == one
+
+
+def test_median_of_weighted_values_is_exact(spark):
+    rng = random.Random(12)
+    rows = [(g, x, rng.randrange(1, 5)) for g in range(6) for x in rng.sample(range(10 ** (g + 2)), 5 * g + 1)]
+    got = {r[0]: (r[1], r[2]) for r in weighted_median(spark.createDataFrame(rows, "g int, x bigint, c bigint"), ["g"], "x", "c").collect()}
+    each = {g: [x for h, x, c in rows if h == g for _ in range(c)] for g in range(6)}
+    assert got == {g: (len(v), float(np.median(v))) for g, v in each.items()}
+
+
 def test_nulls_times_and_empty_tables(spark):
     rows = [("S", "V", None, 1, D(0), D(1), 0, "", 0), (None, "V", 5, 2, D(-3), D(1), 0, "", 0), ("S", "V", 7, 3, None, None, 0, "", 0), ("S", "V", 8, 4, D(100), D(1), 0, "", 0)]
     df = spark.createDataFrame(rows, READ)
