@@ -49,7 +49,7 @@ class Rules:
     frozen: equal values in a row that count as frozen."""
 
     half: int = 4
-    deviations: float = 12.0
+    deviations: float = 24.0
     steps: float = 18.0
     times: float = 64.0
     stay: int = 2
