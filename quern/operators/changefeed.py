@@ -10,30 +10,16 @@ a batch again replaces that folder, so a repeated batch changes nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import settings
 from quern.workdir import exists, fresh_dir
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def _settings(spark: SparkSession, **conf: str):
-    """Session settings for the start of a query, put back afterwards."""
-    conf = {k.replace("__", "."): v for k, v in conf.items()}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def newest_changes(changes: DataFrame, keys: Sequence[str], sequence: Sequence[str | Column], payload: Sequence[str], deleted: Column) -> DataFrame:
     """keys and ``state`` (payload, seq, gone): of each key the change with the greatest sequence.
 
@@ -75,7 +61,7 @@ class ChangeFeed:
         def emit(batch: DataFrame, version: int) -> None:
             batch.write.mode("overwrite").parquet(f"{self.path}/out/version={version}")
 
-        with _settings(self.spark, spark__sql__streaming__stateStore__providerClass=_ROCKS, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
+        with settings(self.spark, spark__sql__streaming__stateStore__providerClass=_ROCKS, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
             q = state.writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(emit).option("checkpointLocation", f"{self.path}/checkpoint").start()
             q.awaitTermination()
 

@@ -13,8 +13,22 @@ from quern.operators.upsert import MessageStore, buckets_for
 from quern.tables import table
 
 STREAM = ("symbol", "venue")
-#: Arrivals of so long make one run of the message store, and one batch of bars.
-RUN_MS, BATCH_MS = 86_400_000, 21 * 86_400_000
+#: Batches in which deliveries arrive at the message store, and bars at the rolling state.
+RUNS, BAR_BATCHES = 3, 3
+
+
+def _batches(rows: DataFrame, n: int) -> list[tuple[str, DataFrame]]:
+    """The rows in order of arrival_ms, in at most n parts of about as many rows each; those without one in the last.
+
+    Rows lie in order of arrival, so each part reads its own part of the files.
+    """
+    cuts = rows.agg(F.percentile_approx("arrival_ms", F.array(*[F.lit(i / n) for i in range(1, n)]), 1000)).first()[0] or []
+    edges, at = [None, *sorted(set(cuts)), None], F.col("arrival_ms")
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        own = F.lit(True) if a is None else at > a
+        out.append((f"arrivals {a} to {b}", rows.where(own & (at <= b) if b is not None else own | at.isNull())))
+    return out
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +108,9 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "trades")
     ident = F.nullif(F.lower(F.trim("trade_id")), F.lit(""))
     rows = rows.select(*STREAM, F.coalesce(F.concat(F.lit("id "), ident), F.concat(F.lit("row "), F.col("delivery_id"))).alias("ident"), "delivery_id", "arrival_ms", "timestamp_ms", "price", "size", F.lower("side").alias("side"))
-    store = MessageStore(spark, [*STREAM, "ident"], ["arrival_ms", "delivery_id"], ["arrival_ms", "timestamp_ms", "price", "size", "side"], buckets_for(rows.count()))
-    store.upsert(rows, F.floor(F.col("arrival_ms") / RUN_MS))
+    store = MessageStore(spark, [*STREAM, "ident"], ["arrival_ms", "delivery_id"], ["arrival_ms", "timestamp_ms", "price", "size", "side"], buckets_for(table(spark, d, "trades").count()))
+    for name, batch in _batches(rows, RUNS):
+        store.upsert(batch, name)
     got = store.compact()
     return got.withColumn("trade_id", F.when(F.col("ident").startswith("id "), F.expr("substring(ident, 4)")))
 
@@ -119,13 +134,9 @@ WITH t AS (
 
 def _rolling(spark: SparkSession, d: str) -> RollingDays:
     """The state after the bars' arrivals, in batches of some weeks."""
-    bars = table(spark, d, "bars")
-    ends = bars.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
     state = RollingDays(spark, STREAM, "timestamp_ms", ["arrival_ms", "bar_id"], ["volume", "close"], "volume")
-    first, last = (ends[0] or 0) // BATCH_MS, (ends[1] or 0) // BATCH_MS
-    for n in range(first, last + 1):
-        batch = bars.where((F.col("arrival_ms") >= n * BATCH_MS) & (F.col("arrival_ms") < (n + 1) * BATCH_MS))
-        state.apply(batch if n < last else batch.unionByName(bars.where(F.col("arrival_ms").isNull())))
+    for name, batch in _batches(table(spark, d, "bars"), BAR_BATCHES):
+        state.apply(batch, name)
     return state
 
 

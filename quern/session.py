@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,3 +38,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(str(path))
     sc._quern_shipped = True
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Session settings (``__`` for the dots) while something starts, put back afterwards."""
+    conf = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

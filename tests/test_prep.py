@@ -240,10 +240,10 @@ def test_message_store_collapses_and_repeats_change_nothing(spark, tmp_path):
     df = spark.createDataFrame(rows, MSG)
     store = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], buckets=3, path=f"{tmp_path}/m")
     want = [("a", 3, "x", 2), ("b", 4, None, 2), ("c", 5, "z", 1)]
-    for _ in range(2):  # the same batch again replaces its run
-        store.upsert(df, F.lit("one"))
+    for _ in range(2):  # the same batch again adds nothing
+        store.upsert(df, "one")
     assert rows_of(store.compact(), "k", "p", "q", "n_deliveries") == want
-    store.upsert(spark.createDataFrame([("c", 0, 9, 1, None, "r", 1), ("d", 1, 10, 2, "w", "r", 1)], MSG), F.lit("two"))
+    store.upsert(spark.createDataFrame([("c", 0, 9, 1, None, "r", 1), ("d", 1, 10, 2, "w", "r", 1)], MSG), "two")
     assert rows_of(store.compact(), "k", "p", "q", "n_deliveries") == [*want[:2], ("c", 1, "z", 2), ("d", 2, "w", 1)]
 
 
@@ -254,17 +254,63 @@ def test_message_runs_do_not_matter(spark, tmp_path):
     got = []
     for n, width in enumerate((1000, 37)):
         store = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], path=f"{tmp_path}/{n}")
-        store.upsert(df, F.floor(F.col("at") / width))
+        for b in range(0, 500, width):
+            store.upsert(df.where(F.col("at").between(b, b + width - 1)), f"from {b}")
         got.append(rows_of(store.compact(), "k", "p", "q", "n_deliveries"))
     assert got[0] == got[1]
 
 
 def test_empty_message_batch(spark, tmp_path):
     store = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], path=f"{tmp_path}/m")
-    store.upsert(spark.createDataFrame([], MSG), F.lit("one"))
+    store.upsert(spark.createDataFrame([], MSG), "one")
     assert store.compact().count() == 0
 
 
+def test_message_store_opened_again_goes_on_and_knows_its_batches(spark, tmp_path):
+    path = f"{tmp_path}/m"
+    batches = {n: spark.createDataFrame([(k, n, i, i, str(n), "", 0) for i, k in enumerate(ks)], MSG) for n, ks in enumerate(("abc", "bcd", "cde"))}
+    open_again = lambda buckets: MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], buckets, path)
+    store = open_again(3)
+    store.upsert(batches[0], "0")
+    store.upsert(batches[1], "1")
+    want = [("a", "0", 1), ("b", "0", 2), ("c", "0", 2), ("d", "1", 1)]
+    for compacted in (False, True):
+        again = open_again(7)  # the number of buckets is that of the store
+        assert again.buckets == 3
+        for n in (0, 1):
+            again.upsert(batches[n], str(n))
+        if compacted:
+            assert rows_of(again.compact(), "k", "q", "n_deliveries") == want
+            again.upsert(batches[0], "0")
+        assert rows_of(open_again(1).messages(), "k", "q", "n_deliveries") == want
+    last = open_again(5)
+    last.upsert(batches[2], "2")
+    assert rows_of(last.compact(), "k", "q", "n_deliveries") == [("a", "0", 1), ("b", "0", 2), ("c", "0", 3), ("d", "1", 2), ("e", "2", 1)]
+    with pytest.raises(ValueError):
+        MessageStore(spark, ["k"], ["at"], ["p"], path=path)
+
+
+def test_what_a_failed_batch_left_is_not_read(spark, tmp_path):
+    store = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], 3, f"{tmp_path}/m")
+    rows = spark.createDataFrame([("a", 1, 1, 1, "x", "", 0)], MSG)
+    store.upsert(rows, "one")
+    store._add(store._runs())  # written, but never put into the manifest
+    again = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], 3, f"{tmp_path}/m")
+    assert rows_of(again.messages(), "k", "n_deliveries") == [("a", 1)]
+
+
+def test_compaction_moves_no_row(spark, tmp_path):
+    store = MessageStore(spark, ["k"], ["at", "id"], ["p", "q"], 3, f"{tmp_path}/m")
+    for n in range(2):
+        store.upsert(spark.createDataFrame([(k, n, n, n, "x", "", 0) for k in "abcdef"], MSG), str(n))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        plan = store._runs().groupBy("k").agg(F.min("whole"), F.sum("deliveries"))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
 # ---- rolling days
 
 BAR = "s string, t bigint, v bigint, id bigint, volume decimal(18,8), close decimal(18,8), day int, sum_volume int"
@@ -295,11 +341,11 @@ def test_rolling_days_in_batches(spark, tmp_path, batches):
         rows.append((s, t, rng.randrange(1000), i, rng.choice([None, D(0), D(rng.randrange(50))]), rng.choice([None, D(rng.randrange(99))])))
     rows += [(None, 5, 1, 900, D(1), D(1)), ("A", None, 1, 901, D(1), D(1))]
     state = RollingDays(spark, ["s"], "t", ["v", "id"], ["volume", "close"], "volume", path=f"{tmp_path}/r")
-    state.apply(spark.createDataFrame([], BAR))
+    state.apply(spark.createDataFrame([], BAR), "nothing")
     assert state.days().count() == 0
     for n in range(batches):
-        state.apply(spark.createDataFrame([(*r, 1, 1) for r in rows[n::batches]], BAR))
-    state.apply(spark.createDataFrame([], BAR))
+        state.apply(spark.createDataFrame([(*r, 1, 1) for r in rows[n::batches]], BAR), str(n))
+    state.apply(spark.createDataFrame([], BAR), "nothing again")
     for p in (7, 30):
         got = {(r[0], r[1]): (r[2], r[3], int(r[4]), r[5]) for r in state.days().select("s", "day", f"sum_volume_{p}", f"sum_close_{p}", f"n_close_{p}", "active").collect()}
         assert got == brute(rows, p)
@@ -308,5 +354,43 @@ def test_rolling_days_in_batches(spark, tmp_path, batches):
 def test_utc_days(spark, tmp_path):
     t = int(datetime(2013, 1, 7, 23, 55, tzinfo=timezone.utc).timestamp() * 1000)
     state = RollingDays(spark, ["s"], "t", ["v"], ["volume"], "volume", path=f"{tmp_path}/r")
-    state.apply(spark.createDataFrame([("A", t, 1, 1, D(1), D(1), 0, 0), ("A", t + 300_000, 1, 1, D(1), D(1), 0, 0)], BAR))
+    state.apply(spark.createDataFrame([("A", t, 1, 1, D(1), D(1), 0, 0), ("A", t + 300_000, 1, 1, D(1), D(1), 0, 0)], BAR), "one")
     assert [r[0] for r in state.days().select(F.date_from_unix_date("day").cast("string")).orderBy("day").collect()] == ["2013-01-07", "2013-01-08"]
+
+
+def random_bars(seed, n, days):
+    rng = random.Random(seed)
+    return [(rng.choice("ABC"), rng.randrange(days) * DAY + rng.randrange(3) * 3_600_000, rng.randrange(1000), i, rng.choice([None, D(0), D(rng.randrange(50))]), D(rng.randrange(99))) for i in range(n)]
+
+
+def totals(state, p=30):
+    return {(r[0], r[1]): (r[2], r[3], int(r[4]), r[5]) for r in state.days().select("s", "day", f"sum_volume_{p}", f"sum_close_{p}", f"n_close_{p}", "active").collect()}
+
+
+def test_rolling_days_opened_again_go_on_and_know_their_batches(spark, tmp_path):
+    rows = random_bars(3, 120, 150)
+    new = lambda: RollingDays(spark, ["s"], "t", ["v", "id"], ["volume", "close"], "volume", path=f"{tmp_path}/r")
+    part = lambda a, b: spark.createDataFrame([(*r, 1, 1) for r in rows[a:b]], BAR)
+    new().apply(part(0, 60), "one")
+    new().apply(part(60, 100), "two")
+    again = new()
+    again.apply(part(0, 60), "one")
+    assert totals(again) == brute(rows[:100], 30)
+    again.apply(part(100, 120), "three")
+    assert totals(new()) == brute(rows, 30)
+    with pytest.raises(ValueError):
+        RollingDays(spark, ["s"], "t", ["v"], ["volume"], "volume", path=f"{tmp_path}/r")
+
+
+def test_a_batch_reads_and_writes_only_blocks_near_its_days(spark, tmp_path):
+    rows = random_bars(4, 400, 800)
+    state = RollingDays(spark, ["s"], "t", ["v", "id"], ["volume", "close"], "volume", path=f"{tmp_path}/r")
+    state.apply(spark.createDataFrame([(*r, 1, 1) for r in rows], BAR), "history")
+    late = [("A", 400 * DAY + 5, 2000, 5000, D(7), D(7)), ("B", 801 * DAY, 2000, 5001, D(1), D(2))]
+    read, seen = state._read, []
+    state._read = lambda name, blocks=None: (seen.append((name, blocks)), read(name, blocks))[1]
+    state.apply(spark.createDataFrame([(*r, 1, 1) for r in late], BAR), "late")
+    state._read = read
+    assert {b for n, bs in seen if n == "days" for b in bs} <= {11, 12, 13, 23, 24, 25} and len(state.state["blocks"]["days"]) > 20
+    assert sorted(int(b) for b, v in state.state["blocks"]["days"].items() if v == 2) in ([12, 13, 24, 25], [12, 13, 25])
+    assert totals(state) == brute(rows + late, 30) and totals(state, 7) == brute(rows + late, 7)
