@@ -67,7 +67,7 @@ class RollingDays:
         return self.spark.read.schema(StructType.fromJson(self.state["schemas"][name])).parquet(*[self._folder(name, b, have[b]) for b in sorted(wanted)])
 
     def _write(self, df: DataFrame, name: str, version: int, block: Column) -> None:
-        df.withColumn("block", block).repartition("block", *self.keys).write.mode("overwrite").partitionBy("block").parquet(f"{self.path}/{name}/version={version}")
+        df.withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(f"{self.path}/{name}/version={version}")
         self.state["schemas"][name] = df.schema.jsonValue()
 
     def days(self) -> DataFrame:
@@ -97,12 +97,14 @@ class RollingDays:
         rows = self.spark.read.schema(rows.schema).parquet(f"{staged}/events")
 
         spans = self._read("spans")
-        own = rows.groupBy(*k).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-        affected = self._affected(rows.select(*kd).distinct(), own, spans)
+        rows.select(*kd).distinct().write.mode("overwrite").parquet(f"{staged}/touched")
+        hit = self.spark.read.schema(rows.select(*kd).schema).parquet(f"{staged}/touched")
+        own = hit.groupBy(*k).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+        affected = self._affected(hit, own, spans)
         affected.write.mode("overwrite").parquet(f"{staged}/affected")
         affected = self.spark.read.schema(affected.schema).parquet(f"{staged}/affected")
         # Blocks come to the driver: one number for each month of dates.
-        touched = [r[0] for r in rows.select(block).distinct().collect()]
+        touched = [r[0] for r in hit.select(block).distinct().collect()]
         changed = [r[0] for r in affected.select(block).distinct().collect()]
         needed = {b for c in changed for b in range((c * BLOCK_DAYS - far) // BLOCK_DAYS, c + 1)}
 
@@ -111,7 +113,7 @@ class RollingDays:
             events = rows.unionByName(before).groupBy(*kd, "t").agg(F.max("event").alias("event")).select(*rows.columns)
         self._write(events, "events", this, block)
         events = self.spark.read.schema(events.schema).parquet(*[self._folder("events", b, this) for b in touched]) if touched else rows
-        daily = events.join(rows.select(*kd).distinct(), kd, "left_semi").groupBy(*kd).agg(*[x for v in self.values for x in (F.coalesce(F.sum(f"event.{v}"), F.lit(0)).cast(_AMOUNT).alias(f"sum_{v}"), F.count(f"event.{v}").cast(_AMOUNT).alias(f"n_{v}"))], F.max(F.coalesce(F.col(f"event.{self.active}") > 0, F.lit(False))).alias("active"), F.count("*").alias("events"))
+        daily = events.join(hit, kd, "left_semi").groupBy(*kd).agg(*[x for v in self.values for x in (F.coalesce(F.sum(f"event.{v}"), F.lit(0)).cast(_AMOUNT).alias(f"sum_{v}"), F.count(f"event.{v}").cast(_AMOUNT).alias(f"n_{v}"))], F.max(F.coalesce(F.col(f"event.{self.active}") > 0, F.lit(False))).alias("active"), F.count("*").alias("events"))
         days = self._roll(daily, affected, self._read("days", sorted(needed)))
         self._write(days.where(block.isin(changed)), "days", this, block)
         whole = own if spans is None else own.unionByName(spans).groupBy(*k).agg(F.min("first").alias("first"), F.max("last").alias("last"))
