@@ -1,7 +1,7 @@
 """Irregular readings onto regular grids.
 
-Grid points are made by time shard, readings are cut into the same shards, and
-each shard is given the two readings before and after it, wherever they lie
+Grid points are made by time shard, readings are cut into the same shards (narrow
+enough for the readings and for the points of the busiest source), and each shard is given the two readings before and after it, wherever they lie
 ("halo").  A vectorised binary search puts readings into cells; between readings
 a shape-preserving monotone cubic (Fritsch and Carlson's condition, with the
 weighted harmonic mean of the neighbouring slopes) gives values, except across
@@ -59,7 +59,8 @@ def monotone_cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray, max_gap: float)
     m = _slopes(x, y, apart)
     h = x[j + 1] - x[j]
     u = (at - x[j]) / h
-    v = y[j] * (1 + 2 * u) * (1 - u) ** 2 + m[j] * h * u * (1 - u) ** 2 + y[j + 1] * u * u * (3 - 2 * u) + m[j + 1] * h * u * u * (u - 1)
+    w = (1 - u) * (1 - u)
+    v = y[j] * (1 + 2 * u) * w + m[j] * h * u * w + y[j + 1] * u * u * (3 - 2 * u) + m[j + 1] * h * u * u * (u - 1)
     long_gap = inside & apart[j] & ~exact
     v = np.where(exact, y[np.maximum(i, 0)], np.where(inside & ~long_gap, v, np.nan))
     return v, long_gap
@@ -88,6 +89,21 @@ def _onto_grid(readings: pa.Table, points: pa.Table, max_gap: float) -> pa.Table
     return pa.table([points["job"].combine_chunks(), points["k0"].combine_chunks(), points["k1"].combine_chunks(), pa.array(g), pa.array(status, pa.string()), nan(value), nan(smooth), pa.array(long_gap)], schema=_OUT)
 
 
+def plan_grid(readings: DataFrame, jobs: DataFrame, rows: int) -> ShardPlan:
+    """Width at which the busiest source has about ``rows`` readings a shard, and no more points of all its jobs.
+
+    A slow source may have few readings and a grid of any number of points.
+    """
+    plan = plan_shards(readings, ["k0", "k1"], "t", rows, least=60_000)
+    jobs = jobs.where(F.col("step").isNotNull() & (F.col("step") > 0) & (F.col("start") <= F.col("end")))
+    per = jobs.groupBy("k0", "k1").agg(F.sum(1.0 / F.col("step")).alias("rate"), F.sum((F.col("end") - F.col("start")) / F.col("step")).alias("points"), F.min("start").alias("lo"), F.max("end").alias("hi"))
+    got = per.agg(F.max("rate").alias("rate"), F.max("points").alias("points"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if not got["points"] or got["points"] <= rows:
+        return plan
+    width = min(plan.width, max(1, int(rows / got["rate"])))
+    return ShardPlan(width, max(plan.shards * -(-plan.width // width), -(-(int(got["hi"]) - int(got["lo"]) + 1) // width)))
+
+
 def _job_shards(jobs: DataFrame, plan: ShardPlan) -> DataFrame:
     """Each job once for each shard in which it has points, the a-th to the b-th."""
     first, end = F.col("start") + F.col("step"), F.col("end")
@@ -157,7 +173,7 @@ def regular_grid(
     ask = jobs.select(F.col("job").cast("string").alias("job"), F.col(keys[0]).cast("string").alias("k0"), F.col(keys[1]).cast("string").alias("k1"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("step").cast("bigint").alias("step"), F.coalesce(F.col("fill"), F.lit(True)).alias("fill"))
     for c in ("k0", "k1", "start", "end"):
         ask = ask.where(F.col(c).isNotNull())
-    plan = plan_shards(cut, ["k0", "k1"], "t", shard_rows, least=60_000)
+    plan = plan_grid(cut, ask, shard_rows)
     cut = cut.withColumn("shard", plan.of(F.col("t")))
     ask = _job_shards(ask, plan)
     points = _grid_points(ask)

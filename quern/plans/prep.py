@@ -81,8 +81,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every grid point with its status and the bid_price in force."""
-    return _grid(spark, d).select("job_id", "symbol", "grid_ms", "status", F.col("value").alias("bid_price"))
+    """Every grid point with its status, the bid_price in force, and whether it lies in a long gap, which stays marked whatever fills it."""
+    return _grid(spark, d).select("job_id", "symbol", "grid_ms", "status", F.col("value").alias("bid_price"), "long_gap")
 
 
 def p7_smooth(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +96,17 @@ WITH j AS (
   FROM research_jobs, unnest(symbols) AS s(symbol) WHERE observation_interval_seconds > 0
 ), g AS (
   SELECT job_id, symbol, venue, t0, step, fill, t0 + k * step AS grid_ms FROM j, unnest(range(1, (t1 - t0) // step + 1)) AS x(k)
-), q AS (SELECT symbol, venue, timestamp_ms AS t, bid_price FROM quotes WHERE bid_price > 0),
-a AS (SELECT g.*, q.t, CAST(q.bid_price AS DOUBLE) AS bid FROM g ASOF LEFT JOIN q ON g.symbol = q.symbol AND g.venue = q.venue AND g.grid_ms >= q.t)
+), q0 AS (SELECT symbol, venue, timestamp_ms AS t, CAST(max_by(bid_price, quote_id) AS DOUBLE) AS y FROM quotes WHERE bid_price > 0 AND timestamp_ms IS NOT NULL GROUP BY 1, 2, 3),
+q1 AS (SELECT *, lead(t) OVER w AS t1, lead(y) OVER w AS y1, CAST(lead(t) OVER w - t AS DOUBLE) AS h, (lead(y) OVER w - y) / CAST(lead(t) OVER w - t AS DOUBLE) AS s FROM q0 WINDOW w AS (PARTITION BY symbol, venue ORDER BY t)),
+q2 AS (SELECT *, CASE WHEN lag(h) OVER w <= {gap} THEN lag(h) OVER w END AS hl, CASE WHEN lag(h) OVER w <= {gap} THEN lag(s) OVER w END AS sl, CASE WHEN h <= {gap} THEN h END AS hr, CASE WHEN h <= {gap} THEN s END AS sr FROM q1 WINDOW w AS (PARTITION BY symbol, venue ORDER BY t)),
+q3 AS (SELECT *, CASE WHEN sl IS NULL THEN coalesce(sr, 0) WHEN sr IS NULL THEN sl WHEN sl * sr > 0 THEN ((2 * hr + hl) + (hr + 2 * hl)) / ((2 * hr + hl) / sl + (hr + 2 * hl) / sr) ELSE 0 END AS m FROM q2),
+q AS (SELECT *, lead(m) OVER (PARTITION BY symbol, venue ORDER BY t) AS m1 FROM q3),
+a AS (SELECT g.*, q.t, q.y, q.y1, q.h, q.m, q.m1, CAST(g.grid_ms - q.t AS DOUBLE) / q.h AS u FROM g ASOF LEFT JOIN q ON g.symbol = q.symbol AND g.venue = q.venue AND g.grid_ms >= q.t)
 , s AS (
-  SELECT job_id, symbol, grid_ms, bid, CASE WHEN t > greatest(grid_ms - step, t0) THEN 'reading' WHEN fill AND t > t0 THEN 'filled' ELSE 'missing' END AS status FROM a
+  SELECT job_id, symbol, grid_ms, y AS bid, CASE WHEN t > greatest(grid_ms - step, t0) THEN 'reading' WHEN fill AND t > t0 THEN 'filled' ELSE 'missing' END AS status, coalesce(h > {gap} AND t < grid_ms, false) AS long_gap,
+         CASE WHEN t = grid_ms THEN y WHEN h <= {gap} THEN y * (1 + 2 * u) * ((1 - u) * (1 - u)) + m * h * u * ((1 - u) * (1 - u)) + y1 * u * u * (3 - 2 * u) + m1 * h * u * u * (u - 1) END AS smooth FROM a
 )
-"""
+""".replace("{gap}", str(LONG_GAP_MS))
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     """trade_id null where the feed gave none: such rows can't be told to be copies, and all are kept."""
@@ -211,5 +216,6 @@ FROM t GROUP BY venue, symbol, trade_id, CASE WHEN trade_id IS NULL THEN deliver
     "p6_found": P6_SQL + "SELECT symbol, venue, side, change_id FROM b WHERE n = 1 AND NOT gone",
     "p6_levels": P6_SQL + "SELECT symbol, venue, side, price, quantity, change_id FROM b WHERE n = 1 AND NOT gone",
     "p7_found": P7_SQL + "SELECT job_id, symbol, grid_ms, status FROM s WHERE status <> 'reading'",
-    "p7_grid": P7_SQL + "SELECT job_id, symbol, grid_ms, status, CASE WHEN status <> 'missing' THEN bid END AS bid_price FROM s",
+    "p7_grid": P7_SQL + "SELECT job_id, symbol, grid_ms, status, CASE WHEN status <> 'missing' THEN bid END AS bid_price, long_gap FROM s",
+    "p7_smooth": P7_SQL + "SELECT job_id, symbol, grid_ms, round(smooth, 8) AS interpolated, long_gap FROM s",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.operators.changefeed import ChangeFeed, newest_changes
 from quern.operators.outliers import Readings, Rules, flag_outliers
 from quern.operators.quantile import weighted_median
-from quern.operators.regrid import monotone_cubic, regular_grid
+from quern.operators.regrid import _job_shards, monotone_cubic, plan_grid, regular_grid
 from quern.operators.rolling import RollingDays
 from quern.operators.upsert import MessageStore
 
@@ -184,6 +184,20 @@ def test_monotone_cubic_keeps_shape_and_marks_gaps():
     assert np.isnan(v[[0, 1, 3]]).all() and v[2] == 6 and gap.tolist() == [False, True, False, False]
 
 
+def test_a_fine_grid_over_a_slow_source_is_split(spark):
+    year, day = 31_536_000_000, 86_400_000
+    readings = spark.createDataFrame([("S", "V", n * 60 * day, 1.0) for n in range(6)], "k0 string, k1 string, t bigint, y double")
+    jobs = spark.createDataFrame([(f"j{n}", "S", "V", 0, year, 1000, True) for n in range(2)], "job string, k0 string, k1 string, start bigint, end bigint, step bigint, fill boolean")
+    plan = plan_grid(readings, jobs, 60_000)
+    sizes = _job_shards(jobs, plan).groupBy("k0", "k1", "shard").agg(F.sum(F.col("b") - F.col("a") + 1).alias("points")).agg(F.max("points"), F.sum("points"), F.count("*")).first()
+    assert sizes[0] <= 61_000 and sizes[1] == 2 * year // 1000 and sizes[2] > 1000
+    rows = [("S", "V", n * 400_000, n, float(n * n)) for n in range(20)]
+    ask = [("j", "S", "V", 0, 8_000_000, 1000, True), ("k", "S", "V", 500, 7_000_000, 3000, False)]
+    cols = ["job", "grid_ts", "status", F.round("value", 9), F.round("smooth", 9), "long_gap"]
+    one = rows_of(grid(spark, rows, ask, shard_rows=10**9), *cols)
+    assert rows_of(grid(spark, rows, ask, shard_rows=500), *cols) == one and len(one) == 8000 + 2333
+
+
 def test_grid_of_empty_tables(spark):
     assert grid(spark, [], [("j", "S", "V", 0, 20, 10, True)]).count() == 2
     assert grid(spark, [("S", "V", 1, 1, 1.0)], []).count() == 0
