@@ -230,6 +230,26 @@ def test_change_feed_over_batches(spark, tmp_path):
     assert rows_of(feed.rows(), "k", "x") == sorted([*want, ("z", 7)])
 
 
+def test_change_feed_opened_again_reads_and_compacts(spark, tmp_path):
+    new = lambda: ChangeFeed(spark, ["k"], ["t", "seq"], ["x"], F.col("op") == "del", path=f"{tmp_path}/feed")
+    with pytest.raises(ValueError):
+        new().rows()
+    changes = lambda rows: spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for n in range(3):
+        changes([("a", n, 0, n, "set", "", 0), (f"b{n}", n, 0, n, "set", "", 0)])
+    changes([("b1", 5, 0, 0, "del", "", 0)])
+    new().run(stream())
+    want = [("a", 2), ("b0", 0), ("b2", 2)]
+    assert rows_of(new().rows(), "k", "x") == want
+    new().compact()
+    again = new()
+    assert again._versions() == [] and rows_of(again.rows(), "k", "x") == want and again.rows(tombstones=True).count() == 4
+    changes([("b1", 4, 0, 9, "set", "", 0), ("a", 9, 0, 7, "set", "", 0)])  # older than the tombstone; newer than a
+    again.run(stream())
+    assert rows_of(new().rows(), "k", "x") == [("a", 7), *want[1:]]
+
+
 def test_change_ties_do_not_depend_on_order(spark):
     rows = [("a", 1, None, 1, "set", "", 0), ("a", 1, None, 2, "del", "", 0), ("b", None, 1, 1, "set", "", 0), ("b", 0, 0, 2, "set", "", 0)]
     df = spark.createDataFrame(rows, CHANGE)
