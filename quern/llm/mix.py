@@ -4,8 +4,9 @@ A record may belong to several sources.  Records are aggregated by the set of
 sources they belong to (their pattern); a min-cost flow routes the tokens of each
 pattern, once for each allowed repetition, to the quotas of its sources.  A
 repetition costs more than the one before, so the cheapest flow repeats as little
-as it can and spreads repetitions evenly.  Then records are taken in a seeded
-order until each flow is used up.
+as it can and spreads repetitions evenly.  The mix is as large as it can be with
+every source at its share.  Then records are taken in a seeded order until each flow
+is used up.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.bpe import count_tokens
 from quern.workdir import fresh_dir
 
 #: Records that one bucket of the seeded order should hold.
@@ -93,13 +95,32 @@ def route(patterns: dict[tuple[str, ...], int], targets: list[Target], total: in
     return got
 
 
+def largest_total(patterns: dict[tuple[str, ...], int], targets: list[Target]) -> int:
+    """The greatest total at which each source that has records gets its whole share, but no more than all records once.
+
+    Sources without records are left out of account: nothing fills their shares.
+    """
+    stocked = {s for p, tokens in patterns.items() if tokens for s in p}
+    wanted = [t for t in targets if t.source in stocked]
+    filled = lambda total: sum(n for parts in route(patterns, wanted, total).values() for *_, n in parts) == sum(round(t.share * total) for t in wanted)
+    low, high = 0, sum(tokens for p, tokens in patterns.items() if any(t.source in p for t in wanted))
+    if filled(high):
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if filled(mid) else (low, mid)
+    return low
+
+
 class Mix:
     """A mix of ``records`` (id BIGINT, sources ARRAY<STRING>, size BIGINT) by ``targets``.
 
-    ``total``: tokens the mix should have; by default as many as the records of sources
-    with a target have, each counted once.  A source whose records, used as often as
-    allowed, don't fill its quota gives all it has, and nothing takes its place, which
-    keeps the other shares as near to their targets as they can be.
+    ``total``: tokens the mix should have; by default the ``largest_total`` at which all
+    sources that have records reach their shares, so a small source that may be repeated
+    only so often bounds the size of the mix.  With a greater total, a source whose
+    records, used as often as allowed, don't fill its quota gives all it has, and nothing
+    takes its place.  Records are used whole: a share may be off by half of the record
+    at which its source is cut.
 
     Defined results: sources without a target are never used, targets without records
     get nothing, and the report names both; records with a null id, no source or a null
@@ -124,7 +145,7 @@ class Mix:
         stats = self.sized.where("pattern != ''").groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).collect()
         self.patterns = {tuple(r["pattern"].split("\n")): int(r["tokens"]) for r in stats}
         self.buckets = max(1, -(-max([r["n"] for r in stats], default=0) // BUCKET_ROWS))
-        self.total = sum(self.patterns.values()) if total is None else total
+        self.total = largest_total(self.patterns, self.targets) if total is None else total
         self.flows = route(self.patterns, self.targets, self.total)
 
     def _cuts(self) -> DataFrame:
@@ -151,7 +172,8 @@ class Mix:
         sums = sums.select("pattern", "bucket", (F.sum("tokens").over(w) - F.col("tokens")).alias("base"))
         inside = Window.partitionBy("pattern", "bucket").orderBy("order", "id")
         rows = rows.withColumn("inner", F.sum("size").over(inside) - F.col("size")).join(sums, ["pattern", "bucket"])
-        rows = rows.join(self._cuts(), "pattern").withColumn("at", F.col("base") + F.col("inner"))
+        # A record belongs to the cut in which its middle lies.
+        rows = rows.join(self._cuts(), "pattern").withColumn("at", F.col("base") + F.col("inner") + F.floor(F.col("size") / 2))
         rows = rows.withColumn("uses", F.transform(F.filter("cuts", lambda c: (c["lo"] <= F.col("at")) & (F.col("at") < c["hi"])), lambda c: c["source"]))
         rows = rows.select("id", "size", "uses", F.explode(F.array_distinct("uses")).alias("source"))
         return rows.select("id", "source", F.size(F.filter("uses", lambda x: x == F.col("source"))).alias("n_uses"), F.col("size").alias("n_tokens"))
@@ -167,13 +189,24 @@ class Mix:
         return out.select("source", "target_share", "max_repeats", zero("n_records"), zero("tokens_available"), zero("tokens_wanted"), zero("n_used"), zero("tokens_used"), zero("most_uses"), F.round(F.coalesce(F.try_divide(zero("tokens_used"), whole), F.lit(0.0)), 6).alias("actual_share"))
 
 
-def with_copies(documents: DataFrame, id: str, text: str, source: Column) -> DataFrame:
-    """id, text, sources: every record, with the sources of all records of exactly its text.
+def sized_records(spark: SparkSession, documents: DataFrame, id: str, text: str, source: Column, tokenizer: str) -> DataFrame:
+    """id, sources, size: every record, with the sources of all records of exactly its text, and its number of tokens.
+
+    Texts are read once: what goes on are their sizes and hashes (MD5, 16 bytes).
+    """
+    rows = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), source.alias("source"), F.when(F.length(text) > 0, F.unhex(F.md5(F.col(text)))).alias("mark"))
+    sized = count_tokens(rows, tokenizer, "id", "text", keep=["source", "mark"]).withColumnsRenamed({"doc_id": "id", "n_tokens": "size"})
+    at = fresh_dir(spark, "sizes")
+    sized.write.parquet(at)
+    return with_copies(spark.read.schema(sized.schema).parquet(at))
+
+
+def with_copies(records: DataFrame) -> DataFrame:
+    """Records (id, source, mark, size) with ``sources`` in place of source: those of all records with the same mark.
 
-    Texts of several sources are found by their hashes, combined before the shuffle;
-    a text of one source, however often it occurs, is only matched with what is left.
+    Marks of several sources are combined before the shuffle; a text of one source,
+    however often it occurs, is only matched with what is left.  A null mark is no copy.
     """
-    rows = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), source.alias("source"), F.sha2(F.col(text), 256).alias("mark"))
-    shared = rows.where(F.col("source").isNotNull() & (F.length("text") > 0)).groupBy("mark").agg(F.collect_set("source").alias("all")).where(F.size("all") > 1)
-    rows = rows.join(shared, "mark", "left")
-    return rows.select("id", "text", F.coalesce("all", F.when(F.col("source").isNotNull(), F.array("source"))).alias("sources"))
+    sets = records.where(F.col("source").isNotNull() & F.col("mark").isNotNull()).groupBy("mark").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.collect_set("source").alias("all"))
+    rows = records.join(sets.where("a != b").select("mark", "all"), "mark", "left")
+    return rows.select("id", F.coalesce("all", F.when(F.col("source").isNotNull(), F.array("source"))).alias("sources"), "size")

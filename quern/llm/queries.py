@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import count_tokens, encode_corpus
-from quern.llm.mix import Mix, with_copies
+from quern.llm.mix import Mix, sized_records
 from quern.llm.nearest import match_nearest
 from quern.llm.pii import PiiFinder
 from quern.llm.runs import collapse_runs
@@ -111,9 +111,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> Mix:
     clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    docs = with_copies(table(spark, d, "documents"), "doc_id", "text", clean("source"))
-    path = tokenizer_path()
-    sized = count_tokens(docs, path, "id", "text", keep=["sources"]).withColumnsRenamed({"doc_id": "id", "n_tokens": "size"})
+    sized = sized_records(spark, table(spark, d, "documents"), "doc_id", "text", clean("source"), tokenizer_path())
     targets = table(spark, d, "mix_targets").select(clean("source").alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
     return Mix(spark, sized, targets)
 
@@ -126,6 +124,26 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source with a target: whether its share is reached to within half a record for each cut, and no record is used too often.
+
+    Both hold for all that have records.  A pattern is cut once for each of its sources and
+    repetitions, at records no larger than the largest.
+    """
+    mix = _mix(spark, d)
+    most = mix.sized.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.max("size").alias("largest"))
+    cuts = F.lit(sum(len(f) for f in mix.flows.values()))
+    got = mix.report().where("target_share IS NOT NULL").join(most, "source", "left")
+    near = F.abs(F.col("tokens_used") - F.col("tokens_wanted")) <= F.col("largest") * cuts / 2
+    return got.select("source", F.coalesce(near, F.lit(False)).alias("on_target"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+
+
+P9_INVARIANTS = """
+WITH d AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE length(text) > 0)
+SELECT lower(trim(m.source)) AS source, d.source IS NOT NULL AS on_target, true AS within_cap FROM mix_targets m LEFT JOIN d ON d.source = lower(trim(m.source))
+"""
+
+
 def _pii(spark: SparkSession, d: str) -> PiiFinder:
     return PiiFinder(spark, table(spark, d, "documents"), table(spark, d, "known_names"))
 
@@ -138,8 +156,9 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _pii(spark, d).redacted()
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_gaps": p5_gaps, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_mix": p9_mix, "p9_report": p9_report, "p9_invariants": p9_invariants, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL = {
+    "p9_invariants": P9_INVARIANTS,
     "p1_found": P1_SQL + "SELECT symbol, venue, start_ms, end_ms FROM g WHERE n_quotes > 1",
     "p1_runs": P1_SQL + "SELECT symbol, venue, start_ms, end_ms, n_quotes, end_ms - start_ms AS duration_ms FROM g",
     "p5_found": P5_SQL + "SELECT rec_table, rec_id, quote_id FROM r WHERE gap <= tol",

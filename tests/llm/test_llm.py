@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import Bpe, count_tokens, encode_corpus
-from quern.llm.mix import Mix, Target, route, with_copies
+from quern.llm.mix import Mix, Target, largest_total, route, sized_records
 from quern.llm.nearest import match_nearest
 from quern.llm.pii import PiiFinder, estimate
 from quern.llm.pii_labels import KINDS, Known, candidates
@@ -166,9 +166,44 @@ def test_mix_of_nothing(spark):
 
 
 def test_copies_join_sources(spark):
-    df = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "a"), (4, "", "a"), (5, "", "b"), (6, None, "a"), (7, "x", None)], "doc_id bigint, text string, source string")
-    got = {r["id"]: r["sources"] for r in with_copies(df, "doc_id", "text", F.col("source")).collect()}
-    assert sorted(got[1]) == sorted(got[2]) == sorted(got[7]) == ["a", "b"] and got[3] == got[4] == got[6] == ["a"]
+    df = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "a"), (4, "", "a"), (5, "", "b"), (6, None, "a"), (7, "x", None), (8, "y", "a")], "doc_id bigint, text string, source string")
+    rows = sized_records(spark, df, "doc_id", "text", F.col("source"), tokenizer_path()).collect()
+    got = {r["id"]: (r["sources"], r["size"]) for r in rows}
+    assert len(rows) == 8 and sorted(got[1][0]) == sorted(got[2][0]) == sorted(got[7][0]) == ["a", "b"]
+    assert all(got[i][0] == ["a"] for i in (3, 4, 6, 8)) and got[5][0] == ["b"] and got[6][1] == 0 and got[1][1] == 1
+
+
+def test_the_total_is_the_largest_with_every_source_at_its_share():
+    """Against every total, on small cases; and the flow costs what the cheapest of all ways costs."""
+    rng = random.Random(11)
+    for _ in range(40):
+        names = ["a", "b", "c"][: rng.randrange(1, 4)]
+        targets = [Target(s, round(rng.choice([0.2, 0.3, 0.5]), 2), rng.randrange(1, 4)) for s in names]
+        patterns = {p: rng.randrange(0, 12) for p in [("a",), ("b",), ("a", "b"), ("c",), ("b", "c")] if set(p) <= set(names)}
+        patterns = {p: n for p, n in patterns.items() if n}
+        stocked = [t for t in targets if any(t.source in p for p in patterns)]
+        full = lambda total: sum(n for parts in route(patterns, stocked, total).values() for *_, n in parts) == sum(round(t.share * total) for t in stocked)
+        best = largest_total(patterns, targets)
+        assert full(best) and best <= sum(patterns.values())
+        # rounding of quotas may let single greater totals through, but none a few tokens on
+        assert not any(full(t) for t in range(best + 12, sum(patterns.values()) + 1))
+    # 6 tokens of a and 4 of both; a wants 8 and b 4 of them with at most 2 uses of a token: by hand
+    flows = route({("a",): 6, ("a", "b"): 4}, [Target("a", 0.8, 2), Target("b", 0.4, 2)], 10)
+    cost = sum(n * n * tokens for parts in flows.values() for n, _, tokens in parts)
+    assert cost == min(1 * (a1 + both1) + 4 * (12 - a1 - both1) for a1 in range(7) for both1 in range(5))
+
+
+def test_mix_reaches_every_share(spark):
+    rng = random.Random(15)
+    rows = [(i, [rng.choice(["big", "big", "mid"])], rng.randrange(1, 40)) for i in range(4000)] + [(10_000 + i, ["small"], rng.randrange(1, 40)) for i in range(50)]
+    records = spark.createDataFrame(rows, "id bigint, sources array<string>, size bigint")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 4), ("none", 0.1, 2)], "source string, share double, repeats int")
+    mix = Mix(spark, records, targets)
+    small = sum(n for _, s, n in rows if s == ["small"])
+    assert abs(mix.total - 40 * small) <= 40 and mix.total < sum(n for *_, n in rows)
+    for r in mix.report().collect():
+        assert abs(r["tokens_used"] - r["tokens_wanted"]) <= (0 if r["source"] == "none" else 80) or r["source"] == "none"
+        assert r["source"] == "none" or abs(r["actual_share"] - r["target_share"] / 0.9) < 0.01
 
 
 # ---- personal information
