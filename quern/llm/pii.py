@@ -1,8 +1,9 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
 Labelers (formats, gazetteers, contexts; see ``pii_labels``) vote on candidate
-spans; two more votes come from the corpus, by the company that the parts of a name
-or an address keep.  Nobody says which labelers are right: expectation-maximisation
+spans; two more votes come from the corpus, by the company that the parts of a name or
+an address keep: rates, which say the same of a
+corpus of any size.  Nobody says which labelers are right: expectation-maximisation
 estimates their reliabilities from how they agree, over the counts of all vote
 patterns, and with them how likely a span is.  On these likelihoods a span
 classifier is trained, which also sees the span's shape and the words beside it; it
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.pii_labels import KINDS, Known, candidates
+from quern.llm.pii_labels import KINDS, Known, Lexicon, candidates
 from quern.workdir import fresh_dir
 
 #: Most candidates of a kind on which the classifier is fitted; counts and votes cover all.
 TRAIN_ROWS = 20_000
 #: Features are hashed into so many places.
 WIDTH = 4096
-#: Distinct partners of a part, and rows with only one, from which the corpus votes.
-PARTNERS, ALONE = 3, 6
+#: Largest share that one partner of a part may have, for a vote that the part goes with many.
+ONE_PARTNER = 0.6
+#: A pair of parts is a set phrase if it is so many times as frequent as pairs of its kind are on the average; a part's share of places in set phrases that speaks against it.
+SET_TIMES, SET_SHARE = 10, 0.8
 
 #: So many votes, 9 in 10 of them right, each labeler is believed to have cast before any are seen.
 PRIOR = 20.0
@@ -52,15 +55,19 @@ def _beside(t: str, a: int, b: int) -> tuple[str, str]:
     return (left[1] + left[2].strip()).lower(), (right[1].strip() + right[2]).lower()
 
 
+_CANDIDATE_DDL = "doc bigint, mark bigint, kind int, start int, end int, piece string, votes string, one string, two string, left string, right string"
+
+
 def find_candidates(documents: DataFrame, id: str, text: str, known: Known) -> DataFrame:
     """All candidate spans of all texts with the labelers' votes."""
     schema = pa.schema(_CANDIDATE)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(known)
         for batch in batches:
             rows = []
             for doc, mark, t in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text"))):
-                for c in candidates(t, known):
+                for c in candidates(t, lexicon):
                     rows.append((doc, mark, c.kind, c.start, c.end, t[c.start : c.end], c.votes, c.one, c.two, *_beside(t, c.start, c.end)))
                 if len(rows) > 20_000:
                     yield _batch(rows, schema)
@@ -68,7 +75,7 @@ def find_candidates(documents: DataFrame, id: str, text: str, known: Known) -> D
             yield _batch(rows, schema)
 
     rows = documents.select(F.col(id).cast("bigint").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return rows.mapInArrow(find, "doc bigint, mark bigint, kind int, start int, end int, piece string, votes string, one string, two string, left string, right string")
+    return rows.mapInArrow(find, _CANDIDATE_DDL)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -77,15 +84,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def add_company(found: DataFrame) -> DataFrame:
-    """Two more votes: whether each part is seen with several partners, or again and again with one."""
-    vote = F.when(F.col("partners") >= PARTNERS, "+").when((F.col("partners") == 1) & (F.col("n") >= ALONE), "-").otherwise("0")
+    """The candidates with two more votes, one for each part: ``+`` if it goes with many partners, ``-`` if it is in a set phrase.
+
+    Parts are names or streets, of which there are far fewer than candidates; candidates
+    without parts are not joined.
+    """
+    both = F.col("one").isNotNull() & F.col("two").isNotNull()
+    whole = found.where(both)
+    pairs = whole.groupBy("kind", "one", "two").agg(F.count("*").alias("n"))
+    pairs = pairs.join(pairs.groupBy("kind").agg(F.avg("n").alias("usual")), "kind")
 
-    def of(part: str, partner: str) -> DataFrame:
-        pairs = found.where(F.col(part).isNotNull() & F.col(partner).isNotNull()).groupBy("kind", part, partner).agg(F.count("*").alias("n"))
-        return pairs.groupBy("kind", part).agg(F.count("*").alias("partners"), F.sum("n").alias("n")).select("kind", part, vote.alias(f"vote_{part}"))
+    def of(part: str) -> DataFrame:
+        set_phrase = (F.col("kind") == KINDS.index("name")) & (F.col("n") > SET_TIMES * F.col("usual"))
+        parts = pairs.groupBy("kind", part).agg(F.sum(F.when(set_phrase, F.col("n")).otherwise(0)).alias("set"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        many = (F.col("n") > 1) & (F.col("most") <= ONE_PARTNER * F.col("n"))
+        vote = F.when(F.length(part) < 2, "0").when(F.col("set") >= SET_SHARE * F.col("n"), "-").when(many, "+").otherwise("0")
+        return parts.select("kind", part, vote.alias(f"of_{part}"))
 
-    out = found.join(of("two", "one"), ["kind", "two"], "left").join(of("one", "two").where(F.col("kind") == KINDS.index("name")), ["kind", "one"], "left")
-    return out.withColumn("votes", F.concat("votes", F.coalesce("vote_two", F.lit("0")), F.coalesce("vote_one", F.lit("0")))).drop("vote_two", "vote_one")
+    out = whole.join(of("two"), ["kind", "two"]).join(of("one"), ["kind", "one"])
+    out = out.withColumn("votes", F.concat("votes", "of_two", "of_one")).select(*found.columns)
+    return out.unionByName(found.where(~both).withColumn("votes", F.concat("votes", F.lit("00"))))
 
 
 def estimate(patterns: Mapping[str, int], rounds: int = 100) -> dict[str, float]:
@@ -93,21 +111,22 @@ def estimate(patterns: Mapping[str, int], rounds: int = 100) -> dict[str, float]
 
     Two classes; given the class, labelers vote independently, and those that abstain
     say nothing; a span that none is for is not real.  It starts from the
-    majority of votes and ends with the labelers' own rates of each vote in each class.
+    majority of votes, of which those against count twice, as they are rarer, and ends with the labelers' own rates of each vote in each class.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
     votes = np.array([["-0+".index(v) for v in k] for k in keys])
     n = np.array([patterns[k] for k in keys], float)
-    p = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1)))
-    labelers = np.arange(votes.shape[1])
+    p = 1 / (1 + np.exp(-1.5 * np.choose(votes, (-2, 0, 1)).sum(axis=1)))
+    labelers, some = np.arange(votes.shape[1]), (votes == 2).any(axis=1)
+    p[~some] = 0
     for _ in range(rounds):
         rates = np.zeros((2, votes.shape[1], 3))
         for c, w in ((0, n * (1 - p)), (1, n * p)):
             for v in range(3):
-                believed = 0.5 if v == 1 else PRIOR * (0.9 if (v == 2) == bool(c) else 0.1)
-                rates[c, :, v] = ((votes == v) * w[:, None]).sum(axis=0) + believed
+                believed = 0 if v == 1 else PRIOR * (0.9 if (v == 2) == bool(c) else 0.1)
+                rates[c, :, v] = 0 if v == 1 else ((votes == v) * w[:, None]).sum(axis=0) + believed
         rates /= rates.sum(axis=2, keepdims=True)
         # To abstain says nothing, and a labeler that is for a span counts for it, however the data lie.
         rates[:, :, 1] = 1
@@ -117,8 +136,8 @@ def estimate(patterns: Mapping[str, int], rounds: int = 100) -> dict[str, float]
             rates[0, bad, v] = rates[1, bad, v] = mean[bad]
         share = np.clip((n * p).sum() / n.sum(), 0.01, 0.99)
         log = np.log(rates[1, labelers, votes]).sum(axis=1) - np.log(rates[0, labelers, votes]).sum(axis=1) + math.log(share / (1 - share))
-        p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return {k: x if "+" in k else 0.0 for k, x in zip(keys, p.tolist())}
+        p = np.where(some, 1 / (1 + np.exp(-np.clip(log, -30, 30))), 0.0)
+    return dict(zip(keys, p.tolist()))
 
 
 def _features(kind: int, piece: str, votes: str, one: str | None, two: str | None, left: str, right: str) -> list[int]:
@@ -169,7 +188,9 @@ class PiiFinder:
         at = fresh_dir(spark, "pii")
         found = find_candidates(documents, id, text, known_names(names))
         found.write.parquet(f"{at}/candidates")
-        self.candidates = add_company(spark.read.schema(found.schema).parquet(f"{at}/candidates"))
+        voted = add_company(spark.read.schema(found.schema).parquet(f"{at}/candidates"))
+        voted.write.parquet(f"{at}/voted")
+        self.candidates = spark.read.schema(voted.schema).parquet(f"{at}/voted")
         counts: dict[int, dict[str, int]] = {}
         for r in self.candidates.groupBy("kind", "votes").count().collect():  # at most 3 ** labelers rows
             counts.setdefault(r["kind"], {})[r["votes"]] = r["count"]
@@ -177,11 +198,12 @@ class PiiFinder:
         self.model = self._fit({k: sum(c.values()) for k, c in counts.items()})
 
     def _fit(self, totals: dict[int, int]) -> Classifier:
-        wanted = F.lit(False)
-        draw = F.pmod(F.xxhash64("mark", "start", "kind"), F.lit(1_000_000))
+        wanted, least = F.lit(False), TRAIN_ROWS * len(KINDS)
+        draw = F.xxhash64("doc", "mark", "start", "kind")
         for k, n in totals.items():
-            wanted = wanted | ((F.col("kind") == k) & (draw < math.ceil(1_000_000 * min(1.0, TRAIN_ROWS / n))))
-        rows = self.candidates.where(wanted).select("kind", "piece", "votes", "one", "two", "left", "right").limit(2 * TRAIN_ROWS * len(KINDS)).collect()
+            wanted = wanted | ((F.col("kind") == k) & (F.pmod(draw, F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, TRAIN_ROWS / n))))
+        # The order makes the draw the same in every run, should hashes of equal rows make it larger than meant.
+        rows = self.candidates.where(wanted).orderBy(draw, "doc", "start", "votes").select("kind", "piece", "votes", "one", "two", "left", "right").limit(2 * least).collect()
         return Classifier.fit([_features(*r) for r in rows], np.array([self.likely[r["kind"]][r["votes"]] for r in rows]))
 
     def spans(self) -> DataFrame:

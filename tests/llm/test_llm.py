@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from held_out import CLEAN, HELD_OUT
+
 from quern.llm.bpe import Bpe, count_tokens, encode_corpus
 from quern.llm.mix import Mix, Target, largest_total, route, sized_records
 from quern.llm.nearest import match_nearest
 from quern.llm.pii import PiiFinder, estimate
-from quern.llm.pii_labels import KINDS, Known, candidates
+from quern.llm.pii_labels import KINDS, Known, Lexicon, candidates
 from quern.llm.queries import tokenizer_path
 from quern.llm.runs import collapse_runs
 
@@ -263,6 +265,28 @@ def test_pii_is_found_and_decoys_are_not(spark, corpus):
         assert redacted[i]["text"] == want
 
 
+def test_pii_in_sentences_that_the_labelers_were_not_written_for(spark, corpus):
+    """Recall of at least 0.9 of each kind, beside a corpus of other texts."""
+    docs, _ = corpus
+    rows = docs + [(5000 + i, t, "") for i, (t, _) in enumerate(HELD_OUT)] + [(9000 + i, t, "") for i, t in enumerate(CLEAN)]
+    names = spark.createDataFrame(NAMES, "name string, name_kind string")
+    got = {tuple(r) for r in PiiFinder(spark, spark.createDataFrame(rows, "doc_id bigint, text string, votes string"), names).found().collect()}
+    every, hit = Counter(), Counter()
+    for i, (_, pieces) in enumerate(HELD_OUT):
+        for kind, piece in pieces:
+            every[kind] += 1
+            hit[kind] += (5000 + i, kind, piece) in got
+    assert all(hit[k] >= 0.9 * every[k] for k in KINDS), (hit, every)
+    assert len([x for x in got if x[0] >= 9000]) <= 1
+
+
+def test_company_votes_are_the_same_for_copies_of_a_corpus(spark, corpus):
+    docs, _ = corpus
+    names = spark.createDataFrame(NAMES, "name string, name_kind string")
+    found = lambda n: {(d % 10_000, k, p) for d, k, p in map(tuple, PiiFinder(spark, spark.createDataFrame([(i + 10_000 * c, t, "") for c in range(n) for i, t, _ in docs], "doc_id bigint, text string, votes string"), names).found().collect())}
+    assert found(1) == found(6)
+
+
 def test_pii_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     names = spark.createDataFrame([], "name string, name_kind string")
@@ -283,7 +307,7 @@ def test_estimate_learns_who_is_right():
 
 
 def test_candidates_stand_alone():
-    known = Known.of(["talia"], ["ostrettino"])
+    known = Lexicon(Known.of(["talia"], ["ostrettino"]))
     t = 'AUDIT {"who":"Talia Ostrettino","mail":"talia@klar.example"} (see 1954 Saint Orin Lane).'
     got = {(KINDS[c.kind], t[c.start : c.end]) for c in candidates(t, known)}
     assert {("name", "Talia Ostrettino"), ("email", "talia@klar.example"), ("address", "1954 Saint Orin Lane")} <= got
