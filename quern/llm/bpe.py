@@ -39,11 +39,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """The tokenizer in a file of the public ``tokenizers`` format with byte-level BPE."""
+    """The tokenizer in a file of the public ``tokenizers`` format with byte-level BPE.
+
+    Files that do more with a text (normalise it, cut it by another pattern, mark words or
+    drop merges at random) are refused, as their ids would be others.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(c) for c in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or whole.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space", True) or not cut.get("use_regex", True):
+            raise ValueError(f"{path} is no plain byte-level BPE")
         vocab = model["vocab"]
         self.of_byte = [0] * 256
         for letter, b in _byte_letters().items():

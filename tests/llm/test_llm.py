@@ -1,7 +1,9 @@
 """Runs, nearest records, tokens, mixes and personal information."""
 
+import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,14 @@ def test_tokens_equal_the_library_s(spark):
     assert encode_corpus(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_files_of_other_tokenizers_are_refused(tmp_path):
+    whole = json.loads(Path(tokenizer_path()).read_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": whole["model"] | {"dropout": 0.1}}):
+        (tmp_path / "t.json").write_text(json.dumps(whole | change))
+        with pytest.raises(ValueError):
+            Bpe(str(tmp_path / "t.json"))
+
+
 def test_merge_takes_the_leftmost_of_the_lowest_rank():
     b = Bpe(tokenizer_path())
     rng = random.Random(4)
