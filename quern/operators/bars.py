@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import ROUND_CEILING, Decimal
+from decimal import ROUND_CEILING, ROUND_HALF_DOWN, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,37 +96,53 @@ def session_bars(ticks: DataFrame, hours: DataFrame, keys: Sequence[str] = ("sym
 
 
 class _Renko:
-    """Bricks with wicks: a brick closes a whole size beyond the one before; a turn needs two."""
+    """Bricks with wicks on a fixed lattice: a brick closes when a price goes beyond its far end; a turn needs two sizes.
+
+    The state is the lattice point that the next brick starts from, the direction of the
+    last brick, and the extremes since.
+    """
 
     def __init__(self, size: Decimal):
-        self.size, self.low, self.high = size, None, None  # of the last brick
-        self.wick_low = self.wick_high = None
+        self.size, self.at, self.trend, self.top, self.bottom = size, None, 0, None, None
 
     def push(self, row):
-        (us, price) = row
-        if self.low is None:
-            base = (price / self.size).to_integral_value(ROUND_CEILING) * self.size
-            self.low = self.high = base
-            self.wick_low = self.wick_high = price
+        us, price = row
+        if self.at is None:
+            # The nearest multiple; half way between two, the lower.
+            self.at = self.top = self.bottom = (price / self.size).to_integral_value(ROUND_HALF_DOWN) * self.size
+            return []
+        self.top, self.bottom = max(self.top, price), min(self.bottom, price)
+        if price == self.at:
+            return []
+        way = 1 if price > self.at else -1
+        # Against the trend, bricks start from where the last one did.
+        base = self.at + way * self.size if self.trend == -way else self.at
+        bricks = int(_whole_below((price - base) * way / self.size))
+        if bricks < 1:
             return []
-        self.wick_low, self.wick_high = min(self.wick_low, price), max(self.wick_high, price)
         out = []
-        while price >= self.high + self.size:
-            a, b = self.high, self.high + self.size
-            out.append((us, a, max(b, min(self.wick_high, b)), min(a, self.wick_low), b, 1))
-            self.low, self.high, self.wick_low, self.wick_high = a, b, b, b
-        while price <= self.low - self.size:
-            a, b = self.low, self.low - self.size
-            out.append((us, a, max(a, self.wick_high), min(b, max(self.wick_low, b)), b, -1))
-            self.low, self.high, self.wick_low, self.wick_high = b, a, b, b
+        for n in range(bricks):
+            a, b = base + way * n * self.size, base + way * (n + 1) * self.size
+            wick = (self.bottom if way > 0 else self.top) if n == 0 else a
+            out.append((us, a, b if way > 0 else wick, wick if way > 0 else b, b, way))
+        self.at, self.trend = base + way * bricks * self.size, way
+        if way > 0:
+            self.bottom = self.at
+        else:
+            self.top = self.at
         return out
 
     def end(self):
         return []
 
 
+def _whole_below(x: Decimal) -> Decimal:
+    """The greatest whole number below x, not x itself."""
+    return x.to_integral_value(ROUND_CEILING) - 1
+
+
 class _ClassicRenko:
-    """At most one brick for each price: open where the last closed, closed at the price."""
+    """At most one brick for each price, open where the last closed; the first opens at a multiple of the size at or above the price."""
 
     def __init__(self, size: Decimal):
         self.size, self.open, self.low, self.high = size, None, None, None
@@ -134,14 +150,13 @@ class _ClassicRenko:
     def push(self, row):
         us, price = row
         if self.open is None:
-            self.open = (price / self.size).to_integral_value(ROUND_CEILING) * self.size
-            self.low = self.high = self.open
-        self.low, self.high = min(self.low, price), max(self.high, price)
+            self.open = self.low = self.high = (price / self.size).to_integral_value(ROUND_CEILING) * self.size
+            return []
+        close = min(self.open + self.size, max(self.open - self.size, price))
+        self.low, self.high = min(self.low, close), max(self.high, close)
         if abs(price - self.open) < self.size:
             return []
-        up = 1 if price > self.open else -1
-        close = self.open + self.size * up
-        out = [(us, self.open, max(close, self.high) if up < 0 else close, min(close, self.low) if up > 0 else close, close, up)]
+        out = [(us, self.open, self.high, self.low, close, 1 if close > self.open else -1)]
         self.open = self.low = self.high = close
         return out
 
@@ -150,26 +165,36 @@ class _ClassicRenko:
 
 
 class _Range:
-    """Bars of a fixed range; a jump beyond it leaves empty ("phantom") bars of the same range."""
+    """Bars that span a fixed range.  A price beyond it closes the bar; the next opens one tick further on.
 
-    def __init__(self, size: Decimal):
-        self.size, self.open, self.low, self.high = size, None, None, None
+    A jump leaves bars without volume in between.  The first bar opens at a multiple of
+    the range at or above the price.  ``classic``: the next bar opens at the price itself.
+    """
+
+    def __init__(self, size: Decimal, tick: Decimal, classic: bool):
+        self.size, self.tick, self.classic = size, tick, classic
+        self.open = self.low = self.high = None
+        self.volume = Decimal(0)
+
+    def _start(self, at: Decimal, volume: Decimal) -> None:
+        self.open, self.low, self.high, self.volume = at, at, at, volume
 
     def push(self, row):
-        us, price = row
+        us, price, quantity = row
+        quantity, out = quantity or Decimal(0), []
         if self.open is None:
-            self.open = self.low = self.high = price
-            return []
-        out = []
-        while True:
-            low, high = min(self.low, price), max(self.high, price)
-            if high - low <= self.size:
-                self.low, self.high = low, high
+            self._start((price / self.size).to_integral_value(ROUND_CEILING) * self.size, quantity)
+            return out
+        up = price > self.high
+        while (price - self.low if up else self.high - price) > self.size:
+            far = self.low + self.size if up else self.high - self.size
+            out.append((us, self.open, far if up else self.high, self.low if up else far, far, 1 if up else -1, self.volume))
+            if self.classic:
+                self._start(price, quantity)
                 return out
-            up = price > self.high
-            close = self.low + self.size if up else self.high - self.size
-            out.append((us, self.open, max(self.high, close), min(self.low, close), close, 1 if up else -1))
-            self.open = self.low = self.high = close
+            self._start(far + self.tick if up else far - self.tick, Decimal(0))
+        self.low, self.high, self.volume = min(self.low, price), max(self.high, price), self.volume + quantity
+        return out
 
     def end(self):
         return []
@@ -213,9 +238,11 @@ def renko_bars(ticks: DataFrame, size: str, keys: Sequence[str] = ("symbol",), c
     return _fold_bars(ticks, keys, lambda: kind(s))
 
 
-def range_bars(ticks: DataFrame, size: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    s = Decimal(size)
-    return _fold_bars(ticks, keys, lambda: _Range(s))
+def range_bars(ticks: DataFrame, size: str, keys: Sequence[str] = ("symbol",), tick: str = "0.01", classic: bool = False) -> DataFrame:
+    """Bars of a price range, with volume; ``tick`` is the least change of a price.  Classic ones open at the price that closed the last."""
+    s, t = Decimal(size), Decimal(tick)
+    rows = ticks.where(F.col("price").isNotNull()).withColumn("quantity", F.col("quantity").cast("decimal(28,8)"))
+    return fold(rows, keys, ["us", "seq"], ["us", "price", "quantity"], lambda: _Range(s, t, classic), _BRICK + ", volume decimal(28,8)")
 
 
 def mixed_bars(ticks: DataFrame, count: int, period: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -5,34 +5,74 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.fold import fold
 from quern.operators.running import running_sums
-from quern.shards import ShardPlan
+from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 
 _TRADE = "entry_us bigint, exit_us bigint, direction int, quantity decimal(18,8), entry_price decimal(18,8), exit_price decimal(18,8), pnl decimal(38,8)"
 
 
-def match_fifo(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str = "seq", plan: ShardPlan | None = None) -> DataFrame:
-    """The n-th unit bought against the n-th unit sold: quantities as spans of running totals, joined where they overlap.
+#: Quantities are whole multiples of this, and lie on a line of such units.
+UNIT = 10**8
 
-    For books that are long or flat throughout, or where only the pairing of units
-    counts.  Spans are cut at multiples of a block, so the join is one of equal blocks.
+
+def positions(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str = "seq", plan: ShardPlan | None = None) -> DataFrame:
+    """keys, us, seq, price, part (``entry`` or ``exit``), direction (of the position), units: fills by what they do to the running position.
+
+    A fill that turns a position over is cut in two: an exit of what was held and an
+    entry of the rest.  Fills with a null key or a quantity that is not above 0 don't count.
     """
     keys = list(keys)
-    rows = fills.select(*keys, F.col(ts).alias("us"), F.col(seq).alias("seq"), "side", F.col("price").cast("decimal(18,8)").alias("price"), F.col("quantity").cast("decimal(18,8)").alias("q"))
-    rows = running_sums(rows.where("q > 0"), [*keys, "side"], "us", ["seq"], {"b": F.col("q")}, plan).withColumn("b", F.col("b").cast("decimal(28,8)"))
-    rows = rows.withColumn("a", (F.col("b") - F.col("q")).cast("decimal(28,8)"))
-    size = 1000
-    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / size).cast("bigint"), F.ceil(F.col("b") / size).cast("bigint") - 1)))
-    rows = rows.withColumn("a", F.greatest("a", F.col("block") * size)).withColumn("b", F.least("b", (F.col("block") + 1) * size))
-    buy = rows.where("side = 'buy'").select(*keys, "block", F.col("us").alias("entry_us"), F.col("price").alias("entry_price"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("seq").alias("entry_seq"))
-    sell = rows.where("side = 'sell'").select(*keys, "block", F.col("us").alias("exit_us"), F.col("price").alias("exit_price"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("seq").alias("exit_seq"))
-    both = buy.join(sell, [*keys, "block"]).where((F.col("a1") < F.col("b2")) & (F.col("a2") < F.col("b1")))
-    part = (F.least("b1", "b2") - F.greatest("a1", "a2")).cast("decimal(18,8)")
-    return both.groupBy(*keys, "entry_us", "entry_seq", "exit_us", "exit_seq", "entry_price", "exit_price").agg(F.sum(part).cast("decimal(28,8)").alias("quantity"))
+    rows = fills.select(*keys, F.col(ts).alias("us"), F.col(seq).alias("seq"), F.col("price").cast("decimal(18,8)").alias("price"), F.when(F.col("side") == "buy", 1).otherwise(-1).alias("sign"), (F.col("quantity").cast("decimal(18,8)") * UNIT).cast("bigint").alias("q"))
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = running_sums(rows.where("q > 0"), keys, "us", ["seq"], {"after": F.col("sign") * F.col("q")}, plan)
+    before = F.col("after") - F.col("sign") * F.col("q")
+    left = F.when(before * F.col("sign") < 0, F.least(F.abs(before), F.col("q"))).otherwise(0)
+    parts = F.array(F.struct(F.lit("exit").alias("part"), (-F.col("sign")).alias("direction"), left.cast("bigint").alias("units")), F.struct(F.lit("entry").alias("part"), F.col("sign").alias("direction"), (F.col("q") - left).cast("bigint").alias("units")))
+    return rows.select(*keys, "us", "seq", "price", F.explode(F.filter(parts, lambda p: p["units"] > 0)).alias("p")).select(*keys, "us", "seq", "price", "p.*")
+
+
+def match_fifo(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str = "seq", plan: ShardPlan | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Trades first in first out: keys, entry_us, entry_seq, exit_us, exit_seq, direction, quantity, entry_price, exit_price, pnl.
+
+    All units entered lie on one line in order of time, all units left on another.  As a
+    position is flat before it turns, the n-th unit that leaves is the n-th that came in,
+    so the lines of both are cut at each other's ends, and each piece belongs to the entry
+    and the exit that end at or after it.  Pieces are found by sorting the ends, in shards
+    of the line; no pairs are made.  Units still held have no row.
+    """
+    keys = list(keys)
+    parts = positions(fills, keys, ts, seq, plan)
+    parts = running_sums(parts, [*keys, "part"], "us", ["seq"], {"at": F.col("units")}, plan)
+    of = lambda part: F.max(F.when(F.col("part") == part, F.struct("us", "seq", "price", "direction"))).alias(part)
+    cuts = parts.groupBy(*keys, "at").agg(of("entry"), of("exit"))
+    line = plan_shards(cuts, keys, "at", shard_rows)
+    cuts = cuts.withColumn("shard", line.of(F.col("at")))
+    back = Window.partitionBy(*keys, "shard").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = cuts.withColumns({c: F.last(c, True).over(back) for c in ("entry", "exit")} | {"from": F.lag("at").over(Window.partitionBy(*keys, "shard").orderBy("at"))})
+    if line.shards > 1:
+        ends = cuts.groupBy(*keys, "shard").agg(F.max("at").alias("_from"), *[F.min_by(c, "at").alias(f"_{c}") for c in ("entry", "exit")])
+        later = Window.partitionBy(*keys).orderBy(F.col("shard").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "shard", F.max("_from").over(earlier).alias("_from"), *[F.last(f"_{c}", True).over(later).alias(f"_{c}") for c in ("entry", "exit")])
+        cuts = cuts.join(ends, [*keys, "shard"]).withColumns({c: F.coalesce(c, f"_{c}") for c in ("entry", "exit", "from")})
+    both = cuts.where(F.col("entry").isNotNull() & F.col("exit").isNotNull())
+    units = (F.col("at") - F.coalesce("from", F.lit(0))).cast("decimal(28,0)")
+    both = both.withColumn("quantity", (units / UNIT).cast("decimal(18,8)"))
+    pnl = ((F.col("exit.price") - F.col("entry.price")) * F.col("quantity") * F.col("entry.direction")).cast("decimal(38,8)")
+    return both.select(*keys, F.col("entry.us").alias("entry_us"), F.col("entry.seq").alias("entry_seq"), F.col("exit.us").alias("exit_us"), F.col("exit.seq").alias("exit_seq"), F.col("entry.direction").alias("direction"), "quantity", F.col("entry.price").alias("entry_price"), F.col("exit.price").alias("exit_price"), pnl.alias("pnl"))
+
+
+def reduced_trades(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One trade for each fill that reduces a position, from the rows of ``match_fifo``: entered at the mean price of the units that left (``entry_cost``: at all of them)."""
+    keys = list(keys)
+    q = F.sum("quantity")
+    g = matched.groupBy(*keys, "exit_us", "exit_seq").agg(F.min("entry_us").alias("entry_us"), F.max("direction").alias("direction"), q.cast("decimal(28,8)").alias("quantity"), (F.sum(F.col("entry_price") * F.col("quantity")).cast("double") / q.cast("double")).alias("entry_price"), F.sum(F.col("entry_price") * F.col("quantity")).cast("decimal(38,8)").alias("entry_cost"), F.max("exit_price").alias("exit_price"), F.sum("pnl").cast("decimal(38,8)").alias("pnl"))
+    return g.select(*keys, "entry_us", "exit_us", "exit_seq", "direction", "quantity", "entry_price", "entry_cost", "exit_price", "pnl")
 
 
 class _Lots:

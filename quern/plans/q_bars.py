@@ -97,22 +97,87 @@ def session_bars(spark, d):
     return doubles(b.session_bars(trades(spark, d), hours), *_BAR)
 
 
-@query("wicked_renko")
+#: Prices as whole cents in order, for the recursions below: each step takes one tick of every symbol.
+_TICKS = f"{TRADES}, n AS (SELECT symbol, us, row_number() OVER (PARTITION BY symbol ORDER BY us, seq) AS i, CAST(round(price * 100) AS BIGINT) AS p, quantity AS q FROM t)"
+_BRICKS = "SELECT symbol, us, open / 100.0::DOUBLE AS open, high / 100.0::DOUBLE AS high, low / 100.0::DOUBLE AS low, close / 100.0::DOUBLE AS close, direction"
+
+
+def _wicked_sql(size: int) -> str:
+    """s: the lattice point, trend and extremes after each tick, and the k bricks that it closes from base on."""
+    return f"""WITH RECURSIVE {_TICKS}, s AS (
+  SELECT symbol, i, us, CAST(CASE WHEN p % {size} * 2 > {size} THEN p - p % {size} + {size} ELSE p - p % {size} END AS BIGINT) AS pos, 0 AS trend, CAST(CASE WHEN p % {size} * 2 > {size} THEN p - p % {size} + {size} ELSE p - p % {size} END AS BIGINT) AS top,
+         CAST(CASE WHEN p % {size} * 2 > {size} THEN p - p % {size} + {size} ELSE p - p % {size} END AS BIGINT) AS bottom, 0::BIGINT AS k, 0::BIGINT AS base, 0 AS way, 0::BIGINT AS wick FROM n WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, us, CASE WHEN k > 0 THEN base + way * k * {size} ELSE pos END, CASE WHEN k > 0 THEN way ELSE trend END, CASE WHEN k > 0 AND way < 0 THEN base - k * {size} ELSE top END, CASE WHEN k > 0 AND way > 0 THEN base + k * {size} ELSE bottom END, k, base, way, CASE WHEN way > 0 THEN bottom ELSE top END
+  FROM (SELECT *, greatest((p - base) * way - 1, 0) // {size} AS k FROM (
+    SELECT n.symbol, n.i, n.us, n.p, s.pos, s.trend, greatest(s.top, n.p) AS top, least(s.bottom, n.p) AS bottom, CAST(sign(n.p - s.pos) AS INT) AS way, CAST(CASE WHEN s.trend = -sign(n.p - s.pos) AND s.trend <> 0 THEN s.pos + sign(n.p - s.pos) * {size} ELSE s.pos END AS BIGINT) AS base
+    FROM s JOIN n ON n.symbol = s.symbol AND n.i = s.i + 1))
+), e AS (
+  SELECT symbol, us, base + way * j * {size} AS open, base + way * (j + 1) * {size} AS close, CASE WHEN j = 0 THEN wick ELSE base + way * j * {size} END AS w, way AS direction FROM s, unnest(range(0, k)) AS x(j)
+), b AS (SELECT symbol, us, open, CASE WHEN direction > 0 THEN close ELSE w END AS high, CASE WHEN direction > 0 THEN w ELSE close END AS low, close, direction FROM e)
+{_BRICKS} FROM b"""
+
+
+def _classic_sql(size: int) -> str:
+    return f"""WITH RECURSIVE {_TICKS}, s AS (
+  SELECT symbol, i, us, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS open, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS hi, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS lo, false AS shut, 0::BIGINT AS o0, 0::BIGINT AS h0, 0::BIGINT AS l0, 0::BIGINT AS c0 FROM n WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, us, CASE WHEN abs(p - open) >= {size} THEN c ELSE open END, CASE WHEN abs(p - open) >= {size} THEN c ELSE greatest(hi, c) END, CASE WHEN abs(p - open) >= {size} THEN c ELSE least(lo, c) END, abs(p - open) >= {size}, open, greatest(hi, c), least(lo, c), c
+  FROM (SELECT n.symbol, n.i, n.us, n.p, s.open, s.hi, s.lo, least(s.open + {size}, greatest(s.open - {size}, n.p)) AS c FROM s JOIN n ON n.symbol = s.symbol AND n.i = s.i + 1)
+), b AS (SELECT symbol, us, o0 AS open, h0 AS high, l0 AS low, c0 AS close, CASE WHEN c0 > o0 THEN 1 ELSE -1 END AS direction FROM s WHERE shut)
+{_BRICKS} FROM b"""
+
+
+def _range_sql(size: int, classic: bool = False) -> str:
+    """s: the bar after each tick (of one cent), and the k bars that it closes: the one there was, and empty ones after it."""
+    nxt = "p" if classic else f"CASE WHEN up THEN lo + {size} + 1 + (k - 1) * {size + 1} ELSE hi - {size} - 1 - (k - 1) * {size + 1} END"
+    more = "1" if classic else f"1 + CASE WHEN up THEN greatest(p - (lo + {size} + 1) - {size} + {size}, 0) // {size + 1} ELSE greatest((hi - {size} - 1) - p - {size} + {size}, 0) // {size + 1} END"
+    return f"""WITH RECURSIVE {_TICKS}, s AS (
+  SELECT symbol, i, us, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS open, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS hi, CAST((p + {size} - 1) // {size} * {size} AS BIGINT) AS lo, CAST(q AS BIGINT) AS volume, 0::BIGINT AS k, 0::BIGINT AS o0, 0::BIGINT AS h0, 0::BIGINT AS l0, 0::BIGINT AS v0, true AS up FROM n WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, us, CASE WHEN k > 0 THEN nxt ELSE open END, CASE WHEN k > 0 THEN greatest(nxt, p) ELSE greatest(hi, p) END, CASE WHEN k > 0 THEN least(nxt, p) ELSE least(lo, p) END, CASE WHEN k > 0 THEN q ELSE volume + q END, k, open, hi, lo, volume, up
+  FROM (SELECT *, CAST({nxt} AS BIGINT) AS nxt FROM (SELECT *, CAST(CASE WHEN NOT over THEN 0 ELSE {more} END AS BIGINT) AS k FROM (
+    SELECT n.symbol, n.i, n.us, n.p, CAST(n.q AS BIGINT) AS q, s.open, s.hi, s.lo, s.volume, n.p > s.hi AS up, CASE WHEN n.p > s.hi THEN n.p - s.lo ELSE s.hi - n.p END > {size} AS over FROM s JOIN n ON n.symbol = s.symbol AND n.i = s.i + 1)))
+), e AS (
+  SELECT symbol, us, up, CASE WHEN j = 0 THEN o0 WHEN up THEN l0 + {size} + 1 + (j - 1) * {size + 1} ELSE h0 - {size} - 1 - (j - 1) * {size + 1} END AS open,
+         CASE WHEN up THEN l0 + j * {size + 1} ELSE h0 - j * {size + 1} END AS near, CASE WHEN j = 0 THEN v0 ELSE 0 END AS volume FROM s, unnest(range(0, k)) AS x(j)
+), b AS (SELECT symbol, us, open, CASE WHEN up THEN near + {size} ELSE near END AS high, CASE WHEN up THEN near ELSE near - {size} END AS low, CASE WHEN up THEN near + {size} ELSE near - {size} END AS close, CASE WHEN up THEN 1 ELSE -1 END AS direction, CAST(volume AS DOUBLE) AS volume FROM e)
+{_BRICKS}, volume FROM b"""
+
+
+_MIXED_SQL = f"""WITH RECURSIVE {_TICKS}, s AS (
+  SELECT symbol, i, us - us % {DAY} AS bar, p AS open, p AS hi, p AS lo, p AS c, 1 AS n, false AS late, 0::BIGINT AS b0, 0::BIGINT AS o0, 0::BIGINT AS h0, 0::BIGINT AS l0, 0::BIGINT AS c0, 0 AS n0 FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.symbol, n.i, CASE WHEN fresh THEN n.us - n.us % {DAY} ELSE bar END, CASE WHEN fresh THEN n.p ELSE open END, CASE WHEN fresh THEN n.p ELSE greatest(hi, n.p) END, CASE WHEN fresh THEN n.p ELSE least(lo, n.p) END, n.p, CASE WHEN fresh THEN 1 ELSE n + 1 END, n < 5 AND fresh, bar, open, hi, lo, c, n
+  FROM (SELECT *, s.n = 5 AS full_bar FROM s) s JOIN n ON n.symbol = s.symbol AND n.i = s.i + 1, LATERAL (SELECT s.full_bar OR n.us >= s.bar + {DAY} AS fresh)
+), b AS (
+  SELECT symbol, bar, open, hi, lo, c, n FROM s WHERE n = 5
+  UNION ALL SELECT symbol, b0, o0, h0, l0, c0, n0 FROM s WHERE late
+)
+SELECT symbol, bar, open / 100.0::DOUBLE AS open, hi / 100.0::DOUBLE AS high, lo / 100.0::DOUBLE AS low, c / 100.0::DOUBLE AS close, n FROM b"""
+
+
+@query("wicked_renko", _wicked_sql(500))
 def wicked_renko(spark, d):
     return doubles(b.renko_bars(trades(spark, d), "5"), "open", "high", "low", "close")
 
 
-@query("classic_renko")
+@query("classic_renko", _classic_sql(500))
 def classic_renko(spark, d):
     return doubles(b.renko_bars(trades(spark, d), "5", classic=True), "open", "high", "low", "close")
 
 
-@query("range_bars")
+@query("range_bars", _range_sql(1000))
 def range_bars(spark, d):
-    return doubles(b.range_bars(trades(spark, d), "10"), "open", "high", "low", "close")
+    return doubles(b.range_bars(trades(spark, d), "10"), *_BAR)
 
 
-@query("mixed_bars")
+@query("classic_range_bars", _range_sql(1000, classic=True))
+def classic_range_bars(spark, d):
+    return doubles(b.range_bars(trades(spark, d), "10", classic=True), *_BAR)
+
+
+@query("mixed_bars", _MIXED_SQL)
 def mixed_bars(spark, d):
     return doubles(b.mixed_bars(trades(spark, d), 5, DAY), "open", "high", "low", "close")
 
@@ -221,17 +286,34 @@ def fills(spark: SparkSession, d: str) -> DataFrame:
     """Adapter D: each supplier's lines as fills; returned ones sell."""
     rows = table(spark, d, "lineitem")
     seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return rows.select(F.col("l_suppkey").alias("symbol"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), (seq * 1_000_000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).cast("decimal(18,8)").alias("price"), F.col("l_quantity").cast("decimal(18,8)").alias("quantity"))
+    return rows.select(F.col("l_suppkey").alias("symbol"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), (seq * 1_000_000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10_000 + 0.5) / 10_000).cast("decimal(18,4)").cast("decimal(18,8)").alias("price"), F.col("l_quantity").cast("decimal(18,8)").alias("quantity"))
 
 
+_FILLS_P = "l AS (SELECT l_suppkey AS symbol, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS us, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS DECIMAL(12,4)) AS price, CAST(l_quantity AS DECIMAL(12,2)) AS q FROM lineitem)"
 _FILLS = "l AS (SELECT l_suppkey AS symbol, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS us, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS q FROM lineitem)"
 
 
-@query("fifo_matching", f"""WITH {_FILLS}, c AS (SELECT *, sum(CAST(q AS DECIMAL(18,2))) OVER (PARTITION BY symbol, side ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS b FROM l),
-s AS (SELECT *, b - CAST(q AS DECIMAL(18,2)) AS a FROM c)
-SELECT x.symbol, x.us AS entry_us, y.us AS exit_us, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS DOUBLE) AS quantity, count(*) AS n FROM s x JOIN s y ON x.symbol = y.symbol AND x.side = 'buy' AND y.side = 'sell' AND x.a < y.b AND y.a < x.b GROUP BY 1, 2, 3""")
+_FIFO = f"""WITH {_FILLS_P}, r AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sign, coalesce(sum(CASE WHEN side = 'buy' THEN q ELSE -q END) OVER (PARTITION BY symbol ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+x AS (SELECT *, CASE WHEN before * sign < 0 THEN least(abs(before), q) ELSE 0 END AS leaves FROM r),
+p AS (SELECT symbol, us, seq, price, 'exit' AS part, -sign AS direction, leaves AS u FROM x WHERE leaves > 0 UNION ALL SELECT symbol, us, seq, price, 'entry', sign, q - leaves FROM x WHERE q > leaves),
+c AS (SELECT *, sum(u) OVER (PARTITION BY symbol, part ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS b FROM p),
+m AS (
+  SELECT e.symbol, e.us AS entry_us, e.seq AS entry_seq, o.us AS exit_us, o.seq AS exit_seq, e.direction, least(e.b, o.b) - greatest(e.b - e.u, o.b - o.u) AS quantity, e.price AS entry_price, o.price AS exit_price
+  FROM c e JOIN c o ON e.symbol = o.symbol AND e.part = 'entry' AND o.part = 'exit' AND e.b - e.u < o.b AND o.b - o.u < e.b
+)"""
+
+
+@query("fifo_matching", _FIFO + " SELECT symbol, entry_us, entry_seq, exit_us, exit_seq, direction, CAST(quantity AS DOUBLE) AS quantity, CAST(entry_price AS DOUBLE) AS entry_price, CAST(exit_price AS DOUBLE) AS exit_price, round(CAST((exit_price - entry_price) * quantity * direction AS DOUBLE), 6) AS pnl FROM m")
 def fifo_matching(spark, d):
-    return m.match_fifo(fills(spark, d), ["symbol"]).groupBy("symbol", "entry_us", "exit_us").agg(F.sum("quantity").cast("double").alias("quantity"), F.count("*").alias("n"))
+    got = doubles(m.match_fifo(fills(spark, d), ["symbol"]), "quantity", "entry_price", "exit_price", "pnl")
+    return got.withColumn("pnl", F.round("pnl", 6))
+
+
+@query("reduced_fifo_matching", _FIFO + " SELECT symbol, exit_us, exit_seq, min(entry_us) AS entry_us, max(direction) AS direction, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(entry_price * quantity) AS DOUBLE) AS entry_cost, round(CAST(sum((exit_price - entry_price) * quantity * direction) AS DOUBLE), 6) AS pnl FROM m GROUP BY 1, 2, 3")
+def reduced_fifo_matching(spark, d):
+    """Trades for each fill that reduces a position."""
+    got = m.reduced_trades(m.match_fifo(fills(spark, d), ["symbol"]), ["symbol"])
+    return got.select("symbol", "exit_us", "exit_seq", "entry_us", "direction", F.col("quantity").cast("double").alias("quantity"), F.col("entry_cost").cast("double").alias("entry_cost"), F.round(F.col("pnl").cast("double"), 6).alias("pnl"))
 
 
 def _matched(how):

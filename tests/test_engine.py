@@ -317,6 +317,49 @@ def test_matching(spark):
     assert pairs == [(1, 3, 5), (2, 3, 1), (2, 4, 4)]
 
 
+def lots_by_hand(rows):
+    """Open lots, oldest first; a fill against them closes those, and what is left of it opens the other way."""
+    lots, out = [], []
+    for us, seq, side, price, q in sorted(rows):
+        sign = 1 if side == "buy" else -1
+        while q and lots and lots[0][2] == -sign:
+            part = min(q, lots[0][4])
+            out.append((lots[0][0], lots[0][1], us, seq, -sign, part))
+            q, lots[0][4] = q - part, lots[0][4] - part
+            lots = lots if lots[0][4] else lots[1:]
+        if q:
+            lots.append([us, seq, sign, price, q])
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [3, 10**9])
+def test_first_in_first_out_with_turns(spark, shard_rows):
+    rng = random.Random(21)
+    rows = {k: [(rng.randrange(300), i, rng.choice(["buy", "sell"]), float(rng.randrange(1, 99)), float(rng.randrange(1, 30))) for i in range(n)] for k, n in (("A", 200), ("B", 40), ("C", 1))}
+    df = spark.createDataFrame([(k, *r) for k, own in rows.items() for r in own] + [(None, 1, 1, "buy", 1.0, 1.0), ("A", 5, 999, "buy", 1.0, 0.0), ("A", 5, 998, "buy", 1.0, None)], "k string, us bigint, seq bigint, side string, price double, quantity double")
+    plan = None if shard_rows > 100 else ShardPlan(20, 15)
+    got = matching.match_fifo(df, ["k"], plan=plan, shard_rows=shard_rows)
+    want = sorted((k, *r) for k, own in rows.items() for r in lots_by_hand(own))
+    assert sorted((r[0], *map(float, r[1:])) for r in rows_of(got, "k", "entry_us", "entry_seq", "exit_us", "exit_seq", "direction", "quantity")) == [(r[0], *map(float, r[1:])) for r in want]
+    total = got.groupBy("k").agg(F.sum("pnl").cast("double").alias("p"))
+    reduced = matching.reduced_trades(got, ["k"]).groupBy("k").agg(F.sum("pnl").cast("double").alias("p"))
+    assert rows_of(total) == rows_of(reduced)
+    assert matching.match_fifo(df.limit(0), ["k"]).count() == 0
+
+
+def test_bricks_and_ranges_by_hand(spark):
+    rows = lambda prices: trades(spark, [("A", i, i, p, 2, "buy") for i, p in enumerate(prices)])
+    bricks = lambda df: [tuple(float(x) for x in r) for r in df.select("us", "open", "high", "low", "close", "direction").collect()]
+    # starts at 10, the lower of two as near; closes only beyond a limit; a turn starts where the last brick did
+    assert bricks(bars.renko_bars(rows([10.5, 9.2, 11, 11.1, 13.2, 11.5, 9.9]), "1")) == [(3, 10, 11, 9.2, 11, 1), (4, 11, 12, 11, 12, 1), (4, 12, 13, 12, 13, 1), (6, 12, 13.2, 11, 11, -1), (6, 11, 11, 10, 10, -1)]
+    # opens at 12, above the price; then one tick beyond the last end, with empty bars in a jump
+    got = [tuple(float(x) for x in r[1:]) for r in bars.range_bars(rows([11.2, 11.5, 17.05, 17.0]), "2", tick="0.01").collect()]
+    assert got == [(2, 12, 13.5, 11.5, 13.5, 1, 4), (2, 13.51, 15.51, 13.51, 15.51, 1, 0)]
+    got = [tuple(float(x) for x in r[1:]) for r in bars.range_bars(rows([11.2, 11.5, 17.05, 14.0]), "2", classic=True).collect()]
+    assert got == [(2, 12, 13.5, 11.5, 13.5, 1, 4), (3, 17.05, 17.05, 15.05, 15.05, -1, 2)]
+    assert bars.range_bars(rows([1.0]).limit(0), "2").count() == 0
+
+
 def test_every_trade_places_an_order_and_a_combo(spark, tmp_path):
     from quern.plans import catalog
 
