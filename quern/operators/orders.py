@@ -51,7 +51,7 @@ class _Waiting:
         price = self.price(self.cols, tuple(np.nan if x is None else x for x in row[-4:]))
         if not (hit := ~np.isnan(price)).any():
             return []
-        out = [(i, us, p) for i, p in zip(self.ids[hit].tolist(), price[hit].tolist())]
+        out = [(i, us, p, row[-1], b) for i, p, b in zip(self.ids[hit].tolist(), price[hit].tolist(), self.cols["buy"][hit].tolist())]
         self._keep(~hit)
         return out
 
@@ -63,7 +63,7 @@ class _Waiting:
 
 
 def _wait(orders: DataFrame, bars: DataFrame, price: Callable, value: str) -> DataFrame:
-    """order_id, fill_us and a value: orders at the first bar after them for which ``price`` gives a number."""
+    """order_id, fill_us, a value, the bar's close and whether it buys: orders at the first bar after them for which ``price`` gives a number."""
     parts = orders.where("us IS NOT NULL").groupBy("symbol").agg(F.ceil(F.count("*") / PART_ORDERS).alias("parts"))
     given = {"side": "string", "type": "string", "expires": "bigint"} | dict.fromkeys(_NUMBERS, "double")
     kind = orders.schema["order_id"].dataType.simpleString()
@@ -71,8 +71,8 @@ def _wait(orders: DataFrame, bars: DataFrame, price: Callable, value: str) -> Da
     o = orders.where("us IS NOT NULL").join(parts, "symbol").select("symbol", F.pmod(F.xxhash64("order_id"), F.col("parts")).alias("part"), "us", F.lit(1).alias("is_order"), "order_id", *[(F.col(c) if c in orders.columns else F.lit(None)).cast(t).alias(c) for c, t in given.items()], *none(dict.fromkeys(_PRICES, "double")))
     b = bars.where("us IS NOT NULL").join(parts, "symbol").select("symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "us", F.lit(0).alias("is_order"), *none({"order_id": kind} | given), *[(F.col(c) if c in bars.columns else F.lit(None)).cast("double").alias(c) for c in _PRICES])
     inputs = ["us", "is_order", "order_id", *given, *_PRICES]
-    rows = fold(o.unionByName(b), ["symbol", "part"], ["us", "is_order"], inputs, lambda: _Waiting(price), f"order_id {kind}, fill_us bigint, `{value}` double")
-    return rows.select("order_id", "fill_us", value)
+    rows = fold(o.unionByName(b), ["symbol", "part"], ["us", "is_order"], inputs, lambda: _Waiting(price), f"order_id {kind}, fill_us bigint, `{value}` double, close double, buy boolean")
+    return rows.select("order_id", "fill_us", value, "close", "buy")
 
 
 def _fill_price(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
@@ -102,7 +102,7 @@ def fill_orders(orders: DataFrame, bars: DataFrame) -> DataFrame:
     ``bars``: symbol, us (end), open, high, low, close.  Types: market, limit, stop,
     stop_limit (the stop is latched), touched, on_open, on_close.
     """
-    return _wait(orders, bars, _fill_price, "fill_price")
+    return _wait(orders, bars, _fill_price, "fill_price").drop("close", "buy")
 
 
 def _trailed(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
@@ -114,12 +114,15 @@ def _trailed(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
     return np.where(np.where(buy, high >= stop, low <= stop), stop, np.nan)
 
 
-def trailing_stops(orders: DataFrame, bars: DataFrame) -> DataFrame:
-    """order_id, fill_us, stop: a stop that follows the best close so far at the distance ``trail``; it fills on touch, however late.
+def trailing_stops(orders: DataFrame, bars: DataFrame, slippage: float = 0.0) -> DataFrame:
+    """order_id, fill_us, stop, fill_price: a stop that follows the best close so far at the distance ``trail``; it fills on touch, however late.
 
+    The fill is at the stop or, if that is worse, at the bar's close with slippage.
     ``orders`` may have expires, as in ``fill_orders``.
     """
-    return _wait(orders, bars, _trailed, "stop")
+    got = _wait(orders, bars, _trailed, "stop")
+    price = F.when(F.col("buy"), F.greatest(F.col("stop"), F.col("close") + slippage)).otherwise(F.least(F.col("stop"), F.col("close") - slippage))
+    return got.select("order_id", "fill_us", "stop", price.alias("fill_price"))
 
 
 def _net(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
@@ -139,7 +142,7 @@ def fill_combos(legs: DataFrame, bars: DataFrame) -> DataFrame:
     each = combos.select("key", "legs").dropDuplicates(["key"]).select("key", F.size("legs").alias("n_legs"), F.explode("legs").alias("l")).select("key", "n_legs", "l.*")
     net = each.join(bars.select("symbol", "us", "close"), "symbol").groupBy("key", "us").agg(F.sum(F.col("ratio") * F.col("close")).alias("close"), F.count("*").alias("n"), F.max("n_legs").alias("n_legs")).where("n = n_legs")
     filled = _wait(combos.withColumnsRenamed({"combo_id": "order_id", "key": "symbol"}), net.select(F.col("key").alias("symbol"), "us", "close"), _net, "net")
-    return filled.withColumnRenamed("order_id", "combo_id")
+    return filled.select(F.col("order_id").alias("combo_id"), "fill_us", "net")
 
 
 def volume_share_slippage(quantity: Column, volume: Column, price: Column, cap: float = 0.025, impact: float = 0.1) -> Column:

@@ -271,7 +271,7 @@ def drift_report(spark, d):
 # ---- joins
 
 
-@query("asof_quote_at_trade", f"WITH {TRADES}, {QUOTES}, o AS (SELECT * FROM t WHERE side = 'buy') SELECT o.symbol, o.us, o.seq, CAST(q.bid_price AS DOUBLE) AS bid_price, CAST(q.ask_price AS DOUBLE) AS ask_price FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.us >= q.us")
+@query("asof_quote_at_trade", f"WITH {TRADES}, {QUOTES}, o AS (SELECT * FROM t) SELECT o.symbol, o.us, o.seq, CAST(q.bid_price AS DOUBLE) AS bid_price, CAST(q.ask_price AS DOUBLE) AS ask_price FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.us >= q.us")
 def asof_quote_at_trade(spark, d):
     probes = trades(spark, d).select("symbol", "us", "seq")
     facts = quotes(spark, d).select("symbol", F.col("us").alias("at"), F.col("seq").alias("tie"), F.col("bid_price").cast("double").alias("bid_price"), F.col("ask_price").cast("double").alias("ask_price"))

@@ -318,8 +318,8 @@ def _orders(spark, d):
     return trades(spark, d).select(F.col("seq").alias("order_id"), "symbol", "us", F.when(buy, "buy").otherwise("sell").alias("side"), kind.alias("type"), (p - sign * 5).alias("limit"), (p + sign * 5).alias("stop"), (p - sign * 3).alias("touch"), F.lit(4.0).alias("trail"))
 
 
-_LIMIT = f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS order_id, symbol, us, seq // 70 % 2 = 0 AS buy, CAST(price AS DOUBLE) - CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS lim, CAST(price AS DOUBLE) + CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS stop, seq // 10 % 7 AS kind FROM t WHERE seq % 10 = 0),
-m AS (SELECT o.*, h.us AS bus, h.o, h.h, h.l, h.c FROM o JOIN h ON o.symbol = h.symbol AND h.us > o.us AND h.us <= o.us + {3 * DAY})"""
+_LIMIT = f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS order_id, symbol, us, seq // 70 % 2 = 0 AS buy, CAST(price AS DOUBLE) - CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS lim, CAST(price AS DOUBLE) + CASE WHEN seq // 70 % 2 = 0 THEN 5 ELSE -5 END AS stop, seq // 10 % 7 AS kind FROM t),
+m AS (SELECT o.*, h.us AS bus, h.o, h.h, h.l, h.c FROM o JOIN h ON o.symbol = h.symbol AND h.us > o.us)"""
 
 
 def _filled(spark, d, kind):
@@ -356,13 +356,13 @@ def open_close_fills(spark, d):
     return _filled(spark, d, "on_open").unionByName(_filled(spark, d, "on_close")).withColumn("fill_price", F.round("fill_price", 6))
 
 
-@query("trailing_stops", _LIMIT + ", g AS (SELECT *, CASE WHEN buy THEN least(stop, min(c) OVER w + 4) ELSE greatest(stop, max(c) OVER w - 4) END AS now FROM m WINDOW w AS (PARTITION BY order_id ORDER BY bus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT order_id, min(bus) AS fill_us, round(arg_min(now, bus), 6) AS stop FROM g WHERE CASE WHEN buy THEN h >= now ELSE l <= now END GROUP BY 1")
+@query("trailing_stops", _LIMIT + ", g AS (SELECT *, CASE WHEN buy THEN least(stop, min(c) OVER w + 4) ELSE greatest(stop, max(c) OVER w - 4) END AS now FROM m WINDOW w AS (PARTITION BY order_id ORDER BY bus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT order_id, min(bus) AS fill_us, round(arg_min(now, bus), 6) AS stop, round(arg_min(CASE WHEN buy THEN greatest(now, c) ELSE least(now, c) END, bus), 6) AS fill_price FROM g WHERE CASE WHEN buy THEN h >= now ELSE l <= now END GROUP BY 1")
 def trailing_stops(spark, d):
-    return od.trailing_stops(_orders(spark, d), _hourly(spark, d)).withColumn("stop", F.round("stop", 6))
+    return od.trailing_stops(_orders(spark, d), _hourly(spark, d)).withColumns({c: F.round(c, 6) for c in ("stop", "fill_price")})
 
 
-@query("combo_fills", f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS combo_id, us, symbol AS s1, 'U' || CAST(CAST(substr(symbol, 2) AS BIGINT) // 2 AS VARCHAR) AS s2 FROM t WHERE seq % 25 = 0),
-m AS (SELECT combo_id, a.us AS bus, a.c - 0.5 * b.c AS net FROM o JOIN h a ON a.symbol = s1 AND a.us > o.us AND a.us <= o.us + {7 * DAY} JOIN h b ON b.symbol = s2 AND b.us = a.us WHERE s1 <> s2)
+@query("combo_fills", f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS combo_id, us, symbol AS s1, 'U' || CAST(CAST(substr(symbol, 2) AS BIGINT) // 2 AS VARCHAR) AS s2 FROM t),
+m AS (SELECT combo_id, a.us AS bus, a.c - 0.5 * b.c AS net FROM o JOIN h a ON a.symbol = s1 AND a.us > o.us JOIN h b ON b.symbol = s2 AND b.us = a.us WHERE s1 <> s2)
 SELECT combo_id, min(bus) AS fill_us, round(arg_min(net, bus), 6) AS net FROM m WHERE net <= 10 GROUP BY 1""")
 def combo_fills(spark, d):
     """Each trade's user against half a unit of the user with half the number."""
