@@ -114,7 +114,7 @@ def _trailed(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
     return np.where(np.where(buy, high >= stop, low <= stop), stop, np.nan)
 
 
-def trailing_stops(orders: DataFrame, bars: DataFrame, slippage: float = 0.0) -> DataFrame:
+def trailing_fills(orders: DataFrame, bars: DataFrame, slippage: float = 0.0) -> DataFrame:
     """order_id, fill_us, stop, fill_price: a stop that follows the best close so far at the distance ``trail``; it fills on touch, however late.
 
     The fill is at the stop or, if that is worse, at the bar's close with slippage.
@@ -125,6 +125,11 @@ def trailing_stops(orders: DataFrame, bars: DataFrame, slippage: float = 0.0) ->
     return got.select("order_id", "fill_us", "stop", price.alias("fill_price"))
 
 
+def trailing_stops(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """order_id, fill_us, stop: where each trailing stop stands when it is touched."""
+    return trailing_fills(orders, bars).drop("fill_price")
+
+
 def _net(o: dict[str, np.ndarray], bar: tuple[float, ...]) -> np.ndarray:
     return np.where(np.isnan(o["limit"]) | (bar[3] <= o["limit"]), bar[3], np.nan)
 

@@ -358,7 +358,7 @@ def open_close_fills(spark, d):
 
 @query("trailing_stops", _LIMIT + ", g AS (SELECT *, CASE WHEN buy THEN least(stop, min(c) OVER w + 4) ELSE greatest(stop, max(c) OVER w - 4) END AS now FROM m WINDOW w AS (PARTITION BY order_id ORDER BY bus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT order_id, min(bus) AS fill_us, round(arg_min(now, bus), 6) AS stop, round(arg_min(CASE WHEN buy THEN greatest(now, c) ELSE least(now, c) END, bus), 6) AS fill_price FROM g WHERE CASE WHEN buy THEN h >= now ELSE l <= now END GROUP BY 1")
 def trailing_stops(spark, d):
-    return od.trailing_stops(_orders(spark, d), _hourly(spark, d)).withColumns({c: F.round(c, 6) for c in ("stop", "fill_price")})
+    return od.trailing_fills(_orders(spark, d), _hourly(spark, d)).withColumns({c: F.round(c, 6) for c in ("stop", "fill_price")})
 
 
 @query("combo_fills", f"""WITH {TRADES}, {_HOURLY}, o AS (SELECT seq AS combo_id, us, symbol AS s1, 'U' || CAST(CAST(substr(symbol, 2) AS BIGINT) // 2 AS VARCHAR) AS s2 FROM t),
