@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.asof import asof
 from quern.operators.fold import fold
 from quern.operators.running import running_sums
-from quern.shards import ShardPlan
+from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 
 _SUM = "decimal(38,8)"
 
@@ -96,6 +97,9 @@ class _Book:
 
     def push(self, row):
         us, kind, side, price, quantity, action, bid, bid_size, ask, ask_size = row
+        if kind == "seed":
+            self.sides[side][price] = quantity
+            return []
         over = max(0, us - self.origin)
         bucket = self.origin + -(-over // self.step) * self.step
         out = []
@@ -116,14 +120,67 @@ class _Book:
         return [self._row()] if self.bucket is not None else []
 
 
-def book_states(events: DataFrame, step: int, origin: int = 0, depth: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def _bucket_shard(step: int, origin: int, per: int) -> Column:
+    """The time shard of an event: ``per`` buckets of the grid, closed on the right as these are."""
+    over = F.greatest(F.lit(0).cast("bigint"), F.col("us") - origin)
+    return F.floor((over + step - 1 - F.pmod(over + F.lit(step - 1), F.lit(step))) / step / per).cast("bigint")
+
+
+def _seeds(rows: DataFrame, ties: Sequence[str]) -> DataFrame:
+    """symbol, shard, side, price, quantity: the levels that rest when a shard begins.
+
+    A level is as its newest change before the shard left it, unless a quote since then
+    was worse than its price.  From each shard comes one row for each of its levels, and
+    the worst quotes after it; so no task looks at a whole book.
+    """
+    order = F.struct("us", F.coalesce("seq", F.lit(-(2**62))).alias("seq"), F.coalesce("stream", F.lit(-1)).alias("stream"), *ties)
+    size = F.when((F.col("action") == "remove") | F.col("quantity").isNull(), 0).otherwise(F.col("quantity"))
+    own = F.when(F.col("kind") == "book", F.array(F.struct("side", "price", size.cast("decimal(18,8)").alias("quantity"))))
+    quoted = F.array(*[F.when((F.col(f"{s}_price") > 0) & (F.col(f"{s}_size") > 0), F.struct(F.lit(s).alias("side"), F.col(f"{s}_price").alias("price"), F.col(f"{s}_size").cast("decimal(18,8)").alias("quantity"))) for s in ("bid", "ask")])
+    after = Window.partitionBy("symbol", "shard").orderBy(F.col("_order").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    worst = {s: F.when((F.col("kind") == "quote") & (F.col(f"{s}_price") > 0), F.col(f"{s}_price")) for s in ("bid", "ask")}
+    rows = rows.withColumn("_order", order).withColumns({"low_bid": F.min(worst["bid"]).over(after), "high_ask": F.max(worst["ask"]).over(after)})
+    changes = rows.select("symbol", "shard", "_order", "low_bid", "high_ask", F.explode(F.filter(F.coalesce(own, quoted), lambda x: x["price"].isNotNull() & x["side"].isin("bid", "ask"))).alias("x"))
+    last = changes.groupBy("symbol", "x.side", "x.price", "shard").agg(F.max_by(F.struct("x.quantity", "low_bid", "high_ask"), "_order").alias("s"))
+    ends = rows.groupBy("symbol").agg(F.max("shard").alias("end"))
+    level = Window.partitionBy("symbol", "side", "price").orderBy("shard")
+    last = last.withColumn("next", F.lead("shard").over(level)).join(ends, "symbol").where("s.quantity > 0")
+    upto = F.coalesce("next", "end")
+    held = last.where(upto > F.col("shard")).select("symbol", "side", "price", "s.*", F.col("shard").alias("since"), F.explode(F.sequence(F.col("shard") + 1, upto)).alias("shard"))
+    quotes = rows.groupBy("symbol", (F.col("shard") + 1).alias("shard")).agg(F.min(worst["bid"]).alias("q_bid"), F.max(worst["ask"]).alias("q_ask"))
+    held = held.join(quotes, ["symbol", "shard"], "left")
+    since = Window.partitionBy("symbol", "side", "price", "since").orderBy("shard")
+    between = lambda c: F.when(F.col("shard") > F.col("since") + 1, F.col(c))
+    low, high = F.least("low_bid", F.min(between("q_bid")).over(since)), F.greatest("high_ask", F.max(between("q_ask")).over(since))
+    kept = held.withColumn("kept", F.when(F.col("side") == "bid", F.coalesce(F.col("price") <= low, F.lit(True))).otherwise(F.coalesce(F.col("price") >= high, F.lit(True))))
+    return kept.where("kept").select("symbol", "shard", "side", "price", "quantity")
+
+
+def book_states(events: DataFrame, step: int, origin: int = 0, depth: int | None = None, ties: Sequence[str] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """symbol, bucket, best_bid, best_ask, bid_depth, ask_depth, n_bids, n_asks, bids, asks: the book at the end of each bucket with events.
 
     bids and asks have all levels, best first, or the best ``depth`` of each side where
     that is given (0: none); all other columns are of the whole book in any case.
-    Events are taken by us, seq (missing first) and stream, then by ``ties``, columns of theirs.
+    Events are taken by us, seq (missing first) and stream, then by ``ties``, columns of
+    theirs.  A book is folded in time shards, each of which begins with the levels that
+    rest then, so a busy book is no single task.
     """
     level = "array<struct<price: decimal(18,8), quantity: decimal(18,8)>>"
     inputs = ["us", "kind", "side", "price", "quantity", "action", "bid_price", "bid_size", "ask_price", "ask_size"]
     out = f"bucket bigint, best_bid decimal(18,8), best_ask decimal(18,8), bid_depth decimal(38,8), ask_depth decimal(38,8), n_bids int, n_asks int, bids {level}, asks {level}"
-    return fold(events, ["symbol"], ["us", "seq", "stream", *ties], inputs, lambda: _Book(step, origin, depth), out)
+    plan = plan_shards(events, ["symbol"], "us", shard_rows)
+    if plan.shards == 1:
+        return fold(events, ["symbol"], ["us", "seq", "stream", *ties], inputs, lambda: _Book(step, origin, depth), out)
+    rows = events.select("symbol", "seq", "stream", *ties, *inputs).withColumn("shard", _bucket_shard(step, origin, max(1, plan.width // step)))
+    first = _seeds(rows, ties).withColumns({"kind": F.lit("seed"), "us": F.lit(-(2**62)).cast("bigint")})
+    both = rows.unionByName(first, allowMissingColumns=True)
+    return fold(both, ["symbol", "shard"], ["us", "seq", "stream", *ties], inputs, lambda: _Book(step, origin, depth), out).drop("shard")
+
+
+def with_book(observed: DataFrame, events: DataFrame, step: int, origin: int = 0, ties: Sequence[str] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Observations with book_bids and book_asks: all levels of both sides at each bucket, best first, carried forward; null before the first.
+
+    ``events`` are those of the book: changes, quotes, and snapshots as ``snapshot_changes``.
+    """
+    states = book_states(events, step, origin, None, ties, shard_rows).select("symbol", F.col("bucket").alias("at"), F.col("bids").alias("book_bids"), F.col("asks").alias("book_asks"))
+    return asof(observed, states, ["symbol"], "bucket", "at", ["book_bids", "book_asks"], plan=plan_shards(events, ["symbol"], "us", shard_rows))

@@ -64,9 +64,10 @@ def _side_depth(side: str) -> Column:
 
 
 def _levels(side: str) -> Column:
-    """price and quantity of a side's levels, best first; without book data those of the top of the book."""
+    """price and quantity of a side's levels, best first; without book data (``book.with_book``) those of the top of the book."""
+    book = F.transform(f"book_{side}s", lambda x: F.struct(x["price"].cast("double").alias("p"), x["quantity"].cast("double").alias("q")))
     one = F.when((F.col(f"{side}_price") > 0) & (F.col(f"{side}_size") > 0), F.array(F.struct(_d(f"{side}_price").alias("p"), _d(f"{side}_size").alias("q"))))
-    return F.coalesce(one, F.array().cast("array<struct<p: double, q: double>>"))
+    return F.coalesce(book, one, F.array().cast("array<struct<p: double, q: double>>"))
 
 
 def _sum(levels: Column) -> Column:
@@ -209,6 +210,9 @@ def feature_rows(observed: DataFrame, features: Mapping[str, Mapping[str, str]],
     """symbol, bucket, data_quality, data_age_ms, ``keep``, then features and raw fields; a feature hides a raw field of its name."""
     names = resolve([*features, *[n for r in raw_fields for n in RAW[r][1]]])
     labels, rows = {}, observed
+    for c in ("book_bids", "book_asks"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("array<struct<price: decimal(18,8), quantity: decimal(18,8)>>"))
     for n in names:
         p = _parameters(REGISTRY[n], features.get(n, {}))
         labels[n] = REGISTRY[n].label(p) if REGISTRY[n].label else n

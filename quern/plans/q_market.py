@@ -244,15 +244,56 @@ def depth_running_delta(spark, d):
     return doubles(_depth(spark, d), "bid_depth", "ask_depth").select("symbol", "us", "seq", "bid_depth", "ask_depth")
 
 
-@query("book_fold")
+_MINUTE = 60_000_000
+_BOOK_FOLD = f"""WITH u AS (
+  SELECT DISTINCT ON (change_id) symbol || '@' || venue AS symbol, timestamp_ms * 1000 AS us, coalesce(seq, -1) AS seq, change_id, lower(side) AS side, price, CASE WHEN lower(coalesce(action, 'add')) = 'remove' OR quantity IS NULL THEN 0 ELSE quantity END AS q
+  FROM book_updates WHERE timestamp_ms IS NOT NULL AND price IS NOT NULL
+), b AS (SELECT *, (us + {_MINUTE - 1}) // {_MINUTE} * {_MINUTE} AS bucket FROM u),
+l AS (SELECT symbol, side, price, bucket, arg_max(q, (us, seq, change_id)) AS q FROM b WHERE side IN ('bid', 'ask') GROUP BY 1, 2, 3, 4),
+v AS (SELECT *, lead(bucket) OVER (PARTITION BY symbol, side, price ORDER BY bucket) AS until FROM l),
+k AS (SELECT DISTINCT symbol, bucket FROM b),
+x AS (SELECT k.symbol, k.bucket, v.side, v.price, v.q FROM k LEFT JOIN v ON v.symbol = k.symbol AND v.q > 0 AND v.bucket <= k.bucket AND (v.until IS NULL OR v.until > k.bucket))
+SELECT symbol, bucket, CAST(max(price) FILTER (side = 'bid') AS DOUBLE) AS best_bid, CAST(min(price) FILTER (side = 'ask') AS DOUBLE) AS best_ask, CAST(coalesce(sum(q) FILTER (side = 'bid'), 0) AS DOUBLE) AS bid_depth,
+       CAST(coalesce(sum(q) FILTER (side = 'ask'), 0) AS DOUBLE) AS ask_depth, CAST(count(*) FILTER (side = 'bid') AS INT) AS n_bids, CAST(count(*) FILTER (side = 'ask') AS INT) AS n_asks FROM x GROUP BY 1, 2"""
+
+
+@query("book_fold", _BOOK_FOLD)
 def book_fold(spark, d):
     """Books of the staged feed at the end of each minute, from repeated and late changes put in order of time, seq, change."""
     rows = table(spark, d, "book_updates").dropDuplicates(["change_id"]).withColumn("symbol", F.concat_ws("@", "symbol", "venue"))
     ev = feeds.feed_events(rows, "book_updates", F.col("symbol"), F.col("venue"), seq=F.coalesce("seq", F.lit(-1)), keep=["change_id"])
-    states = bk.book_states(ev, 60_000_000, depth=0, ties=["change_id"])
+    states = bk.book_states(ev, _MINUTE, depth=0, ties=["change_id"])
     return doubles(states, "best_bid", "best_ask", "bid_depth", "ask_depth").select("symbol", "bucket", "best_bid", "best_ask", "bid_depth", "ask_depth", "n_bids", "n_asks")
 
 
+_STRUCTURE = f"""WITH {OBS}, {_BOOK}, w AS (SELECT symbol, side, price, us, q, lead(us) OVER (PARTITION BY symbol, side, price ORDER BY us, seq) AS next_us FROM k),
+v AS (SELECT o.symbol, o.bucket, w.side, w.price, w.q::DOUBLE AS q, coalesce(o.last, 0)::DOUBLE AS mid FROM obs o JOIN w ON w.symbol = o.symbol AND w.us <= o.bucket AND (w.next_us IS NULL OR w.next_us > o.bucket) WHERE w.q > 0),
+m AS (SELECT *, avg(q) OVER (PARTITION BY symbol, bucket) AS mean, avg(q) FILTER (side = 'ask') OVER (PARTITION BY symbol, bucket) AS ask_mean FROM v),
+g AS (
+  SELECT symbol, bucket, sum(q) FILTER (side = 'bid') AS bid, sum(q) FILTER (side = 'ask') AS ask, count(*) AS n, count(*) FILTER (side = 'ask') AS asks,
+         coalesce(sum(q) FILTER (side = 'bid' AND price >= mid * (1 - 5000 / 1e4)), 0) AS in_bid, coalesce(sum(q) FILTER (side = 'ask' AND price <= mid * (1 + 5000 / 1e4)), 0) AS in_ask,
+         min(abs(price - mid) / mid * 1e4) FILTER (q > 1.5 * mean) AS wall, (min(price) FILTER (side = 'ask' AND q > 1.2 * ask_mean AND price > mid) - any_value(mid)) / any_value(mid) * 1e4 AS resist
+  FROM m GROUP BY 1, 2
+), f AS (
+  SELECT o.symbol, o.bucket, coalesce(o.last, 0)::DOUBLE AS mid, coalesce(bid, 0) AS bid, coalesce(ask, 0) AS ask, coalesce(g.n, 0) AS n, coalesce(asks, 0) AS asks, coalesce(in_bid, 0) AS in_bid, coalesce(in_ask, 0) AS in_ask, wall, resist FROM obs o LEFT JOIN g ON g.symbol = o.symbol AND g.bucket = o.bucket
+), h AS (SELECT *, in_bid + in_ask AS near, row_number() OVER s AS place, count(*) OVER t AS back FROM f WINDOW s AS (PARTITION BY symbol ORDER BY bucket), t AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT symbol, bucket, bid AS bid_depth, ask AS ask_depth, round(CASE WHEN in_bid + in_ask <> 0 THEN (in_bid - in_ask) / (in_bid + in_ask) ELSE 0 END, 8) AS structural_imbalance,
+       round(CASE WHEN n >= 3 AND mid > 0 THEN coalesce(wall, 0) ELSE 0 END, 6) AS wall, round(CASE WHEN asks >= 2 AND mid > 0 THEN coalesce(resist, 0) ELSE 0 END, 6) AS resistance,
+       CASE WHEN place > 2 THEN near - coalesce(lag(near, 6) OVER s, first_value(near) OVER s) ELSE 0 END AS liquidity_depletion,
+       round(CASE WHEN back >= 2 THEN (lag(near) OVER s - first_value(near) OVER t) / back ELSE 0 END, 8) AS replenishment_rate
+FROM h WINDOW s AS (PARTITION BY symbol ORDER BY bucket), t AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""
+
+
+@query("book_structure", _STRUCTURE)
+def book_structure(spark, d):
+    """Features of all levels of the book at the grid points of trades."""
+    rows = bk.with_book(observed(spark, d), user_book(table(spark, d, "events")), STEP, START)
+    band = {"bps": "5000"}
+    got = ft.feature_rows(rows, {"bid_depth": {}, "ask_depth": {}, "structural_imbalance": band, "liquidity_wall": {"mult": "1.5"}, "resistance": {"factor": "1.2"}, "liquidity_depletion": band, "replenishment_rate": band})
+    places = {"structural_imbalance_5000bps": ("structural_imbalance", 8), "liquidity_wall_1.5x": ("wall", 6), "resistance_1.2x": ("resistance", 6), "replenishment_rate": ("replenishment_rate", 8)}
+    return got.select("symbol", "bucket", "bid_depth", "ask_depth", "liquidity_depletion", *[F.round(F.col(f"`{c}`"), n).alias(short) for c, (short, n) in places.items()])
+
+
 @query("seq_gap_count", "WITH s AS (SELECT symbol, venue, seq, seq - lag(seq) OVER (PARTITION BY symbol, venue ORDER BY seq) AS step FROM (SELECT DISTINCT symbol, venue, seq FROM book_updates WHERE seq IS NOT NULL)) SELECT symbol, venue, count(*) FILTER (step > 1) AS n_gaps, CAST(coalesce(sum(step - 1) FILTER (step > 1), 0) AS BIGINT) AS n_missing FROM s GROUP BY 1, 2")
 def seq_gap_count(spark, d):
     return bk.sequence_gaps(table(spark, d, "book_updates"), ["symbol", "venue"])

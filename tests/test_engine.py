@@ -286,6 +286,36 @@ def test_books_have_all_levels(spark):
         assert [x["price"] for x in r["bids"]] == [100 - i for i in range(1, n + 1)] and [x["price"] for x in r["asks"]] == [100 + i for i in range(1, n + 1)]
 
 
+def test_books_in_time_shards(spark):
+    rng = random.Random(31)
+    rows, asks = [], []
+    for i in range(900):
+        s = rng.choice("AAAB")
+        if rng.random() < 0.12:
+            mid = 50 + rng.randrange(-8, 9)
+            asks.append((s, i * 7_000_000, i, mid - 1, rng.choice([0, 3, 5]), mid + 1, rng.choice([0, 2])))
+        else:
+            side = rng.choice(["bid", "ask"])
+            price = 50.0 + (-1 if side == "bid" else 1) * rng.randrange(1, 12)
+            rows.append((s, i * 7_000_000, i, side, price, rng.choice([None, 0.0, 1.0, 2.0, 9.0]), rng.choice(["add", "modify", "remove", "add"])))
+    b = spark.createDataFrame(rows, "symbol string, us bigint, seq bigint, side string, price double, quantity double, action string")
+    ev = events.unified([events.conform(b, "book", 0, symbol="symbol", us="us", seq="seq", side="side", price="price", quantity="quantity", action="action"), quotes(spark, asks)])
+    cols = ("symbol", "bucket", "best_bid", "best_ask", "bid_depth", "ask_depth", "n_bids", "n_asks", F.col("bids").cast("string"), F.col("asks").cast("string"))
+    one = rows_of(book.book_states(ev, MIN, shard_rows=10**9), *cols)
+    for shard_rows in (10, 60):
+        assert rows_of(book.book_states(ev, MIN, shard_rows=shard_rows), *cols) == one
+    assert len(one) > 150
+    grid_rows = spark.createDataFrame([("A", n * MIN) for n in range(0, 120, 7)] + [("C", MIN)], "symbol string, bucket bigint")
+    got = {(r["symbol"], r["bucket"]): r["book_bids"] for r in book.with_book(grid_rows, ev, MIN, shard_rows=60).collect()}
+    want = {(r[0], r[1]): r[8] for r in one}
+    assert got[("C", MIN)] is None and len(got) == grid_rows.count()
+    state = {r["bucket"]: r["bids"] for r in book.book_states(ev, MIN).where("symbol = 'A'").collect()}
+    for (s, t), bids in got.items():
+        before = [b for b in state if b <= t]
+        assert s == "C" or bids == (state[max(before)] if before else None)
+    assert want
+
+
 def test_changes_of_a_level_in_one_millisecond_go_by_seq(spark, tmp_path):
     from quern.plans import catalog
 
