@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.running import block_window, in_blocks, own_rows
+from quern.shards import SHARD_ROWS, ShardPlan
+
 #: Rows of history that a rolling feature may look back.
 HISTORY = 1000
 
@@ -25,8 +28,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def by_time() -> Window:
-    """The one window of all features: rows of a symbol in order of bucket."""
-    return Window.partitionBy("symbol").orderBy("bucket")
+    """The one window of all features: rows of a symbol in order of bucket, in blocks (see ``feature_rows``)."""
+    return block_window(["symbol"])
 
 
 @dataclass(frozen=True)
@@ -39,14 +42,19 @@ class Feature:
     defaults: tuple[tuple[str, float], ...] = ()
     label: Callable[[dict[str, float]], str] | None = None
     about: str = ""
+    #: Rows before its own that it looks at, from its parameters.
+    back: Callable[[dict[str, float]], int] = lambda p: 0
 
 
 REGISTRY: dict[str, Feature] = {}
 
 
-def register(name: str, build: Callable[[dict[str, float]], Column], needs: tuple[str, ...] = (), label=None, about: str = "", **defaults: float) -> None:
-    """Add a feature, one's own as well; names are compared without regard to case."""
-    REGISTRY[name.lower()] = Feature(name.lower(), build, needs, tuple(defaults.items()), label, about)
+def register(name: str, build: Callable[[dict[str, float]], Column], needs: tuple[str, ...] = (), label=None, about: str = "", back: Callable[[dict[str, float]], int] | None = None, **defaults: float) -> None:
+    """Add a feature, one's own as well; names are compared without regard to case.
+
+    One that looks at rows before its own says how many (``back``) and uses ``by_time``.
+    """
+    REGISTRY[name.lower()] = Feature(name.lower(), build, needs, tuple(defaults.items()), label, about, back or (lambda p: 0))
 
 
 def _mid() -> Column:
@@ -104,7 +112,7 @@ def _depletion(p: dict[str, float]) -> Column:
     b, a = _in_band(p["bps"])
     w, now = by_time(), b + a
     back = F.coalesce(F.lag(now, int(p["lookback"]) + 1).over(w), F.first(now).over(w.rowsBetween(-HISTORY, 0)))
-    return F.when(F.row_number().over(w) > 2, now - back).otherwise(0.0)
+    return F.when(F.col("_rank") > 2, now - back).otherwise(0.0)
 
 
 def _replenishment(p: dict[str, float]) -> Column:
@@ -142,9 +150,9 @@ register("depth_ratio", lambda p: _ratio(F.col("bid_depth"), F.col("ask_depth"))
 register("structural_imbalance", _structural, ("mid_price", "bids", "asks"), lambda p: f"structural_imbalance_{p['bps']:g}bps", bps=10)
 register("liquidity_wall", _wall, ("mid_price", "bids", "asks"), lambda p: f"liquidity_wall_{p['mult']:g}x", mult=3)
 register("resistance", _resistance, ("mid_price", "asks"), lambda p: f"resistance_{p['factor']:g}x", factor=2)
-register("liquidity_depletion", _depletion, ("mid_price", "bids", "asks"), None, lookback=5, bps=10)
-register("replenishment_rate", _replenishment, ("mid_price", "bids", "asks"), None, window=10, bps=10)
-register("depth_persistence", _persistence, ("depth",), None, window=20)
+register("liquidity_depletion", _depletion, ("mid_price", "bids", "asks"), None, "", lambda p: max(HISTORY, int(p["lookback"]) + 1), lookback=5, bps=10)
+register("replenishment_rate", _replenishment, ("mid_price", "bids", "asks"), None, "", lambda p: int(p["window"]), window=10, bps=10)
+register("depth_persistence", _persistence, ("depth",), None, "", lambda p: int(p["window"]), window=20)
 register("bids", lambda p: _levels("bid"), about="levels of the bid side, best first")
 register("asks", lambda p: _levels("ask"))
 
@@ -206,17 +214,26 @@ def _parameters(f: Feature, given: Mapping[str, str]) -> dict[str, float]:
     return out
 
 
-def feature_rows(observed: DataFrame, features: Mapping[str, Mapping[str, str]], raw_fields: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """symbol, bucket, data_quality, data_age_ms, ``keep``, then features and raw fields; a feature hides a raw field of its name."""
+def feature_rows(observed: DataFrame, features: Mapping[str, Mapping[str, str]], raw_fields: tuple[str, ...] = (), keep: tuple[str, ...] = (), plan: ShardPlan | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """symbol, bucket, data_quality, data_age_ms, ``keep``, then features and raw fields; a feature hides a raw field of its name.
+
+    Features that look back get blocks of rows with as many before them as they need, so
+    no task holds a symbol.  ``plan``: shards of the buckets, if they are known (one pass
+    over the observations otherwise).
+    """
     names = resolve([*features, *[n for r in raw_fields for n in RAW[r][1]]])
     labels, rows = {}, observed
     for c in ("book_bids", "book_asks"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("array<struct<price: decimal(18,8), quantity: decimal(18,8)>>"))
+    back = max((REGISTRY[n].back(_parameters(REGISTRY[n], features.get(n, {}))) for n in names), default=0)
+    if back:
+        rows = in_blocks(rows, ["symbol"], "bucket", [], before=back, plan=plan, rows=shard_rows)
     for n in names:
         p = _parameters(REGISTRY[n], features.get(n, {}))
         labels[n] = REGISTRY[n].label(p) if REGISTRY[n].label else n
         rows = rows.withColumn(n, REGISTRY[n].build(p))
+    rows = own_rows(rows) if back else rows
     fixed = ["symbol", "bucket", "data_quality", "data_age_ms", *keep]
     raw = [RAW[r][0]().alias(r) for r in raw_fields if r not in fixed and r not in [labels[n] for n in features]]
     return rows.select(*fixed, *[F.col(n).alias(labels[n]) for n in features], *raw)

@@ -153,10 +153,18 @@ def floor_grid(events: DataFrame, step: int) -> DataFrame:
     return events.groupBy("symbol", (F.col("us") - F.pmod("us", F.lit(step))).alias("bucket")).agg(*period_aggregates())
 
 
-def replay_statistics(events: DataFrame, job: JobSpec) -> DataFrame:
+def replay_statistics(events: DataFrame, job: JobSpec, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Events, late events (in order of arrival, ``seq``), buckets and empty grid points of each symbol."""
     b = ceil_bucket(F.col("us"), job.origin, job.step)
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("bucket", b).withColumn("late", F.coalesce(F.col("bucket") < F.max("bucket").over(w), F.lit(False)))
+    plan = plan_shards(events, ["symbol"], "seq", shard_rows)
+    rows = events.withColumn("bucket", b).withColumn("_shard", plan.of(F.col("seq")))
+    w = Window.partitionBy("symbol", "_shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("newest", F.max("bucket").over(w))
+    if plan.shards > 1:
+        # The newest bucket of all shards before, from one row for each.
+        past = Window.partitionBy("symbol").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy("symbol", "_shard").agg(F.max("bucket").alias("top")).select("symbol", "_shard", F.max("top").over(past).alias("past"))
+        rows = rows.join(ends, ["symbol", "_shard"]).withColumn("newest", F.greatest("newest", "past"))
+    rows = rows.withColumn("late", F.coalesce(F.col("bucket") < F.col("newest"), F.lit(False)))
     points = (job.end - job.start) // job.step + 1
     return rows.groupBy("symbol").agg(F.count("*").alias("n_events"), F.count_if("late").alias("n_late"), F.countDistinct("bucket").alias("n_buckets")).withColumn("n_empty", F.lit(points) - F.col("n_buckets"))

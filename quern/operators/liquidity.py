@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.running import block_window, in_blocks, own_rows
+from quern.shards import SHARD_ROWS
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -21,16 +24,17 @@ class Thresholds:
     gap_us: int = 2_000_000
 
 
-def transitions(states: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def transitions(states: DataFrame, t: Thresholds = Thresholds(), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each transition: symbol, us, side, type, depth_before, depth_after, depth_delta.
 
     ``states``: symbol, us, bid_depth, ask_depth, best_bid, best_ask.  Rows are compared
     with the one before, unless it is too long ago or either lacks a side.  A side that
     depletes or replenishes does not migrate as well.
     """
-    w = Window.partitionBy("symbol").orderBy("us")
+    states = in_blocks(states, ["symbol"], "us", [], before=1, rows=shard_rows)
+    w = block_window(["symbol"])
     was = {c: F.lag(c).over(w) for c in ("us", "bid_depth", "ask_depth", "best_bid", "best_ask")}
-    rows = states.withColumns({f"{c}_0": x for c, x in was.items()})
+    rows = own_rows(states.withColumns({f"{c}_0": x for c, x in was.items()}))
     two = (F.col("best_bid") > 0) & (F.col("best_ask") > 0) & (F.col("best_bid_0") > 0) & (F.col("best_ask_0") > 0)
     rows = rows.where(two & (F.col("us") - F.col("us_0")).between(0, t.gap_us))
 
@@ -44,27 +48,28 @@ def transitions(states: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return out.where("type IS NOT NULL")
 
 
-def walls(states: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def walls(states: DataFrame, t: Thresholds = Thresholds(), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows whose best level of a side is ``wall`` times the upper median of the side's levels, where the one before was not.
 
     ``states`` has bids and asks, arrays of price and quantity, best first.
     """
-    w = Window.partitionBy("symbol").orderBy("us")
+    states = in_blocks(states, ["symbol"], "us", [], before=1, rows=shard_rows)
+    w = block_window(["symbol"])
 
     def big(s: str) -> Column:
         q = F.transform(s, lambda x: x["quantity"].cast("double"))
         return F.when(F.size(q) > 1, q[0] >= t.wall * F.element_at(F.array_sort(q), (F.floor(F.size(q) / 2) + 1).cast("int"))).otherwise(False)
 
     rows = states.withColumns({"bid": big("bids"), "ask": big("asks")})
-    rows = rows.withColumns({f"{s}_new": F.col(s) & ~F.coalesce(F.lag(s).over(w), F.lit(False)) for s in ("bid", "ask")})
+    rows = own_rows(rows.withColumns({f"{s}_new": F.col(s) & ~F.coalesce(F.lag(s).over(w), F.lit(False)) for s in ("bid", "ask")}))
     return rows.select("symbol", "us", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_new").alias("new")) for s in ("bid", "ask")])).alias("x")).where("x.new").select("symbol", "us", "x.side", F.lit("wall_formation").alias("type"))
 
 
-def replenished(events: DataFrame, lookback_us: int) -> DataFrame:
+def replenished(events: DataFrame, lookback_us: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Depletions with ms_until_replenishment: the next event of the side, if it is a replenishment soon enough."""
-    w = Window.partitionBy("symbol", "side").orderBy("us")
     rows = events.where(F.col("type").isin("depletion", "replenishment"))
-    rows = rows.withColumns({"next_type": F.lead("type").over(w), "next_us": F.lead("us").over(w)})
+    rows, w = in_blocks(rows, ["symbol", "side"], "us", [], after=1, rows=shard_rows), block_window(["symbol", "side"])
+    rows = own_rows(rows.withColumns({"next_type": F.lead("type").over(w), "next_us": F.lead("us").over(w)}))
     ok = (F.col("next_type") == "replenishment") & (F.col("next_us") - F.col("us") <= lookback_us)
     return rows.where("type = 'depletion'").select("symbol", "side", "us", F.when(ok, (F.col("next_us") - F.col("us")) / 1000.0).alias("ms_until_replenishment"))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.shards import ShardPlan, plan_shards
+from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: Mapping[str, Column], plan: ShardPlan | None = None) -> DataFrame:
@@ -54,3 +54,33 @@ def islands(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], v
     piece = piece.withColumn("_whole", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(e))
     out = piece.groupBy(*keys, "_part", "_whole").agg(F.max("_v").alias(value), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("length"))
     return out.select(*keys, value, "first", "last", "length")
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], before: int = 0, after: int = 0, plan: ShardPlan | None = None, rows: int = SHARD_ROWS) -> DataFrame:
+    """df in blocks of ``rows`` rows of a stream, each with the ``before`` rows ahead of it and the ``after`` rows behind.
+
+    Adds _rank (place in the stream, from 1), _block and _own (false for the rows of
+    other blocks).  A window over keys and _block in order of _rank that looks back no
+    more than ``before`` rows and ahead no more than ``after`` sees for own rows what one
+    over the whole stream would; ``own_rows`` then drops the others.  Streams that fit
+    one block are only ranked.
+    """
+    keys = list(keys)
+    plan = plan or plan_shards(df, keys, ts, rows)
+    if plan.shards == 1:
+        return df.withColumns({"_rank": F.row_number().over(Window.partitionBy(*keys).orderBy(ts, *order)).cast("bigint"), "_block": F.lit(0).cast("bigint"), "_own": F.lit(True)})
+    size = max(rows, before, after)
+    out = ranked(df, keys, ts, order, "_rank", plan).withColumn("_home", F.floor((F.col("_rank") - 1) / size).cast("bigint"))
+    place = F.pmod(F.col("_rank") - 1, F.lit(size))
+    homes = F.array(F.col("_home"), F.when(place >= size - before, F.col("_home") + 1), F.when((place < after) & (F.col("_home") > 0), F.col("_home") - 1))
+    out = out.withColumn("_block", F.explode(F.filter(homes, lambda x: x.isNotNull())))
+    return out.withColumn("_own", F.col("_block") == F.col("_home")).drop("_home")
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """What ``in_blocks`` was given, and the columns since."""
+    return df.where("_own").drop("_rank", "_block", "_own")
+
+
+def block_window(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys, "_block").orderBy("_rank")

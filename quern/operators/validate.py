@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.running import block_window, in_blocks, own_rows
+from quern.shards import SHARD_ROWS
+
 REL, ABS = 1e-9, 1e-12
 
 
@@ -56,9 +59,9 @@ def check_duplicate(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return g.select("symbol", F.explode(each).alias("x")).where("x.same").select(F.lit("duplicate").alias("check_id"), "symbol", "x.left", "x.right")
 
 
-def check_grid(rows: DataFrame, step: int) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("bucket")
-    rows = rows.withColumn("gap", F.col("bucket") - F.lag("bucket").over(w))
+def check_grid(rows: DataFrame, step: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    rows = in_blocks(rows, ["symbol"], "bucket", [], before=1, rows=shard_rows)
+    rows = own_rows(rows.withColumn("gap", F.col("bucket") - F.lag("bucket").over(block_window(["symbol"]))))
     return findings(rows, "grid", {"time does not advance": F.col("gap") > 0, "steps are not uniform": F.col("gap") == step, "data from the future": F.col("last_us") <= F.col("bucket")})
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
-from quern.operators import adjust, asof, bars, book, events, features, grid, labels, matching, portfolio, rolling_stats, universe, validate
+from quern.operators import adjust, asof, bars, book, events, features, grid, labels, liquidity, matching, portfolio, rolling_stats, universe, validate
 from quern.operators import orders as od
 from quern.operators.fold import fold
 from quern.operators.running import islands, ranked, running_sums
@@ -236,6 +236,51 @@ def test_running_sums_in_shards(spark):
     assert plan.shards > 3 and plan_shards(df.limit(0), ["k"], "t").shards == 1
 
 
+def observed_rows(spark, n=700):
+    rng, rows = random.Random(17), []
+    for s, m in (("A", n), ("B", 60), ("C", 1)):
+        for i in range(m):
+            bid = 100 + rng.randrange(-20, 20) / 10
+            rows.append((s, i * MIN + rng.choice([0, 0, MIN // 2]), 2, 0.0, bid, float(rng.randrange(1, 9)), bid + 0.2, float(rng.randrange(1, 9)), bid + 0.1, i * MIN))
+    return spark.createDataFrame(rows, "symbol string, bucket bigint, data_quality int, data_age_ms double, bid_price double, bid_size double, ask_price double, ask_size double, last double, last_us bigint")
+
+
+def test_rolling_features_in_blocks_of_any_size(spark):
+    rows = observed_rows(spark)
+    wanted = {"liquidity_depletion": {"bps": "50"}, "replenishment_rate": {"bps": "50"}, "depth_persistence": {}}
+    got = [rows_of(features.feature_rows(rows, wanted, shard_rows=n), "symbol", "bucket", *[F.round(c, 9) for c in wanted]) for n in (10**9, 1000, 90)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == rows.count()
+    short = [rows_of(features.feature_rows(rows, {"replenishment_rate": {"bps": "50"}}, shard_rows=n), "symbol", "bucket", F.round("replenishment_rate", 9)) for n in (10**9, 40)]
+    assert short[0] == short[1] and len({x[2] for x in short[0]}) > 30
+
+
+def test_labels_in_blocks_of_any_size(spark):
+    rows = observed_rows(spark).select("symbol", "bucket", "last")
+    for make, cols in (
+        (lambda n: labels.label_by_count(rows, "last", (1, 7, 30), shard_rows=n), ("ret_1", "ret_7", "ret_30")),
+        (lambda n: labels.label_after(rows, "last", 5 * MIN, cap=3, shard_rows=n), ("observed_at", "ret")),
+        (lambda n: labels.excursions(rows, "last", 9 * MIN, shard_rows=n), ("mfe", "mae")),
+    ):
+        one, *more = (rows_of(make(n), "symbol", "bucket", *cols) for n in (10**9, 50, 11))
+        assert all(x == one for x in more) and len(one) > 700
+
+
+def test_transitions_and_checks_in_blocks_of_any_size(spark):
+    rng = random.Random(5)
+    rows = [(s, i * 1000, rng.choice([5.0, 9.0, 2.0]), rng.choice([5.0, 8.0]), 100.0 + rng.randrange(3), 104.0) for s in "AB" for i in range(400)]
+    states = spark.createDataFrame(rows, "symbol string, us bigint, bid_depth double, ask_depth double, best_bid double, best_ask double")
+    levels = states.withColumn("bids", F.array(*[F.struct(F.lit(1.0).alias("price"), q.alias("quantity")) for q in (F.col("bid_depth") * 3, F.lit(2.0), F.lit(2.0))])).withColumn("asks", F.col("bids"))
+    seen = []
+    for n in (10**9, 37):
+        moves = liquidity.transitions(states, shard_rows=n)
+        seen.append((rows_of(moves), rows_of(liquidity.walls(levels, shard_rows=n)), rows_of(liquidity.replenished(moves, 5000, shard_rows=n)), rows_of(validate.check_grid(observed_rows(spark), MIN, shard_rows=n))))
+    assert seen[0] == seen[1] and all(seen[0])
+    late = spark.createDataFrame([(s, rng.randrange(50) * MIN, i) for s in "AB" for i in range(300)], "symbol string, us bigint, seq bigint")
+    job = JobSpec(start=0, end=60 * MIN, step=MIN)
+    one, many = (rows_of(grid.replay_statistics(late, job, shard_rows=n)) for n in (10**9, 20))
+    assert one == many and all(r[2] > 100 for r in one)
+
+
 # ---- bars, books, matching
 
 
