@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.shards import ShardPlan
+from quern.shards import SHARD_ROWS, ShardPlan, plan_shards
 
 
 def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str, fact_ts: str, values: Sequence[str], forward: bool = False, strict: bool = False, tie: str | None = None, plan: ShardPlan | None = None) -> DataFrame:
@@ -47,19 +47,26 @@ def asof(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str
     return both.select("probe.*", *[F.col("hit")[v].alias(v) for v in values])
 
 
-def step_lookup(facts: DataFrame, steps: DataFrame, keys: Sequence[str], date: str, step_date: str, value: str, default: Column) -> DataFrame:
+def _whole(df: DataFrame, c: str) -> Column:
+    """A date as the number of its day, a time as microseconds, so that shards can be cut."""
+    kind = df.schema[c].dataType.typeName()
+    return F.unix_date(c).cast("bigint") if kind == "date" else F.unix_micros(c) if kind == "timestamp" else F.col(c).cast("bigint")
+
+
+def step_lookup(facts: DataFrame, steps: DataFrame, keys: Sequence[str], date: str, step_date: str, value: str, default: Column, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Facts with the value of the first step dated at or after theirs, as price factors are given; else the default."""
-    w = Window.partitionBy(*keys).orderBy(step_date)
-    spans = steps.select(*keys, F.lag(step_date).over(w).alias("after"), F.col(step_date).alias("upto"), F.col(value))
-    cond = [facts[k] == spans[k] for k in keys] + [F.coalesce(facts[date] > spans["after"], F.lit(True)), facts[date] <= spans["upto"]]
-    got = facts.join(spans, cond, "left")
-    return got.select(*[facts[c] for c in facts.columns], F.coalesce(spans[value], default).alias(value))
+    cols = facts.columns
+    rows, known = facts.withColumn("_at", _whole(facts, date)), steps.withColumn("_step", _whole(steps, step_date)).withColumnRenamed(value, "_value")
+    got = asof(rows, known, keys, "_at", "_step", ["_value"], forward=True, plan=plan_shards(rows, list(keys), "_at", shard_rows))
+    return got.select(*cols, F.coalesce("_value", default).alias(value))
 
 
-def interval_lookup(facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
-    """Facts with the value whose span [start, end] holds their time; null without one."""
-    cond = [facts[key] == spans[key], facts[at] >= spans[start], facts[at] <= spans[end]]
-    return facts.join(spans, cond, "left").select(*[facts[c] for c in facts.columns], spans[value].alias(value))
+def interval_lookup(facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, value: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Facts with the value whose span [start, end] holds their time; null without one.  Spans of a key do not overlap."""
+    cols = facts.columns
+    rows, known = facts.withColumn("_at", _whole(facts, at)), spans.select(key, _whole(spans, start).alias("_start"), _whole(spans, end).alias("_end"), F.col(value).alias("_value"))
+    got = asof(rows, known, [key], "_at", "_start", ["_end", "_value"], plan=plan_shards(rows, [key], "_at", shard_rows))
+    return got.select(*cols, F.when(F.col("_at") <= F.col("_end"), F.col("_value")).alias(value))
 
 
 def clamp_lookup(facts: DataFrame, rates: DataFrame, date: str, rate_date: str, value: str) -> DataFrame:
