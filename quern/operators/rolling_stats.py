@@ -51,6 +51,32 @@ def drawdowns(curve: DataFrame, value: str, keys: Sequence[str], order: str) ->
     return out.withColumn("peak_at", F.last(F.when(F.col(value) == F.col("peak"), F.col(order)), True).over(w))
 
 
+def drawdown_metrics(curve: DataFrame, value: str, keys: Sequence[str], order: str, places: int = 2) -> DataFrame:
+    """keys, max_drawdown (a share, rounded halves to even) and max_recovery_days: the longest time from a peak, left for less, until it is reached again.
+
+    ``order`` is a date.  A curve of one point has neither; a drawdown that has not
+    recovered has no time.
+    """
+    w = over(keys, [order])
+    rows = drawdowns(curve, value, keys, order)
+    was = {c: F.lag(c).over(w) for c in ("drawdown", "peak", "peak_at")}
+    back = (was["drawdown"] > 0) & (F.col(value) >= was["peak"])
+    rows = rows.withColumn("recovery", F.when(back, F.date_diff(F.col(order), was["peak_at"])))
+    return rows.groupBy(*keys).agg(F.coalesce(F.bround(F.max("drawdown"), places), F.lit(0.0)).alias("max_drawdown"), F.coalesce(F.max("recovery"), F.lit(0)).alias("max_recovery_days"))
+
+
+def compound_annual(start: Column, final: Column, years: Column) -> Column:
+    """Yearly growth from a starting to a final amount; 0 without years or a start."""
+    growth = F.pow(F.try_divide(final.cast("double"), F.nullif(start.cast("double"), F.lit(0.0))), F.try_divide(F.lit(1.0), F.nullif(years.cast("double"), F.lit(0.0)))) - 1
+    return F.when(F.isnan(growth), 0.0).otherwise(F.coalesce(growth, F.lit(0.0)))
+
+
+def aligned_returns(own: DataFrame, benchmark: DataFrame, keys: Sequence[str], order: str, ret: str, bench: str, skip: int = 1) -> DataFrame:
+    """Returns of the dates that both have, without the first ``skip``, which only start the series."""
+    both = own.select(*keys, order, ret).join(benchmark.select(*keys, order, bench), [*keys, order])
+    return both.withColumn("_n", F.row_number().over(over(keys, [order]))).where(F.col("_n") > skip).drop("_n")
+
+
 def streaks(rows: DataFrame, flag: Column, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Runs of rows with the same flag: keys, island, flag, length (gaps and islands)."""
     w = over(keys, order)
@@ -124,6 +150,49 @@ def trade_statistics(trades: DataFrame, keys: Sequence[str], order: Sequence[str
     return base.join(runs, list(keys), "left").fillna(0, ["longest_wins", "longest_losses"])
 
 
+def trade_report(trades: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All measures of closed trades, one row for each key.
+
+    ``trades``: entry_us, exit_us, pnl and, where they are known, mae, mfe (in money),
+    end_drawdown, fees and is_win (a loss that counts as won, such as an option in the
+    money); ``order``: the order of closing, without ties.  A trade without gain is lost.
+    Ratios against nothing lost are 10, against nothing at all 0.
+    """
+    k = list(keys)
+    have = lambda c, kind="double": F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)) if c in trades.columns else F.lit(0).cast(kind)
+    won = (F.col("pnl") > 0) | (F.coalesce(F.col("is_win"), F.lit(False)) if "is_win" in trades.columns else F.lit(False))
+    rows = trades.select(*k, *[c for c in order if c not in k], "entry_us", "exit_us", F.col("pnl").cast("decimal(28,8)").alias("pnl"), have("mae").alias("mae"), have("mfe").alias("mfe"), have("end_drawdown").alias("end_drawdown"), have("fees").alias("fees"), won.alias("won"), (F.col("pnl") > 0).alias("gain"), (F.col("exit_us") - F.col("entry_us")).alias("held"))
+    w = over(k, order)
+    upto, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("after", F.sum("pnl").over(upto).cast("double")).withColumn("before", F.col("after") - F.col("pnl").cast("double"))
+    rows = rows.withColumns({"top": F.greatest(F.lit(0.0), F.max("after").over(upto)), "past_top": F.greatest(F.lit(0.0), F.coalesce(F.max("after").over(past), F.lit(0.0))), "open_top": F.greatest(F.lit(0.0), F.max(F.col("before") + F.col("mfe")).over(upto)), "lost": F.sum(F.when(F.col("gain"), 0).otherwise(1)).over(upto), "first_us": F.first("entry_us").over(upto)})
+    rows = rows.withColumn("high", F.col("gain") & (F.col("after") > F.col("past_top")))
+    since = {c: F.last(F.when(F.col("high"), F.col(c)), True).over(past) for c in ("exit_us", "lost")}
+    rows = rows.withColumn("under", F.when(F.col("high") & (F.col("lost") > F.coalesce(since["lost"], F.lit(0))), F.col("exit_us") - F.coalesce(since["exit_us"], F.col("first_us"))))
+    safe = lambda a, b: F.coalesce(F.try_divide(a, F.nullif(b, F.lit(0.0))), F.lit(0.0))
+    gain, loss = F.col("gain"), ~F.col("gain")
+    money = lambda c: F.coalesce(F.sum(F.when(c, F.col("pnl"))).cast("double"), F.lit(0.0))
+    mean = lambda c, x="pnl": F.coalesce(F.avg(F.when(c, F.col(x).cast("double"))), F.lit(0.0))
+    middle = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY held DESC) FILTER (WHERE {c})")
+    deviation = lambda c: F.coalesce(F.stddev_samp(F.when(c, F.col("pnl").cast("double"))), F.lit(0.0))
+    g = rows.groupBy(*k).agg(
+        F.min("entry_us").alias("start_us"), F.max("exit_us").alias("end_us"), F.count("*").alias("n_trades"), F.count_if("won").alias("n_wins"), F.sum("pnl").cast("double").alias("total"), money(gain).alias("profit"), money(loss).alias("loss"),
+        F.coalesce(F.max(F.when(gain, F.col("pnl"))).cast("double"), F.lit(0.0)).alias("largest_profit"), F.least(F.lit(0.0), F.min("pnl").cast("double")).alias("largest_loss"),
+        F.avg(F.col("pnl").cast("double")).alias("mean_pnl"), mean(gain).alias("mean_profit"), mean(loss).alias("mean_loss"), F.avg("held").alias("mean_held"), mean(gain, "held").alias("mean_win_held"), mean(loss, "held").alias("mean_loss_held"),
+        middle("true").alias("median_held"), middle("gain").alias("median_win_held"), middle("NOT gain").alias("median_loss_held"),
+        F.avg("mae").alias("mean_mae"), F.avg("mfe").alias("mean_mfe"), F.least(F.lit(0.0), F.min("mae")).alias("largest_mae"), F.greatest(F.lit(0.0), F.max("mfe")).alias("largest_mfe"),
+        F.least(F.lit(0.0), F.min(F.when(loss, F.col("after") - F.col("top")))).alias("max_closed_drawdown"), F.least(F.lit(0.0), F.min(F.col("before") + F.col("mae") - F.col("open_top"))).alias("max_intra_drawdown"),
+        deviation(F.lit(True)).alias("deviation"), deviation(loss).alias("downside_deviation"), F.greatest(F.lit(0.0), F.max("end_drawdown")).alias("max_end_drawdown"), F.coalesce(F.max("under"), F.lit(0)).alias("max_drawdown_us"), F.sum("fees").alias("fees"),
+    )
+    runs = streaks(rows, F.col("won"), k, order).groupBy(*k).agg(F.coalesce(F.max(F.when(F.col("flag"), F.col("length"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(~F.col("flag"), F.col("length"))), F.lit(0)).alias("longest_losses"))
+    g = g.withColumn("n_losses", F.col("n_trades") - F.col("n_wins")).join(runs, k)
+    over_loss = lambda a, b: F.when(a == 0, 0.0).when(b < 0, a / F.abs(b)).otherwise(10.0)
+    return g.withColumns({
+        "profit_loss_ratio": safe(F.col("mean_profit"), F.abs("mean_loss")), "win_loss_ratio": F.when(F.col("n_losses") > 0, F.col("n_wins") / F.col("n_losses")).otherwise(10.0), "win_rate": F.col("n_wins") / F.col("n_trades"), "loss_rate": 1 - F.col("n_wins") / F.col("n_trades"),
+        "profit_factor": over_loss(F.col("profit"), F.col("loss")), "sharpe": safe(F.col("mean_pnl"), F.col("deviation")), "sortino": safe(F.col("mean_pnl"), F.col("downside_deviation")), "profit_to_drawdown": over_loss(F.col("total"), F.col("max_closed_drawdown")), "mean_end_drawdown": F.col("mean_pnl") - F.col("mean_mfe"),
+    })
+
+
 def expectancy(trades: DataFrame, keys: Sequence[str], order: Sequence[str], capital: float) -> DataFrame:
     """Mean win and loss rates against the capital of the moment, and what a trade yields on average."""
     w = over(keys, order).rowsBetween(Window.unboundedPreceding, -1)

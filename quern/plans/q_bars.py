@@ -231,6 +231,17 @@ def drawdown_recovery(spark, d):
     return r.drawdowns(curve(spark, d), "v", ["k"], "day").select("k", "day", "peak", F.round("drawdown", 8).alias("drawdown"), "peak_at")
 
 
+@query("drawdown_metrics", f"WITH {_CURVE}, p AS (SELECT *, max(v) OVER w AS peak FROM c WINDOW w AS (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, last_value(CASE WHEN v = peak THEN day END IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS held FROM p), l AS (SELECT *, lag(v) OVER w AS v0, lag(peak) OVER w AS p0, lag(held) OVER w AS a0 FROM q WINDOW w AS (PARTITION BY k ORDER BY day)) SELECT k, round(max((peak - v) / peak), 6) AS max_drawdown, CAST(coalesce(max(CASE WHEN v0 < p0 AND v >= p0 THEN date_diff('day', a0, day) END), 0) AS INT) AS max_recovery_days FROM l GROUP BY 1")
+def drawdown_metrics(spark, d):
+    return r.drawdown_metrics(curve(spark, d), "v", ["k"], "day", 6)
+
+
+@query("compound_annual", f"WITH {_CURVE}, e AS (SELECT k, arg_min(v, day) AS a, arg_max(v, day) AS b, date_diff('day', min(day), max(day)) / 365.25 AS years FROM c GROUP BY 1) SELECT k, round(coalesce(pow(b / nullif(a, 0), 1.0 / nullif(years, 0)) - 1, 0), 8) AS growth FROM e")
+def compound_annual(spark, d):
+    g = curve(spark, d).groupBy("k").agg(F.min_by("v", "day").alias("a"), F.max_by("v", "day").alias("b"), (F.date_diff(F.max("day"), F.min("day")) / 365.25).alias("years"))
+    return g.select("k", F.round(r.compound_annual(F.col("a"), F.col("b"), F.col("years")), 8).alias("growth"))
+
+
 @query("win_streaks", f"WITH {_RET}, f AS (SELECT *, ret > 0 AS flag FROM z WHERE ret IS NOT NULL), g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - row_number() OVER (PARTITION BY symbol, flag ORDER BY bar) AS isl FROM f), h AS (SELECT symbol, flag, isl, count(*) AS length FROM g GROUP BY 1, 2, 3) SELECT symbol, flag, max(length) AS longest, count(*) AS n FROM h GROUP BY 1, 2")
 def win_streaks(spark, d):
     rows = daily(spark, d).withColumn("ret", r.percent_change("close", _w())).where("ret IS NOT NULL")
@@ -344,6 +355,43 @@ def trade_stats(spark, d):
     return out.select("k", "n_trades", "n_wins", "n_losses", "total", "largest_profit", "largest_loss", "median_held", F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 6).alias("profit_factor"), "longest_wins", "longest_losses")
 
 
+_REPORT = ("start_us end_us n_trades n_wins n_losses total profit loss largest_profit largest_loss mean_pnl mean_profit mean_loss mean_held mean_win_held mean_loss_held median_held median_win_held median_loss_held mean_mae mean_mfe largest_mae largest_mfe max_closed_drawdown max_intra_drawdown deviation downside_deviation "
+    "max_end_drawdown max_drawdown_us fees longest_wins longest_losses profit_loss_ratio win_loss_ratio win_rate loss_rate profit_factor sharpe sortino profit_to_drawdown mean_end_drawdown").split()
+
+
+def _places(c: str) -> int:
+    """Times are large, money is small."""
+    return 3 if c.endswith(("_us", "_held")) else 8
+
+
+_REPORT_SQL = f"""WITH {_CLOSED}, e AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY day, o_orderkey) AS i, epoch_us(day) - held * 1000000 AS entry_us, epoch_us(day) AS exit_us, held * 1000000 AS held, pnl, pnl > 0 AS gain, CAST(least(pnl, 0) AS DOUBLE) - held AS mae, CAST(greatest(pnl, 0) AS DOUBLE) + held % 7 AS mfe, (held % 13)::DOUBLE AS end_drawdown, (held % 5)::DOUBLE AS fees FROM x),
+a AS (SELECT *, CAST(sum(pnl) OVER w AS DOUBLE) AS after, sum(CASE WHEN gain THEN 0 ELSE 1 END) OVER w AS lost, first_value(entry_us) OVER w AS first_us FROM e WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, greatest(0, max(after) OVER w) AS top, greatest(0, coalesce(max(after) OVER p, 0)) AS past_top, greatest(0, max(after - CAST(pnl AS DOUBLE) + mfe) OVER w) AS open_top FROM a WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, gain AND after > past_top AS high FROM b),
+u AS (SELECT *, CASE WHEN high AND lost > coalesce(last_value(CASE WHEN high THEN lost END IGNORE NULLS) OVER p, 0) THEN exit_us - coalesce(last_value(CASE WHEN high THEN exit_us END IGNORE NULLS) OVER p, first_us) END AS under, row_number() OVER (PARTITION BY k ORDER BY i) - row_number() OVER (PARTITION BY k, gain ORDER BY i) AS isl
+      FROM h WINDOW p AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT k, coalesce(max(n) FILTER (gain), 0) AS longest_wins, coalesce(max(n) FILTER (NOT gain), 0) AS longest_losses FROM (SELECT k, gain, isl, count(*) AS n FROM u GROUP BY 1, 2, 3) GROUP BY 1),
+g AS (
+  SELECT k, min(entry_us) AS start_us, max(exit_us) AS end_us, count(*) AS n_trades, count(*) FILTER (gain) AS n_wins, count(*) FILTER (NOT gain) AS n_losses, CAST(sum(pnl) AS DOUBLE) AS total, coalesce(CAST(sum(pnl) FILTER (gain) AS DOUBLE), 0) AS profit, coalesce(CAST(sum(pnl) FILTER (NOT gain) AS DOUBLE), 0) AS loss,
+         coalesce(CAST(max(pnl) FILTER (gain) AS DOUBLE), 0) AS largest_profit, least(0, CAST(min(pnl) AS DOUBLE)) AS largest_loss, avg(CAST(pnl AS DOUBLE)) AS mean_pnl, coalesce(avg(CAST(pnl AS DOUBLE)) FILTER (gain), 0) AS mean_profit, coalesce(avg(CAST(pnl AS DOUBLE)) FILTER (NOT gain), 0) AS mean_loss,
+         avg(held) AS mean_held, coalesce(avg(held) FILTER (gain), 0) AS mean_win_held, coalesce(avg(held) FILTER (NOT gain), 0) AS mean_loss_held, list_sort(list(held))[count(*) // 2 + 1] AS median_held, list_sort(list(held) FILTER (gain))[count(*) FILTER (gain) // 2 + 1] AS median_win_held, list_sort(list(held) FILTER (NOT gain))[count(*) FILTER (NOT gain) // 2 + 1] AS median_loss_held,
+         avg(mae) AS mean_mae, avg(mfe) AS mean_mfe, least(0, min(mae)) AS largest_mae, greatest(0, max(mfe)) AS largest_mfe, least(0, min(after - top) FILTER (NOT gain)) AS max_closed_drawdown, least(0, min(after - CAST(pnl AS DOUBLE) + mae - open_top)) AS max_intra_drawdown, coalesce(stddev_samp(CAST(pnl AS DOUBLE)), 0) AS deviation, coalesce(stddev_samp(CAST(pnl AS DOUBLE)) FILTER (NOT gain), 0) AS downside_deviation,
+         greatest(0, max(end_drawdown)) AS max_end_drawdown, coalesce(max(under), 0) AS max_drawdown_us, sum(fees) AS fees FROM u GROUP BY 1
+), m AS (
+  SELECT *, coalesce(mean_profit / nullif(abs(mean_loss), 0), 0) AS profit_loss_ratio, CASE WHEN n_losses > 0 THEN n_wins / n_losses ELSE 10 END AS win_loss_ratio, n_wins / n_trades AS win_rate, 1 - n_wins / n_trades AS loss_rate, CASE WHEN profit = 0 THEN 0 WHEN loss < 0 THEN profit / abs(loss) ELSE 10 END AS profit_factor,
+         coalesce(mean_pnl / nullif(deviation, 0), 0) AS sharpe, coalesce(mean_pnl / nullif(downside_deviation, 0), 0) AS sortino, CASE WHEN total = 0 THEN 0 WHEN max_closed_drawdown < 0 THEN total / abs(max_closed_drawdown) ELSE 10 END AS profit_to_drawdown, mean_pnl - mean_mfe AS mean_end_drawdown FROM g JOIN s USING (k)
+) SELECT k, """ + ", ".join(f"round(CAST({c} AS DOUBLE), {_places(c)}) AS {c}" for c in _REPORT) + " FROM m"
+
+
+@query("trade_report", _REPORT_SQL)
+def trade_report(spark, d):
+    """Every measure of closed trades; excursions, drawdowns and fees are made up from the days held."""
+    us, held = F.unix_date("day").cast("bigint") * DAY, F.col("us_held")
+    rows = closed(spark, d).select("k", "day", "o_orderkey", "pnl", (us - held * 1_000_000).alias("entry_us"), us.alias("exit_us"), (F.least(F.col("pnl").cast("double"), F.lit(0.0)) - held).alias("mae"), (F.greatest(F.col("pnl").cast("double"), F.lit(0.0)) + held % 7).alias("mfe"), (held % 13).cast("double").alias("end_drawdown"), (held % 5).cast("double").alias("fees"))
+    out = r.trade_report(rows, ["k"], ["day", "o_orderkey"])
+    return out.select("k", *[F.round(F.col(c).cast("double"), _places(c)).alias(c) for c in _REPORT])
+
+
 @query("expectancy", f"""WITH {_CLOSED}, c AS (SELECT *, CAST(pnl AS DOUBLE) / (100000000 + coalesce(CAST(sum(pnl) OVER (PARTITION BY k ORDER BY day, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0)) AS rate FROM x),
 a AS (SELECT k, coalesce(avg(rate) FILTER (pnl > 0), 0) AS mw, coalesce(avg(rate) FILTER (pnl < 0), 0) AS ml, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0 END) AS wr, avg(CASE WHEN pnl < 0 THEN 1.0::DOUBLE ELSE 0 END) AS lr FROM c GROUP BY 1)
 SELECT k, round(mw, 8) AS mean_win, round(ml, 8) AS mean_loss, round(wr * coalesce(mw / nullif(abs(ml), 0), 0) - lr, 6) AS expectancy FROM a""")

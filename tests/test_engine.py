@@ -435,6 +435,30 @@ def test_bricks_and_ranges_by_hand(spark):
     assert bars.range_bars(rows([1.0]).limit(0), "2").count() == 0
 
 
+def test_trade_reports_by_hand(spark):
+    rows = [("A", 1, 0, 10, 5.0, -1.0, 6.0, False), ("A", 2, 10, 30, -3.0, -4.0, 1.0, False), ("A", 3, 30, 60, 0.0, -1.0, 1.0, True), ("A", 4, 60, 100, 4.0, -2.0, 5.0, False), ("A", 5, 100, 101, -1.0, -1.0, 0.0, False), ("B", 1, 0, 5, 2.0, 0.0, 2.0, False)]
+    t = spark.createDataFrame(rows, "k string, i int, entry_us bigint, exit_us bigint, pnl double, mae double, mfe double, is_win boolean")
+    got = {r["k"]: r for r in rolling_stats.trade_report(t, ["k"], ["i"]).collect()}
+    a, b = got["A"], got["B"]
+    assert (a["n_trades"], a["n_wins"], a["n_losses"], a["total"], a["profit"], a["loss"]) == (5, 3, 2, 5, 9, -4)
+    assert (a["longest_wins"], a["longest_losses"]) == (2, 1) and (a["median_held"], a["median_win_held"], a["median_loss_held"]) == (20, 40, 20)
+    assert a["max_closed_drawdown"] == -3 and a["max_intra_drawdown"] == -7 and a["max_drawdown_us"] == 90
+    assert a["profit_factor"] == 9 / 4 and a["win_loss_ratio"] == 1.5 and a["mean_end_drawdown"] == 1 - 13 / 5
+    assert (b["profit_factor"], b["win_loss_ratio"], b["profit_to_drawdown"], b["deviation"], b["sharpe"]) == (10, 10, 10, 0, 0) and b["fees"] == 0
+    assert rolling_stats.trade_report(t.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_drawdowns_recover_and_growth_compounds(spark):
+    rows = [("A", f"2024-01-{d:02}", v) for d, v in ((1, 10.0), (2, 8.0), (3, 10.0), (5, 12.0), (6, 11.0), (9, 9.0), (12, 12.0), (13, 6.0))] + [("B", "2024-01-01", 3.0)]
+    c = spark.createDataFrame(rows, "k string, day string, v double").withColumn("day", F.col("day").cast("date"))
+    assert rows_of(rolling_stats.drawdown_metrics(c, "v", ["k"], "day")) == [("A", 0.5, 7), ("B", 0.0, 0)]
+    g = spark.createDataFrame([(100.0, 121.0, 2.0), (100.0, 121.0, 0.0), (0.0, 1.0, 1.0), (100.0, -5.0, 2.0)], "a double, b double, y double")
+    assert [round(x[0], 9) for x in g.select(rolling_stats.compound_annual(F.col("a"), F.col("b"), F.col("y"))).collect()] == [0.1, 0, 0, 0]
+    own = c.where("k = 'A'").withColumn("r", F.col("v"))
+    both = rolling_stats.aligned_returns(own, own.where("v != 8").withColumn("m", F.col("v")), ["k"], "day", "r", "m", skip=2)
+    assert [r["r"] for r in both.orderBy("day").collect()] == [12, 11, 9, 12, 6]
+
+
 def test_every_trade_places_an_order_and_a_combo(spark, tmp_path):
     from quern.plans import catalog
 
