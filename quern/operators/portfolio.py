@@ -187,6 +187,19 @@ def parse_order(order) -> tuple[str, Decimal] | None:
     return side, Decimal(-1)
 
 
+def order_share(order) -> Decimal | None:
+    """The fraction or weight of an order: of equity when opening, of what is held when closing; None without one."""
+    if not isinstance(order, dict):
+        return None
+    for name in ("fraction", "weight"):
+        if name in order:
+            x = float(order[name])
+            if not math.isfinite(x) or not 0 <= x <= 1:
+                raise ValueError(f"not a share: {order!r}")
+            return Decimal(str(x))
+    return None
+
+
 class _Script:
     """Runs a strategy's hooks in order over one symbol and trades what it returns."""
 
@@ -222,7 +235,10 @@ class _Script:
         self.last = (at, p)
         if order:
             side, size = order
+            share = order_share(got) if size < 0 else None
             held = self.account.units.get("x", ZERO)
+            if share is not None:
+                size = abs(held) * share if side == "close" else self.account.fraction("x", share, p)
             if side == "close":
                 self.account.target("x", ZERO if size < 0 else held - (size if held > 0 else -size), p, at, "close")
             else:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from quern.operators import portfolio as pf
 from quern.operators import universe as un
 from quern.operators import validate as va
 from quern.operators.events import user_book
+from quern.plans import runner
 from quern.plans.q_bars import DAY, doubles
 from quern.plans.q_grid import _BOTH, END, HOUR, JOB, OBS, START, STEP, TRADES, bucket_sql, observed, observed_both, trades
 from quern.shards import plan_shards
@@ -566,6 +570,19 @@ def sink_compare(spark, d):
     return sinks.compare_runs(rows, back).agg(F.count("*").cast("int").alias("n_different"))
 
 
+@query("job_run", f"WITH {OBS} SELECT 'observations' AS name, quality AS kind, count(*) AS n FROM obs GROUP BY 2 UNION ALL SELECT 'hypothesis', h, count(*) FROM (SELECT symbol, CAST(unnest([1, 3]) AS INT) AS h, buy - sell AS flow, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) - 1 AS ahead, coalesce(last, 0) AS mid FROM obs) WHERE flow < 0 AND ahead >= h AND mid <> 0 GROUP BY 2")
+def job_run(spark, d):
+    """A job document run from end to end, and its tables read back."""
+    events = trades(spark, d)
+    symbols = sorted(r[0] for r in table(spark, d, "events").select(F.concat(F.lit("U"), "user_id")).distinct().collect())
+    at = lambda us: datetime.fromtimestamp(us / 1e6, timezone.utc).isoformat()
+    job = {"jobId": "flow", "symbols": symbols, "startTime": at(START), "endTime": at(END), "observationInterval": "6h", "features": ["mid_price", "trade_flow", "spread_bps"], "rawFields": ["volume", "vwap"], "experimentName": "hypothesis", "experimentConfig": {"condition": "trade_flow < 0", "horizons": "1,3", "direction": "up"}}
+    done = runner.run_job(spark, json.dumps(job), events, fresh_dir(spark, "jobs"))
+    seen = spark.read.parquet(f"{done['path']}/observations").groupBy("data_quality").agg(F.count("*").alias("n"))
+    tests = spark.read.parquet(f"{done['path']}/hypothesis")
+    return seen.select(F.lit("observations").alias("name"), F.col("data_quality").cast("int").alias("kind"), "n").unionByName(tests.select(F.lit("hypothesis").alias("name"), F.col("horizon").cast("int").alias("kind"), "n"))
+
+
 @query("synthetic_stream")
 def synthetic_stream(spark, d):
     return feeds.synthetic_events(spark, 100_000).groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.avg(F.coalesce("price", "bid_price").cast("double")).alias("mean_price"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.adjust import merge_latest
 from quern.plans.job import JobSpec
-from quern.workdir import exists, remove_dir
+from quern.workdir import exists, remove_dir, rename
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -35,15 +35,17 @@ def write_with_policy(df: DataFrame, path: str, policy: str, keys: Sequence[str]
     spark = df.sparkSession
     if policy == "merge" and exists(spark, path):
         both = merge_latest(spark.read.parquet(path), df, keys, version)
+        # Written next to what there is and then renamed: of old and new, one is always whole.
         both.write.mode("overwrite").parquet(f"{path}.next")
-        remove_dir(spark, path)
-        spark.read.parquet(f"{path}.next").write.parquet(path)
-        remove_dir(spark, f"{path}.next")
+        rename(spark, path, f"{path}.old")
+        rename(spark, f"{path}.next", path)
+        remove_dir(spark, f"{path}.old")
     else:
         df.write.mode("append" if policy == "append" else "overwrite").parquet(path)
 
 
-def _text(spark: SparkSession, path: str, data: object) -> None:
+def write_json(spark: SparkSession, path: str, data: object) -> None:
+    """A small document, written from the driver."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
@@ -58,8 +60,8 @@ def save_run(spark: SparkSession, root: str, job: JobSpec, tables: Mapping[str,
         return False
     for name, df in tables.items():
         write_rows(df, f"{at}/{name}", form)
-    _text(spark, f"{at}/metrics.json", metrics or {})
-    _text(spark, f"{at}/manifest.json", {"job_id": job.job_id, "hash": job.hash(), "tables": sorted(tables), "format": form})
+    write_json(spark, f"{at}/metrics.json", metrics or {})
+    write_json(spark, f"{at}/manifest.json", {"job_id": job.job_id, "hash": job.hash(), "tables": sorted(tables), "format": form})
     return True
 
 

@@ -57,6 +57,16 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a folder to a name that is free, or is freed."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise RuntimeError(f"cannot move {old} to {new}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

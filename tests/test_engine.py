@@ -13,6 +13,7 @@ from quern.operators import adjust, asof, bars, book, events, features, grid, la
 from quern.operators import orders as od
 from quern.operators.fold import fold
 from quern.operators.running import islands, ranked, running_sums
+from quern.plans import runner
 from quern.plans.job import Condition, JobSpec, micros, parse_span
 from quern.shards import ShardPlan, plan_shards
 from quern.sources import feeds, sinks
@@ -650,6 +651,39 @@ def test_write_policies(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+JOB_DOC = {"jobId": "j", "symbols": ["A"], "startTime": "1970-01-01T00:00:00Z", "endTime": "1970-01-01T01:00:00Z", "observationInterval": "60s", "features": ["mid_price", "trade_flow"], "experimentName": "hypothesis", "experimentConfig": {"condition": "trade_flow < 0", "horizons": "1,2"}}
+
+
+def test_jobs_run_from_document_to_tables(spark, tmp_path):
+    ev = trades(spark, [("A", i * MIN, i, 100 + i % 5, 1, "sell" if i % 2 else "buy") for i in range(1, 60)] + [("Z", 5, 1, 9, 1, "buy")])
+    done = runner.run_job(spark, json.dumps(JOB_DOC), ev, f"{tmp_path}/jobs")
+    assert done["created"] and done["tables"] == ["observations", "hypothesis"]
+    assert spark.read.parquet(f"{done['path']}/observations").count() == 61
+    assert {r["horizon"]: r["n"] for r in spark.read.parquet(f"{done['path']}/hypothesis").collect()} == {1: 30, 2: 29}
+    read = lambda n: json.loads((tmp_path / "jobs" / done["path"].rsplit("/", 1)[1] / n).read_text())
+    assert read("metrics.json") == {"symbols": 1, "observations": 61, "fresh": 59, "filled": 1, "missing": 1}
+    assert read("manifest.json")["tables"] == ["observations", "hypothesis"] and read("validation_report.json") == {"findings": []} and read("run_metadata.json")["step"] == MIN
+    assert not runner.run_job(spark, json.dumps(JOB_DOC), ev, f"{tmp_path}/jobs")["created"]
+
+
+def test_jobs_that_cannot_run_say_why():
+    bad = JOB_DOC | {"features": ["mid_prise", "liquidity_wall"], "eventTypes": ["trade"], "maxEvents": 0, "experimentName": "hypothesys", "experimentConfig": {"condition": "flow < 0", "feature.liquidity_wall.mul": "2"}}
+    text = "; ".join(runner.preflight(JobSpec.from_json(json.dumps(bad))))
+    for part in ("did you mean 'mid_price'?", "did you mean 'hypothesis'?", "'flow'", "max_events", "no parameter 'mul'", "levels", "price 'mid_price' is no column"):
+        assert part in text, (part, text)
+    assert runner.preflight(JobSpec.from_json(json.dumps(JOB_DOC))) == []
+
+
+def test_orders_by_share():
+    assert portfolio.order_share({"side": "buy", "weight": 0.5}) == Decimal("0.5") and portfolio.order_share("buy") is None
+    with pytest.raises(ValueError):
+        portfolio.order_share({"side": "buy", "fraction": 2})
+    one = portfolio._Script(lambda: type("S", (), {"on_observation": lambda self, row: {"side": "buy", "weight": 0.5}})(), ("symbol", "bucket", "price"), Decimal("0.1"), Decimal(0), True)
+    fills = [r for r in one.push(("A", 1, 10.0)) if r[0] == "fill"]
+    start = portfolio.Account().cash
+    assert len(fills) == 1 and abs(fills[0][2] * 10.0) == pytest.approx(float(start) / 2)
+
+
 def test_live_state_equals_batch_and_resumes(spark, tmp_path):
     rng = random.Random(9)
     rows = [("A" if rng.random() < 0.6 else "B", t * 1_000_000, t, float(rng.randrange(1, 99)), 1.0) for t in range(600)]
