@@ -52,6 +52,17 @@ def quote_bars(quotes: DataFrame, period: int, keys: Sequence[str] = ("symbol",)
     start = F.col("us") - F.pmod("us", F.lit(period))
     key = order_of()
     out = quotes.groupBy(*keys, start.alias("bar")).agg(*[x for s in ("bid", "ask") for x in (F.min_by(f"{s}_price", key).alias(f"{s}_open"), F.max(f"{s}_price").alias(f"{s}_high"), F.min(f"{s}_price").alias(f"{s}_low"), F.max_by(f"{s}_price", key).alias(f"{s}_close"))])
+    return _from_last_close(out, keys)
+
+
+def merge_quote_bars(bars: DataFrame, period: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Longer quote bars from shorter ones; each opens where the one before closed, as those of quotes do."""
+    start = F.col("bar") - F.pmod("bar", F.lit(period))
+    out = bars.groupBy(*keys, start.alias("bar")).agg(*[x for s in ("bid", "ask") for x in (F.min_by(f"{s}_open", "bar").alias(f"{s}_open"), F.max(f"{s}_high").alias(f"{s}_high"), F.min(f"{s}_low").alias(f"{s}_low"), F.max_by(f"{s}_close", "bar").alias(f"{s}_close"))])
+    return _from_last_close(out, keys)
+
+
+def _from_last_close(out: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("bar")
     for s in ("bid", "ask"):
         before = F.lag(f"{s}_close").over(w)

@@ -72,6 +72,25 @@ def snapshot_changes(snapshots: DataFrame, keys: Sequence[str] = ("symbol",)) ->
     return rows.select(*keys, "us", "side", "price", F.coalesce(now, F.lit(0)).alias("quantity"), action.alias("action")).where("action IS NOT NULL")
 
 
+def change_counts(changes: DataFrame, step: int, origin: int = 0, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """keys, bucket and for each side how many levels were added, removed and updated within it."""
+    over = F.col("us") - F.lit(origin) + F.lit(step - 1)
+    bucket = F.greatest(F.lit(origin), F.lit(origin) + (over - F.pmod(over, F.lit(step))))
+    names = {"added": "add", "removed": "remove", "updated": "modify"}
+    return changes.groupBy(*keys, bucket.alias("bucket")).agg(*[F.count_if((F.col("side") == s) & (F.col("action") == a)).alias(f"{s}_{n}") for s in ("bid", "ask") for n, a in names.items()])
+
+
+def executed_against_book(trades: DataFrame, quotes: DataFrame, step: int, origin: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """symbol, bucket, bought, sold: notional bought at or above the ask, and sold at or below the bid, that stood just before the trade."""
+    facts = quotes.select("symbol", F.col("us").alias("at"), F.col("bid_price").alias("_bid"), F.col("ask_price").alias("_ask"))
+    rows = asof(trades, facts, ["symbol"], "us", "at", ["_bid", "_ask"], strict=True, plan=plan_shards(facts, ["symbol"], "at", shard_rows))
+    notional = (F.col("price") * F.col("quantity")).cast(_SUM)
+    over = F.col("us") - F.lit(origin) + F.lit(step - 1)
+    bucket = F.greatest(F.lit(origin), F.lit(origin) + (over - F.pmod(over, F.lit(step))))
+    total = lambda c: F.coalesce(F.sum(F.when(c, notional)), F.lit(0)).cast(_SUM)
+    return rows.groupBy("symbol", bucket.alias("bucket")).agg(total((F.col("side") == "buy") & (F.col("price") >= F.col("_ask"))).alias("bought"), total((F.col("side") == "sell") & (F.col("price") <= F.col("_bid"))).alias("sold"))
+
+
 class _Book:
     """Levels of both sides.  Quotes seed the top; changes set or remove levels; state is emitted at bucket ends."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.labels import excursions, label_after
 from quern.operators.running import block_window, in_blocks, own_rows
 from quern.shards import SHARD_ROWS
 
@@ -77,3 +79,39 @@ def replenished(events: DataFrame, lookback_us: int, shard_rows: int = SHARD_ROW
 def event_metrics(events: DataFrame) -> DataFrame:
     """Counts and mean changes of depth by type and side, with subtotals."""
     return events.rollup("type", "side").agg(F.count("*").alias("n"), F.round(F.avg("depth_delta"), 6).alias("mean_delta"))
+
+
+def since_last(events: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Events with ms_since_last: since the last earlier time at which their symbol had any; -1 for the first."""
+    times = in_blocks(events.select("symbol", "us").distinct(), ["symbol"], "us", [], before=1, rows=shard_rows)
+    w = block_window(["symbol"])
+    times = own_rows(times.withColumn("ms_since_last", F.coalesce((F.col("us") - F.lag("us").over(w)) / 1000.0, F.lit(-1.0))))
+    return events.join(times, ["symbol", "us"])
+
+
+def outcomes(events: DataFrame, prices: DataFrame, horizons: Sequence[int], price: str = "mid", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Events with what their symbol's price did after them: horizon, ret, mfe and mae, a row for each of the horizons (microseconds).
+
+    ``prices``: symbol, us and the price, with a row at the time of each event; ret is null
+    while the price a horizon later is unknown, mfe and mae while there is none within it.
+    """
+    rows = prices.select("symbol", "us", F.col(price).cast("double").alias("_p"))
+    out = None
+    for h in horizons:
+        ret = label_after(rows, "_p", h, ts="us", shard_rows=shard_rows).select("symbol", "us", "ret")
+        far = excursions(rows, "_p", h, ts="us", shard_rows=shard_rows).select("symbol", "us", "mfe", "mae").join(ret, ["symbol", "us"], "left")
+        one = events.join(far, ["symbol", "us"], "left").withColumn("horizon", F.lit(h).cast("bigint"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def outcome_metrics(rows: DataFrame) -> DataFrame:
+    """Of ``outcomes``, for each type, side and horizon: events, those resolved, mean return, share that rose, mean excursions."""
+    return rows.groupBy("type", "side", "horizon").agg(F.count("*").alias("n"), F.count("ret").alias("n_resolved"), F.avg("ret").alias("mean_ret"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double"))).alias("up_rate"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"))
+
+
+def rates(events: DataFrame) -> DataFrame:
+    """symbol, type, n, per_minute: how often each type happens between a symbol's first and last event."""
+    span = events.groupBy("symbol").agg(((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
+    n = events.groupBy("symbol", "type").agg(F.count("*").alias("n"))
+    return n.join(span, "symbol").select("symbol", "type", "n", F.coalesce(F.try_divide(F.col("n").cast("double"), F.nullif(F.col("minutes"), F.lit(0.0))), F.lit(0.0)).alias("per_minute"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,3 +127,14 @@ def strategy_legs(contracts: DataFrame, keys: Sequence[str], spot: str, today: s
     got = nearest_strike(rows, [*keys, "leg"], F.col("target"), id=id)
     whole = F.count("*").over(Window.partitionBy(*keys)) == len(legs)
     return got.withColumn("whole", whole).where("whole").select(*keys, "leg", "right", "expiry", "strike", id)
+
+
+def within_ranges(contracts: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Contracts whose columns (delta, gamma, vega, theta, rho, implied volatility, open interest and the like) lie in their ranges, ends included.
+
+    None is no bound; a contract without the value is none of the range.
+    """
+    for c, (low, high) in ranges.items():
+        x = F.col(c).cast("double")
+        contracts = contracts.where(x.isNotNull() & (F.lit(True) if low is None else x >= low) & (F.lit(True) if high is None else x <= high))
+    return contracts

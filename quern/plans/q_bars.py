@@ -69,6 +69,20 @@ def quote_bars_prev_close(spark, d):
     return doubles(b.quote_bars(quotes(spark, d), DAY), *[f"{s}_{x}" for s in ("bid", "ask") for x in ("open", "high", "low", "close")])
 
 
+_QUOTE_SIDES = [(s, x) for s in ("bid", "ask") for x in ("open", "high", "low", "close")]
+
+
+@query("sequential_quote_bars", f"""WITH {QUOTES}, g AS (SELECT symbol, us - us % {HOUR} AS bar, """ + ", ".join(f"CAST(arg_min({s}_price, (us, seq)) AS DOUBLE) AS {s}_open, CAST(max({s}_price) AS DOUBLE) AS {s}_high, CAST(min({s}_price) AS DOUBLE) AS {s}_low, CAST(arg_max({s}_price, (us, seq)) AS DOUBLE) AS {s}_close" for s in ("bid", "ask")) + f""" FROM q GROUP BY 1, 2),
+l AS (SELECT *, lag(bid_close) OVER w AS bid_was, lag(ask_close) OVER w AS ask_was FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+h AS (SELECT symbol, bar, """ + ", ".join(f"coalesce({s}_was, {s}_open) AS {s}_open, greatest({s}_high, {s}_was) AS {s}_high, least({s}_low, {s}_was) AS {s}_low, {s}_close" for s in ("bid", "ask")) + f""" FROM l),
+d AS (SELECT symbol, bar - bar % {DAY} AS day, """ + ", ".join(f"arg_min({s}_open, bar) AS {s}_open, max({s}_high) AS {s}_high, min({s}_low) AS {s}_low, arg_max({s}_close, bar) AS {s}_close" for s in ("bid", "ask")) + """ FROM h GROUP BY 1, 2),
+m AS (SELECT *, lag(bid_close) OVER w AS bid_was, lag(ask_close) OVER w AS ask_was FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day))
+SELECT symbol, day AS bar, """ + ", ".join(f"coalesce({s}_was, {s}_open) AS {s}_open, greatest({s}_high, {s}_was) AS {s}_high, least({s}_low, {s}_was) AS {s}_low, {s}_close" for s in ("bid", "ask")) + " FROM m")
+def sequential_quote_bars(spark, d):
+    """Daily quote bars from hourly ones."""
+    return doubles(b.merge_quote_bars(b.quote_bars(quotes(spark, d), HOUR), DAY), *[f"{s}_{x}" for s, x in _QUOTE_SIDES])
+
+
 @query("oi_last", f"WITH {TRADES} SELECT symbol, us - us % {DAY} AS bar, CAST(arg_max(quantity, (us, seq)) AS DOUBLE) AS quantity FROM t GROUP BY 1, 2")
 def oi_last(spark, d):
     return doubles(b.last_values(trades(spark, d), DAY, "quantity"), "quantity")
@@ -280,9 +294,16 @@ def beta_alpha_te(spark, d):
     return out.select("k", *[F.round(c, 6).alias(c) for c in ("beta", "tracking_error", "alpha")])
 
 
-@query("prob_sharpe")
+_PROB_SHARPE = f"""WITH {_CRET}, g AS (SELECT k, count(ret) AS n, avg(ret / 100) AS m, stddev_samp(ret / 100) AS s, skewness(ret / 100) AS g1, kurtosis(ret / 100) AS g2 FROM e WHERE ret IS NOT NULL GROUP BY 1),
+u AS (SELECT *, m / s AS sharpe, 1 - g1 * (m / s) + (g2 + 2) / 4 * (m / s) * (m / s) AS under FROM g WHERE n > 3 AND s > 0), z AS (SELECT *, sharpe * sqrt(n - 1) / sqrt(under) AS z FROM u WHERE under > 0),
+t AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z),
+f AS (SELECT *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) AS erf FROM t)
+SELECT k, n, round(sharpe, 8) AS sharpe, round(CASE WHEN z >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END, 6) AS probability FROM f"""
+
+
+@query("prob_sharpe", _PROB_SHARPE)
 def prob_sharpe(spark, d):
-    return r.probabilistic_sharpe(_returns(spark, d), "ret", ["k"])
+    return r.probabilistic_sharpe(_returns(spark, d), "ret", ["k"]).withColumns({"sharpe": F.round("sharpe", 8), "probability": F.round("probability", 6)})
 
 
 @query("group_adjacent", f"WITH {TRADES}, c AS (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY symbol ORDER BY us, seq) THEN 0 ELSE 1 END AS x FROM t), g AS (SELECT *, sum(x) OVER (PARTITION BY symbol ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS isl FROM c) SELECT symbol, min(side) AS side, min(us) AS first, max(us) AS last, count(*) AS length FROM g GROUP BY symbol, isl")

@@ -21,7 +21,7 @@ from quern.operators import validate as va
 from quern.operators.events import user_book
 from quern.plans import runner
 from quern.plans.q_bars import DAY, doubles
-from quern.plans.q_grid import _BOTH, END, HOUR, JOB, OBS, START, STEP, TRADES, bucket_sql, observed, observed_both, trades
+from quern.plans.q_grid import _BOTH, END, HOUR, JOB, OBS, QUOTES, START, STEP, TRADES, bucket_sql, observed, observed_both, quotes, trades
 from quern.shards import plan_shards
 from quern.sources import feeds, sinks
 from quern.streaming import live
@@ -105,6 +105,11 @@ def calendar_spread(spark, d):
     return un.calendar_spread(contracts(spark, d), ["underlying"], 5, 20, TODAY)
 
 
+@query("contract_ranges", f"WITH {_CONTRACTS} SELECT id, strike, spot FROM c WHERE strike BETWEEN 905 AND 1500 AND spot <= 1030")
+def contract_ranges(spark, d):
+    return un.within_ranges(contracts(spark, d), {"strike": (905.0, 1500.0), "spot": (None, 1030.0)}).select("id", "strike", "spot")
+
+
 @query("standard_contracts", f"WITH {_CONTRACTS} SELECT id, expiry, dayofweek(expiry) = 5 AND day(expiry) BETWEEN 15 AND 21 AS standard FROM c")
 def standard_contracts(spark, d):
     return contracts(spark, d).select("id", "expiry", un.is_standard_expiry("expiry").alias("standard"))
@@ -196,6 +201,17 @@ def validate_market_state(spark, d):
     return va.check_market_state(_checked(spark, d)).unionByName(va.check_observation(_checked(spark, d))).unionByName(va.check_numeric(_checked(spark, d), ["mid_price", "spread", "vwap"]))
 
 
+@query("validate_planted", f"WITH {OBS} SELECT 'flow' AS check_id, symbol, 'net flow is not buys less sells' AS message, count(*) AS n, min(bucket) AS first, max(bucket) AS last FROM obs WHERE n > 2 GROUP BY 2 UNION ALL SELECT 'observation', symbol, 'high below low', count(*), min(bucket), max(bucket) FROM obs WHERE n > 0 AND h > l GROUP BY 2 UNION ALL SELECT 'market_state', symbol, 'imbalance out of range', count(*), min(bucket), max(bucket) FROM obs WHERE n = 1 GROUP BY 2")
+def validate_planted(spark, d):
+    """Findings in observations that were spoilt: net flow where a bucket has many trades, high and low exchanged, imbalance where it has one."""
+    rows = ft.feature_rows(observed(spark, d), {n: {} for n in ("mid_price", "bid_depth", "ask_depth", "imbalance", "net_flow", "aggressive_buy_volume", "aggressive_sell_volume")}, ("bid_price", "ask_price", "volume", "trade_count", "vwap", "high_price", "low_price"))
+    some = F.col("trade_count")
+    rows = rows.withColumn("net_flow", F.when(some > 2, F.col("net_flow") + 1).otherwise(F.col("net_flow"))).withColumn("imbalance", F.when(some == 1, F.lit(2.0)).otherwise(F.col("imbalance")))
+    turned = rows.withColumns({"high_price": F.col("low_price"), "low_price": F.col("high_price"), "vwap": F.lit(None).cast("double")})
+    got = va.check_flow(rows).unionByName(va.check_observation(turned)).unionByName(va.check_market_state(rows))
+    return got.select("check_id", "symbol", "message", "n", "first", "last")
+
+
 @query("validate_quotes", "SELECT symbol, 'crossed' AS message, count(*) AS n, min(timestamp_ms) AS first, max(timestamp_ms) AS last FROM quotes WHERE bid_price > ask_price GROUP BY 1 UNION ALL SELECT symbol, 'no price', count(*), min(timestamp_ms), max(timestamp_ms) FROM quotes WHERE bid_price IS NULL OR ask_price IS NULL GROUP BY 1")
 def validate_quotes(spark, d):
     rows = table(spark, d, "quotes").select("symbol", "timestamp_ms", "bid_price", "ask_price")
@@ -338,6 +354,39 @@ def liquidity_metrics(spark, d):
     return lq.event_metrics(_transitions(spark, d)).select(F.coalesce("type", F.lit("*")).alias("type"), F.coalesce("side", F.lit("*")).alias("side"), "n", "mean_delta")
 
 
+_OUTCOMES = _EVENTS + f""", m AS (SELECT symbol, us, (bb + ba) / 2.0::DOUBLE AS mid FROM s), x AS (SELECT *, max(mid) OVER w AS top, min(mid) OVER w AS low FROM m WINDOW w AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {2 * DAY} FOLLOWING)),
+y AS (SELECT x.*, f.mid AS future FROM x ASOF LEFT JOIN m f ON f.symbol = x.symbol AND x.us + {2 * DAY} <= f.us), o AS (SELECT e.*, future / mid - 1 AS ret, top / mid - 1 AS mfe, low / mid - 1 AS mae FROM e JOIN y ON y.symbol = e.symbol AND y.us = e.us)"""
+
+
+@query("transition_outcomes", _OUTCOMES + f" SELECT type, side, {2 * DAY}::BIGINT AS horizon, count(*) AS n, count(ret) AS n_resolved, round(avg(ret), 8) AS mean_ret, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE WHEN ret IS NOT NULL THEN 0 END), 8) AS up_rate, round(avg(mfe), 8) AS mean_mfe, round(avg(mae), 8) AS mean_mae FROM o GROUP BY 1, 2")
+def transition_outcomes(spark, d):
+    """What the price did in the two days after each transition."""
+    prices = _depth(spark, d).select("symbol", "us", ((201 + F.col("seq") % 7 + F.col("seq") % 5) / 2.0).alias("mid"))
+    got = lq.outcome_metrics(lq.outcomes(_transitions(spark, d), prices, [2 * DAY]))
+    return got.select("type", "side", "horizon", "n", "n_resolved", *[F.round(c, 8).alias(c) for c in ("mean_ret", "up_rate", "mean_mfe", "mean_mae")])
+
+
+@query("transition_gaps", _EVENTS + ", d AS (SELECT DISTINCT symbol, us FROM e), g AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY symbol ORDER BY us)) / 1000.0::DOUBLE, -1) AS ms FROM d) SELECT e.symbol, e.us, side, type, ms AS ms_since_last FROM e JOIN g ON g.symbol = e.symbol AND g.us = e.us")
+def transition_gaps(spark, d):
+    return lq.since_last(_transitions(spark, d)).select("symbol", "us", "side", "type", "ms_since_last")
+
+
+@query("transition_rates", _EVENTS + ", mm AS (SELECT symbol, (max(us) - min(us)) / 60e6 AS minutes FROM e GROUP BY 1) SELECT e.symbol, type, count(*) AS n, round(coalesce(count(*) / nullif(any_value(minutes), 0), 0), 10) AS per_minute FROM e JOIN mm ON mm.symbol = e.symbol GROUP BY 1, 2")
+def transition_rates(spark, d):
+    return lq.rates(_transitions(spark, d)).withColumn("per_minute", F.round("per_minute", 10))
+
+
+@query("book_change_counts", f"WITH {_BOOK}, z AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY symbol, side, price ORDER BY us, seq), 0) AS was FROM k), a AS (SELECT symbol, {bucket_sql()} AS bucket, side, CASE WHEN q = 0 THEN CASE WHEN was > 0 THEN 'remove' END WHEN was = 0 THEN 'add' WHEN was <> q THEN 'modify' END AS action FROM z) SELECT symbol, bucket, " + ", ".join(f"count(*) FILTER (side = '{s}' AND action = '{a}') AS {s}_{n}" for s in ("bid", "ask") for n, a in (("added", "add"), ("removed", "remove"), ("updated", "modify"))) + " FROM a WHERE action IS NOT NULL GROUP BY 1, 2")
+def book_change_counts(spark, d):
+    changes = bk.level_changes(user_book(table(spark, d, "events")).drop("action"))
+    return bk.change_counts(changes, STEP, START)
+
+
+@query("executed_against_book", f"WITH {TRADES}, {QUOTES}, x AS (SELECT t.*, q.bid_price AS bid, q.ask_price AS ask FROM t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.us > q.us) SELECT symbol, {bucket_sql()} AS bucket, CAST(coalesce(sum(price * quantity) FILTER (side = 'buy' AND price >= ask), 0) AS DOUBLE) AS bought, CAST(coalesce(sum(price * quantity) FILTER (side = 'sell' AND price <= bid), 0) AS DOUBLE) AS sold FROM x GROUP BY 1, 2")
+def executed_against_book(spark, d):
+    return doubles(bk.executed_against_book(trades(spark, d), quotes(spark, d), STEP, START), "bought", "sold")
+
+
 @query("wall_formations")
 def wall_formations(spark, d):
     rows = user_book(table(spark, d, "events"))
