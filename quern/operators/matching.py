@@ -20,7 +20,7 @@ UNIT = 10**8
 
 
 def positions(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str = "seq", plan: ShardPlan | None = None) -> DataFrame:
-    """keys, us, seq, price, part (``entry`` or ``exit``), direction (of the position), units: fills by what they do to the running position.
+    """keys, us, seq, price, part (``entry`` or ``exit``), direction (of the position), units, starts (whether it was flat before): fills by what they do to the running position.
 
     A fill that turns a position over is cut in two: an exit of what was held and an
     entry of the rest.  Fills with a null key or a quantity that is not above 0 don't count.
@@ -32,7 +32,7 @@ def positions(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str =
     rows = running_sums(rows.where("q > 0"), keys, "us", ["seq"], {"after": F.col("sign") * F.col("q")}, plan)
     before = F.col("after") - F.col("sign") * F.col("q")
     left = F.when(before * F.col("sign") < 0, F.least(F.abs(before), F.col("q"))).otherwise(0)
-    parts = F.array(F.struct(F.lit("exit").alias("part"), (-F.col("sign")).alias("direction"), left.cast("bigint").alias("units")), F.struct(F.lit("entry").alias("part"), F.col("sign").alias("direction"), (F.col("q") - left).cast("bigint").alias("units")))
+    parts = F.array(F.struct(F.lit("exit").alias("part"), (-F.col("sign")).alias("direction"), left.cast("bigint").alias("units"), F.lit(False).alias("starts")), F.struct(F.lit("entry").alias("part"), F.col("sign").alias("direction"), (F.col("q") - left).cast("bigint").alias("units"), ((before == 0) | (left > 0)).alias("starts")))
     return rows.select(*keys, "us", "seq", "price", F.explode(F.filter(parts, lambda p: p["units"] > 0)).alias("p")).select(*keys, "us", "seq", "price", "p.*")
 
 
@@ -67,6 +67,22 @@ def match_fifo(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str =
     return both.select(*keys, F.col("entry.us").alias("entry_us"), F.col("entry.seq").alias("entry_seq"), F.col("exit.us").alias("exit_us"), F.col("exit.seq").alias("exit_seq"), F.col("entry.direction").alias("direction"), "quantity", F.col("entry.price").alias("entry_price"), F.col("exit.price").alias("exit_price"), pnl.alias("pnl"))
 
 
+def flat_trades(fills: DataFrame, keys: Sequence[str], ts: str = "us", seq: str = "seq", plan: ShardPlan | None = None) -> DataFrame:
+    """One trade from flat to flat: keys, entry_us, exit_us, direction, quantity, entry_cost, exit_cost, pnl.
+
+    A position that turns ends one trade and starts the next with the rest of the fill.
+    Positions that are open at the end have no row.
+    """
+    keys = list(keys)
+    parts = positions(fills, keys, ts, seq, plan).withColumn("step", F.when(F.col("part") == "exit", 0).otherwise(1))
+    parts = running_sums(parts, keys, "us", ["seq", "step"], {"span": F.col("starts").cast("bigint")}, plan)
+    own = lambda part, x: F.sum(F.when(F.col("part") == part, x))
+    cost = (F.col("price") * (F.col("units").cast("decimal(20,0)") / UNIT).cast("decimal(18,8)")).cast("decimal(38,8)")
+    g = parts.groupBy(*keys, "span").agg(F.min("us").alias("entry_us"), F.max("us").alias("exit_us"), F.max("direction").alias("direction"), own("entry", F.col("units")).alias("came"), F.coalesce(own("exit", F.col("units")), F.lit(0)).alias("left"), own("entry", cost).alias("entry_cost"), own("exit", cost).alias("exit_cost"))
+    g = g.where("came = left")
+    return g.select(*keys, "entry_us", "exit_us", "direction", (F.col("came").cast("decimal(28,0)") / UNIT).cast("decimal(28,8)").alias("quantity"), "entry_cost", "exit_cost", ((F.col("exit_cost") - F.col("entry_cost")) * F.col("direction")).cast("decimal(38,8)").alias("pnl"))
+
+
 def reduced_trades(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One trade for each fill that reduces a position, from the rows of ``match_fifo``: entered at the mean price of the units that left (``entry_cost``: at all of them)."""
     keys = list(keys)

@@ -348,6 +348,14 @@ def reduced_fifo_matching(spark, d):
     return got.select("symbol", "exit_us", "exit_seq", "entry_us", "direction", F.col("quantity").cast("double").alias("quantity"), F.col("entry_cost").cast("double").alias("entry_cost"), F.round(F.col("pnl").cast("double"), 6).alias("pnl"))
 
 
+@query("flat_to_flat_trades", _FIFO.split("),\nm AS")[0] + """), o AS (SELECT *, sum(CASE WHEN part = 'entry' THEN u ELSE -u END) OVER w = 0 AS flat, CASE part WHEN 'exit' THEN 0 ELSE 1 END AS step FROM p WINDOW w AS (PARTITION BY symbol ORDER BY us, seq, CASE part WHEN 'exit' THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, coalesce(sum(CASE WHEN flat THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY us, seq, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM o)
+SELECT symbol, min(us) AS entry_us, max(us) AS exit_us, max(direction) AS direction, CAST(sum(u) FILTER (part = 'entry') AS DOUBLE) AS quantity, CAST(sum(price * u) FILTER (part = 'entry') AS DOUBLE) AS entry_cost, CAST(sum(price * u) FILTER (part = 'exit') AS DOUBLE) AS exit_cost,
+       round(CAST((sum(price * u) FILTER (part = 'exit') - sum(price * u) FILTER (part = 'entry')) * max(direction) AS DOUBLE), 6) AS pnl FROM s GROUP BY symbol, span HAVING bool_or(flat)""")
+def flat_to_flat_trades(spark, d):
+    return doubles(m.flat_trades(fills(spark, d), ["symbol"]), "quantity", "entry_cost", "exit_cost", "pnl").withColumn("pnl", F.round("pnl", 6))
+
+
 def _matched(how):
     return lambda spark, d: doubles(m.match_fills(fills(spark, d), ["symbol"], how), "quantity", "entry_price", "exit_price", "pnl")
 

@@ -421,6 +421,15 @@ def test_first_in_first_out_with_turns(spark, shard_rows):
     reduced = matching.reduced_trades(got, ["k"]).groupBy("k").agg(F.sum("pnl").cast("double").alias("p"))
     assert rows_of(total) == rows_of(reduced)
     assert matching.match_fifo(df.limit(0), ["k"]).count() == 0
+    flat = matching.flat_trades(df, ["k"], plan=plan)
+    held, spans = {}, {}
+    for k, own in rows.items():
+        for us, seq, side, price, q in sorted(own):
+            was = held.get(k, 0)
+            now = held[k] = was + (q if side == "buy" else -q)
+            spans[k] = spans.get(k, 0) + (was != 0 and (now == 0 or (now > 0) != (was > 0)))
+    assert rows_of(flat.groupBy("k").count()) == sorted((k, n) for k, n in spans.items() if n)
+    assert flat.where("quantity <= 0 OR exit_us < entry_us").count() == 0
 
 
 def test_bricks_and_ranges_by_hand(spark):
