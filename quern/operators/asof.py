@@ -81,3 +81,22 @@ def clamp_lookup(facts: DataFrame, rates: DataFrame, date: str, rate_date: str,
     w = Window.partitionBy(F.lit(0)).orderBy("day")
     filled = known.select("day", F.coalesce(F.last("rate", True).over(w), F.first("rate", True).over(w.rowsBetween(0, Window.unboundedFollowing))).alias(value))
     return facts.join(filled, facts[date] == filled["day"], "left").select(*[facts[c] for c in facts.columns], value)
+
+
+def venue_spreads(mids: DataFrame, keys: Sequence[str] = ("symbol", "at_us"), venue: str = "venue", mid: str = "mid") -> DataFrame:
+    """keys, venue_a, venue_b, premium_bps: each two venues at the times they share, one row for each venue and time given.
+
+    A symbol has as many rows at one time as venues quote it, so pairs stay few.
+    """
+    left = mids.select(*keys, F.col(venue).alias("venue_a"), F.col(mid).alias("_a"))
+    right = mids.select(*keys, F.col(venue).alias("venue_b"), F.col(mid).alias("_b"))
+    both = left.join(right, list(keys)).where("venue_a < venue_b")
+    return both.select(*keys, "venue_a", "venue_b", ((F.col("_b") - F.col("_a")) / F.nullif(F.col("_a"), F.lit(0.0)) * 1e4).alias("premium_bps"))
+
+
+def wide_merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Tables of one row for each key, side by side; a key that any of them has has a row.  Columns that are null throughout stay."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, list(keys), "full")
+    return out

@@ -73,3 +73,10 @@ def hypothesis(rows: DataFrame, when: Column, price: str, counts: Sequence[int],
     right = F.col("ret") > 0 if direction == "up" else F.col("ret") < 0
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
     return long.where(F.col("ret").isNotNull()).groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 8).alias("mean_return"), rate(F.col("ret") > 0).alias("up_rate"), rate(right).alias("continuation_rate"))
+
+
+def drift_report(rows: DataFrame, when: Column, price: str, counts: Sequence[int]) -> DataFrame:
+    """Returns of triggered rows against those of all others: horizon, hit, n, mean_return, median_return (exact), hit_rate."""
+    labelled = label_by_count(rows.withColumn("hit", when), price, counts)
+    long = labelled.select("hit", F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.col(f"ret_{n}").alias("ret")) for n in counts])).alias("x")).select("hit", "x.*").where("ret IS NOT NULL")
+    return long.groupBy("horizon", "hit").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_return"), F.percentile("ret", 0.5).alias("median_return"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"))

@@ -115,3 +115,8 @@ def rates(events: DataFrame) -> DataFrame:
     span = events.groupBy("symbol").agg(((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
     n = events.groupBy("symbol", "type").agg(F.count("*").alias("n"))
     return n.join(span, "symbol").select("symbol", "type", "n", F.coalesce(F.try_divide(F.col("n").cast("double"), F.nullif(F.col("minutes"), F.lit(0.0))), F.lit(0.0)).alias("per_minute"))
+
+
+def subtotals(rows: DataFrame, dimensions: Sequence[str], measures: Sequence[Column]) -> DataFrame:
+    """Measures of all combinations of dimensions and of their subtotals, named ``*``; a null value is named so too."""
+    return rows.cube(*dimensions).agg(*measures).withColumns({c: F.coalesce(c, F.lit("*")) for c in dimensions})

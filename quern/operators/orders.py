@@ -214,3 +214,9 @@ def strategy_payoff(name: str, strikes: list[Column], spot: Column) -> Column:
     for kind, at, units in STRATEGIES[name]:
         out = out + units * (spot if kind == "spot" else option_payoff(F.lit(kind), strikes[at], spot))
     return out
+
+
+def active_insights(insights: DataFrame, now: int) -> DataFrame:
+    """symbol, active, expired, next_expiry: forecasts (us, expires) that hold at a time, and when the next one ends."""
+    open_ = F.col("expires") > now
+    return insights.groupBy("symbol").agg(F.count_if((F.col("us") <= now) & open_).alias("active"), F.count_if(~open_).alias("expired"), F.min(F.when(open_, F.col("expires"))).alias("next_expiry"))

@@ -138,3 +138,17 @@ def within_ranges(contracts: DataFrame, ranges: Mapping[str, tuple[float | None,
         x = F.col(c).cast("double")
         contracts = contracts.where(x.isNotNull() & (F.lit(True) if low is None else x >= low) & (F.lit(True) if high is None else x <= high))
     return contracts
+
+
+def expiration_cycle(contracts: DataFrame, months: Sequence[int]) -> DataFrame:
+    """Contracts that expire in one of these months."""
+    return contracts.where(F.month("expiry").isin(*months))
+
+
+def constituent_weights(members: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Members with weight: their share of their group's value; null where the group has none.
+
+    The sums are combined before the shuffle and joined back, so a large group is no one task.
+    """
+    sums = members.groupBy(*group).agg(F.sum(F.col(value).cast("double")).alias("_all"))
+    return members.join(sums, list(group), "left").withColumn("weight", F.try_divide(F.col(value).cast("double"), F.nullif(F.col("_all"), F.lit(0.0)))).drop("_all")

@@ -263,9 +263,8 @@ def hypothesis_metrics(spark, d):
 def drift_report(spark, d):
     """Forward drift of triggered rows against all others."""
     rows = f.feature_rows(observed(spark, d), {"trade_flow": {}, "mid_price": {}})
-    rows = lb.label_by_count(rows.withColumn("hit", F.col("trade_flow") < 0), "mid_price", (1, 5, 20))
-    long = rows.select("hit", F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.col(f"ret_{n}").alias("ret")) for n in (1, 5, 20)])).alias("x")).select("hit", "x.*").where("ret IS NOT NULL")
-    return long.groupBy("horizon", "hit").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 8).alias("mean_return"), F.round(F.percentile("ret", 0.5), 8).alias("median_return"), F.round(F.avg((F.col("ret") > 0).cast("double")), 6).alias("hit_rate"))
+    got = lb.drift_report(rows, F.col("trade_flow") < 0, "mid_price", (1, 5, 20))
+    return got.select("horizon", "hit", "n", *[F.round(c, p).alias(c) for c, p in (("mean_return", 8), ("median_return", 8), ("hit_rate", 6))])
 
 
 # ---- joins
@@ -286,10 +285,7 @@ FROM o a JOIN o b ON a.symbol = b.symbol AND a.at = b.at AND a.venue < b.venue""
 def cross_venue_spread(spark, d):
     """Venues compared at the grid times they share; each symbol has few venues at one time."""
     rows = table(spark, d, "observations").where("bid > 0 AND ask > 0").groupBy("symbol", "venue", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at_us")).agg(F.avg((F.col("bid").cast("double") + F.col("ask").cast("double")) / 2).alias("mid"))
-    left = rows.select("symbol", "at_us", F.col("venue").alias("venue_a"), F.col("mid").alias("mid_a"))
-    right = rows.select("symbol", "at_us", F.col("venue").alias("venue_b"), F.col("mid").alias("mid_b"))
-    both = left.join(right, ["symbol", "at_us"]).where("venue_a < venue_b")
-    return both.select("symbol", "at_us", "venue_a", "venue_b", F.round((F.col("mid_b") - F.col("mid_a")) / F.col("mid_a") * 1e4, 4).alias("premium_bps"))
+    return a.venue_spreads(rows).withColumn("premium_bps", F.round("premium_bps", 4))
 
 
 @query("wide_merge", f"WITH {TRADES}, {QUOTES}, a AS (SELECT symbol, {bucket_sql(step=24 * HOUR)} AS bucket, CAST(max(price) AS DOUBLE) AS trade_high FROM t GROUP BY 1, 2), b AS (SELECT symbol, {bucket_sql(step=24 * HOUR)} AS bucket, CAST(max(bid_price) AS DOUBLE) AS bid_high FROM q WHERE bid_size > 6 GROUP BY 1, 2) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.bucket, b.bucket) AS bucket, trade_high, bid_high FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bucket = b.bucket")
@@ -297,7 +293,7 @@ def wide_merge(spark, d):
     b = g.ceil_bucket(F.col("us"), START, 24 * HOUR).alias("bucket")
     left = trades(spark, d).groupBy("symbol", b).agg(F.max("price").cast("double").alias("trade_high"))
     right = quotes(spark, d).where("bid_size > 6").groupBy("symbol", b).agg(F.max("bid_price").cast("double").alias("bid_high"))
-    return left.join(right, ["symbol", "bucket"], "full").select("symbol", "bucket", "trade_high", "bid_high")
+    return a.wide_merge([left, right], ["symbol", "bucket"]).select("symbol", "bucket", "trade_high", "bid_high")
 
 
 _STEPS = "s AS (SELECT n_nationkey AS k, CAST(DATE '1994-01-01' + CAST(n_nationkey * 30 + x.i * 600 AS INT) AS DATE) AS d, 1.0 / (1 + x.i + n_nationkey % 3) AS factor FROM nation, (VALUES (0), (1), (2), (3)) AS x(i))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
@@ -78,7 +78,7 @@ def expiry_range(spark, d):
 
 @query("expiration_cycle", f"WITH {_CONTRACTS} SELECT id, expiry FROM c WHERE month(expiry) IN (1, 3, 6, 9, 12)")
 def expiration_cycle(spark, d):
-    return contracts(spark, d).where(F.month("expiry").isin(1, 3, 6, 9, 12)).select("id", "expiry")
+    return un.expiration_cycle(contracts(spark, d), (1, 3, 6, 9, 12)).select("id", "expiry")
 
 
 @query("strike_window", f"""WITH {_CONTRACTS}, u AS (SELECT *, 905.0::DOUBLE AS at_spot FROM c), k AS (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY strike) - 1 AS r FROM u),
@@ -149,13 +149,13 @@ def prefilter_semi(spark, d):
 @query("constituent_weights", "WITH m AS (SELECT c_nationkey AS etf, c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) SELECT etf, c_custkey, round(c_acctbal / sum(c_acctbal) OVER (PARTITION BY etf), 8) AS weight FROM m")
 def constituent_weights(spark, d):
     rows = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("etf"), "c_custkey", F.col("c_acctbal").cast("double").alias("x"))
-    return rows.select("etf", "c_custkey", F.round(F.col("x") / F.sum("x").over(Window.partitionBy("etf")), 8).alias("weight"))
+    return un.constituent_weights(rows, ["etf"], "x").select("etf", "c_custkey", F.round("weight", 8).alias("weight"))
 
 
 @query("metric_rollup", "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def metric_rollup(spark, d):
-    g = table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
-    return g.select(F.coalesce("l_returnflag", F.lit("*")).alias("flag"), F.coalesce("l_linestatus", F.lit("*")).alias("status"), "n", "quantity")
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("decimal(18,2)").alias("q"))
+    return lq.subtotals(rows, ["flag", "status"], [F.count("*").alias("n"), F.sum("q").cast("double").alias("quantity")])
 
 
 # ---- adjustment and versions
@@ -487,7 +487,7 @@ def strategy_payoffs(spark, d):
 def active_insights(spark, d):
     now = START + 15 * DAY
     rows = trades(spark, d).select("symbol", "us", (F.col("us") + F.col("quantity").cast("bigint") * HOUR).alias("expires"))
-    return rows.groupBy("symbol").agg(F.count_if((F.col("us") <= now) & (F.col("expires") > now)).alias("active"), F.count_if(F.col("expires") <= now).alias("expired"), F.min(F.when(F.col("expires") > now, F.col("expires"))).alias("next_expiry"))
+    return od.active_insights(rows, now)
 
 
 # ---- scalar functions
@@ -596,8 +596,7 @@ def staged_feed_roundtrip(spark, d):
     """Trades written as staged CSV and read back by the feed's reader."""
     at = fresh_dir(spark, "feed")
     table(spark, d, "trades").select("timestamp_ms", "price", "size", "side", "trade_id", "symbol", "venue").write.option("header", True).partitionBy("symbol", "venue").csv(at)
-    raw = spark.read.schema("timestamp_ms string, price string, size string, side string, trade_id string, symbol string, venue string").option("header", True).csv(at)
-    rows = raw.withColumn("timestamp_ms", F.expr("try_cast(timestamp_ms AS bigint)")).where("timestamp_ms IS NOT NULL").withColumn("price", F.coalesce(F.expr("try_cast(price AS decimal(18,8))"), F.lit(0).cast("decimal(18,8)")))
+    rows = feeds.staged_csv(spark, at, "trades", folders=("symbol", "venue"))
     ends = feeds.staged_bounds(rows, ["symbol", "venue"])
     return ends.join(rows.groupBy("symbol", "venue").agg(F.sum("price").cast("double").alias("sum_price")), ["symbol", "venue"])
 

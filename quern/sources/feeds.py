@@ -26,13 +26,17 @@ def _number(c: str) -> Column:
     return F.coalesce(F.expr(f"try_cast(trim(`{c}`) AS {PRICE})"), F.lit(0).cast(PRICE))
 
 
-def staged_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One staged file (or a folder or pattern of them); lines without a time are skipped."""
+def staged_csv(spark: SparkSession, path: str, kind: str, folders: Sequence[str] = ()) -> DataFrame:
+    """One staged file (or a folder or pattern of them); lines without a time are skipped.
+
+    ``folders``: names of the levels of folders below ``path`` (as in symbol=X/venue=Y),
+    which become columns; filters on them read only the folders that match.
+    """
     names = FILES[kind]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(", ".join(f"{c} string" for c in (*names, *folders))).option("header", True).option("mode", "PERMISSIVE").csv(path)
     out = raw.withColumn("timestamp_ms", F.expr("try_cast(trim(timestamp_ms) AS bigint)")).where(F.col("timestamp_ms").isNotNull())
     texts = ("side", "trade_id", "action")
-    return out.select("timestamp_ms", *[F.trim(c).alias(c) if c in texts else _number(c).alias(c) for c in names[1:]])
+    return out.select(*folders, "timestamp_ms", *[F.trim(c).alias(c) if c in texts else _number(c).alias(c) for c in names[1:]])
 
 
 def feed_events(rows: DataFrame, kind: str, symbol: Column, venue: Column, stream: int = 0, seq: Column | str = "timestamp_ms", keep: Sequence[str] = ()) -> DataFrame:
