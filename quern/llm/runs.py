@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.shards import SHARD_ROWS, plan_shards
+from quern.workdir import fresh_dir
 
 
 def _near(value: Column, before: Column, step: Column) -> Column:
@@ -73,15 +74,19 @@ def collapse_runs(
         *[F.max(F.when(F.col("head"), F.col(c))).alias(f"{c}_first") for c in v],
         *[F.max(F.when(F.col("tail"), F.col(c))).alias(f"{c}_last") for c in v],
     )
-    # Pieces inside a shard are whole runs and keep a partition of their own; only
-    # those at the edges of a stream's shards meet, two for each shard.
+    # Pieces inside a shard are whole runs already.  Only those at the edges of a stream's
+    # shards meet, two for each shard; all are written once, so that both ways read them.
     edge = F.col("head") | F.col("tail")
-    piece = piece.where(edge | (F.col("whole") & (F.col("n") >= min_events))).withColumn("part", F.when(edge, F.lit(None)).otherwise(F.col("shard")))
-    w = Window.partitionBy(*k, "part").orderBy("shard", "run")
+    piece = piece.where(edge | (F.col("whole") & (F.col("n") >= min_events)))
+    at = fresh_dir(events.sparkSession, "runs")
+    piece.write.parquet(at)
+    piece = events.sparkSession.read.schema(piece.schema).parquet(at)
+    inner = piece.where(~edge).select(*k, F.col("start").alias("start_ts"), F.col("end").alias("end_ts"), F.col("n").alias("n_events"))
+    w = Window.partitionBy(*k).orderBy("shard", "run")
     joins = F.col("head")
     for c in v:
         joins = joins & _near(F.col(f"{c}_first"), F.lag(f"{c}_last").over(w), F.col("step"))
-    piece = piece.withColumn("joins", joins).withColumn("whole_run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
-    run = piece.groupBy(*k, "part", "whole_run").agg(F.min("start").alias("start_ts"), F.max("end").alias("end_ts"), F.sum("n").alias("n_events"), F.min("whole").alias("whole"))
-    run = run.where(F.col("whole") & (F.col("n_events") >= min_events))
+    outer = piece.where(edge).withColumn("joins", joins).withColumn("whole_run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
+    outer = outer.groupBy(*k, "whole_run").agg(F.min("start").alias("start_ts"), F.max("end").alias("end_ts"), F.sum("n").alias("n_events"), F.min("whole").alias("whole"))
+    run = inner.unionByName(outer.where(F.col("whole") & (F.col("n_events") >= min_events)).drop("whole", "whole_run"))
     return run.select(*[F.col(a).alias(c) for c, a in zip(keys, k)], "start_ts", "end_ts", "n_events", (F.col("end_ts") - F.col("start_ts")).alias("duration"))
