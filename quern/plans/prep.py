@@ -49,9 +49,9 @@ f1 AS (SELECT *, CASE WHEN v = lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id) TH
 f2 AS (SELECT *, sum(fresh) OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS run FROM f1),
 f3 AS (SELECT *, count(*) OVER (PARTITION BY rec_table, field_name, symbol, venue, run) AS n FROM f2),
 o AS (SELECT *, coalesce(mark, '#' || rec_id) AS k, row_number() OVER ({_P4_STREAM} ORDER BY ts, rec_id) AS place FROM t),
-p0 AS (SELECT *, CASE WHEN place - lag(place) OVER c <= 24 THEN 0 ELSE 1 END AS fresh FROM o WHERE v > 0 WINDOW c AS (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place)),
-p AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place) AS nth FROM p0),
-m AS (SELECT *, CAST(v AS DOUBLE) AS x, median(CAST(v AS DOUBLE)) OVER w AS mid, abs(v - lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id)) AS step FROM p WHERE fresh = 1 WINDOW w AS ({_P4_STREAM} ORDER BY ts, rec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+p0 AS (SELECT *, CASE WHEN place - lag(place) OVER c <= 24 THEN 0 ELSE 1 END AS original FROM o WHERE v > 0 WINDOW c AS (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place)),
+p AS (SELECT *, sum(original) OVER (PARTITION BY rec_table, field_name, symbol, venue, k, v ORDER BY place) AS nth FROM p0),
+m AS (SELECT *, CAST(v AS DOUBLE) AS x, median(CAST(v AS DOUBLE)) OVER w AS mid, abs(v - lag(v) OVER ({_P4_STREAM} ORDER BY ts, rec_id)) AS step FROM p WHERE original = 1 WINDOW w AS ({_P4_STREAM} ORDER BY ts, rec_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
 u AS (SELECT rec_table, field_name, symbol, venue, greatest(24 * 1.4826 * median(abs(x - mid)), 18 * coalesce(median(CAST(step AS DOUBLE)) FILTER (step > 0), 0)) AS usual_reach, median(x) AS usual_value, count(*) AS n FROM m GROUP BY ALL),
 h AS (
   SELECT m.*, CASE WHEN moves THEN usual_reach ELSE 63 * usual_value END AS reach, CASE WHEN moves THEN usual_reach > 0 AND abs(x - mid) > usual_reach ELSE x > 64 * usual_value END AS far
