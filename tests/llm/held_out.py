@@ -1,5 +1,7 @@
-"""Sentences with personal information, written before the labelers they are held against, and never used to write them.
+"""Sentences with personal information, written and committed before the labelers they are held against.
 
+What was found in them was looked at while the labelers were revised, so they are no
+longer unseen; the README has the figures of a sample that was measured once, at the end.
 Each is a text and its pieces.  Names and places are invented; none is in the gazetteers of the tests.
 """
 
