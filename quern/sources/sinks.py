@@ -13,6 +13,8 @@ from quern.plans.job import JobSpec
 from quern.workdir import exists, remove_dir, rename
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: Folders that a table of a run has at most; each costs the time of many thousand rows, to write and to read.
+MOST_FOLDERS = 1000
 
 
 def write_rows(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] = ("symbol",)) -> None:
@@ -53,15 +55,30 @@ def write_json(spark: SparkSession, path: str, data: object) -> None:
     out.close()
 
 
+def folders_by(df: DataFrame, by: Sequence[str] = ("symbol",), most: int = MOST_FOLDERS) -> list[str]:
+    """Columns of ``by`` that ``df`` has, if they have at most ``most`` values, else none; counted in a pass of its own."""
+    own = [c for c in by if c in df.columns]
+    return own if own and df.select(*own).distinct().limit(most + 1).count() <= most else []
+
+
 def save_run(spark: SparkSession, root: str, job: JobSpec, tables: Mapping[str, DataFrame], metrics: Mapping[str, object] | None = None, form: str = "parquet") -> bool:
-    """A run's tables below ``root/<hash>``, with a manifest written last; False if that run is there already."""
+    """A run's tables below ``root/<hash>``, with a manifest written last; False if that run is there already.
+
+    A table has a folder for each symbol.  One of more than ``MOST_FOLDERS`` symbols has no
+    folders: all its rows, with the symbol as a column, lie in files sorted by it.  The
+    manifest says by which columns each table has folders.  Rows of a symbol are brought
+    together first, so the number of files does not grow with that of tasks.
+    """
     at = f"{root}/{job.hash()[:16]}"
     if exists(spark, f"{at}/manifest.json"):
         return False
+    by = {name: folders_by(df) for name, df in tables.items()}
     for name, df in tables.items():
-        write_rows(df, f"{at}/{name}", form)
+        if "symbol" in df.columns:
+            df = df.hint("rebalance", "symbol").sortWithinPartitions("symbol")  # symbols too large for one task are split
+        write_rows(df, f"{at}/{name}", form, by[name])
     write_json(spark, f"{at}/metrics.json", metrics or {})
-    write_json(spark, f"{at}/manifest.json", {"job_id": job.job_id, "hash": job.hash(), "tables": sorted(tables), "format": form})
+    write_json(spark, f"{at}/manifest.json", {"job_id": job.job_id, "hash": job.hash(), "tables": sorted(tables), "folders": by, "format": form})
     return True
 
 
